@@ -117,14 +117,27 @@ def neighbours(
     prev: Mapping[str, Column] | None = None,
     next: Mapping[str, Column] | None = None,  # noqa: A002
     group_rows: int | None = None,
+    among: Column | None = None,
 ) -> DataFrame:
-    """Add values of the row before (``prev``) and the row after (``next``) in ``order``."""
+    """Add values of the row before (``prev``) and the row after (``next``) in ``order``.
+
+    With ``among`` only rows that satisfy it count as neighbours; other rows stay in the result.
+    """
     prev, next = prev or {}, next or {}
     if fits_one_task(df, by, group_rows):
         w = _window(by, order)
+        if among is not None:
+            lo = w.rowsBetween(Window.unboundedPreceding, -1)
+            hi = w.rowsBetween(1, Window.unboundedFollowing)
+            pick = lambda f, d, span: {a: f(F.when(among, c), ignorenulls=True).over(span) for a, c in d.items()}
+            return df.withColumns(pick(F.last, prev, lo) | pick(F.first, next, hi))
         return df.withColumns(
             {a: F.lag(c).over(w) for a, c in prev.items()} | {a: F.lead(c).over(w) for a, c in next.items()}
         )
+    if among is not None:
+        inside = neighbours(df.where(among), by, order, prev, next, group_rows)
+        outside = df.where(~F.coalesce(among, F.lit(False)))
+        return inside.unionByName(outside, allowMissingColumns=True)
     both = {f"_p_{a}": c for a, c in prev.items()} | {f"_n_{a}": c for a, c in next.items()}
     runs = _split(df.withColumns(both), by, order)
     place = _window(by, order, RUN)

@@ -52,32 +52,39 @@ def relative_time(samples: DataFrame, by: Sequence[str], scale: float = 86400.0,
 
 
 def regularity(samples: DataFrame, by: Sequence[str], group_rows: int | None = None,
-               peak: Column | None = None, fit: bool = False, extra: Mapping[str, Column] | None = None) -> DataFrame:
+               peak: Column | None = None, fit: bool = False, extra: Mapping[str, Column] | None = None,
+               kept: Column | None = None) -> DataFrame:
     """Sampling statistics per group over rows ordered by ``idx``.
 
     The largest deviation from the median step needs no second pass: it is the larger of
     (max step - median) and (median - min step). With ``fit`` the linear trend and the median
-    of ``y`` come out of the same aggregation.
+    of ``y`` come out of the same aggregation. With ``kept`` only the rows that satisfy it are
+    samples, while ``extra`` aggregates and the set of groups still cover every row.
     """
     bounded = fits_one_task(samples, by, group_rows)
+    if group_rows is None:
+        group_rows = 0 if bounded else 2**62
+    only = (lambda c: c) if kept is None else (lambda c: F.when(kept, c))
     seen = neighbours(samples, by, [F.col("idx")], prev={"_pt": F.col("t"), "_pi": F.col("idx")},
-                      group_rows=group_rows if group_rows is not None else (0 if bounded else 2**62))
-    step = F.col("t") - F.col("_pt")
-    seen = seen.withColumns({"_d": step, "_di": F.col("idx") - F.col("_pi")})
+                      group_rows=group_rows, among=kept)
+    seen = seen.withColumns({"_d": only(F.col("t") - F.col("_pt")), "_di": only(F.col("idx") - F.col("_pi"))})
+    t, y, idx = only(F.col("t")), only(F.col("y")), only(F.col("idx"))
+    # A distinct aggregate next to percentiles would build one percentile buffer per time value.
+    distinct = F.size(F.collect_set(t)) if bounded else F.countDistinct(t)
     aggs = [
-        F.count(F.lit(1)).alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"),
+        F.count(idx).alias("n"), F.min(idx).alias("first_idx"), F.max(idx).alias("last_idx"),
         F.coalesce(F.bool_and(F.col("_d") > 0), F.lit(True)).alias("increasing"),
-        (F.countDistinct("t") < F.count("t")).alias("duplicate_times"),
+        (distinct < F.count(t)).alias("duplicate_times"),
         F.coalesce(F.bool_and(F.col("_di") == 1), F.lit(True)).alias("consecutive"),
         F.min("_d").alias("_dmin"), F.max("_d").alias("_dmax"),
-        F.bool_and(is_finite(F.col("t")) & is_finite(F.col("y"))).alias("all_finite"),
+        F.bool_and(only(is_finite(F.col("t")) & is_finite(F.col("y")))).alias("all_finite"),
     ]
     if peak is not None:
-        aggs.append(F.coalesce(F.bool_or(F.col("idx") == peak), F.lit(False)).alias("peak_retained"))
+        aggs.append(F.coalesce(F.bool_or(idx == peak), F.lit(False)).alias("peak_retained"))
     if fit:
-        aggs += [F.regr_slope("y", "t").alias("slope"), F.avg("y").alias("mean_y"), F.avg("t").alias("mean_t")]
+        aggs += [F.regr_slope(y, t).alias("slope"), F.avg(y).alias("mean_y"), F.avg(t).alias("mean_t")]
     aggs += [c.alias(a) for a, c in (extra or {}).items()]
-    mids = {"median_step": F.col("_d")} | ({"median_y": F.col("y")} if fit else {})
+    mids = {"median_step": F.col("_d")} | ({"median_y": y} if fit else {})
     if bounded:
         out = seen.groupBy(*by).agg(*aggs, *[F.percentile(c, F.lit(0.5)).alias(a) for a, c in mids.items()])
     else:
@@ -139,16 +146,19 @@ def all_reasons(stats: DataFrame) -> DataFrame:
     }).drop("_hit")
 
 
-def bind_samples(events: DataFrame, series: DataFrame, pad: int) -> DataFrame:
+def bind_samples(events: DataFrame, series: DataFrame, pad: int, marker: bool = False) -> DataFrame:
     """Samples of each event's widest window, one shuffle for all of its variants.
 
     The window is exploded to positions so that the join is an equi-join on
     ``(series_id, idx)``: no pair outside a window is ever formed, and many events on one
-    series do not meet in one task.
+    series do not meet in one task. With ``marker`` every event also keeps one row at
+    position -1, so that later groupings do not lose events without any sample.
     """
-    span = events.withColumn("idx", F.explode(F.sequence(
-        F.greatest(F.lit(0).cast("bigint"), F.col("start_idx") - pad), F.col("end_idx") + pad)))
-    return span.join(series, ["series_id", "idx"])
+    spots = F.sequence(F.greatest(F.lit(0).cast("bigint"), F.col("start_idx") - pad), F.col("end_idx") + pad)
+    if marker:
+        spots = F.concat(F.array(F.lit(-1).cast("bigint")), spots)
+    span = events.withColumn("idx", F.explode(spots))
+    return span.join(series, ["series_id", "idx"], "left" if marker else "inner")
 
 
 def materialize_variants(events: DataFrame, series: DataFrame, cells: Column, pad: int) -> DataFrame:
@@ -156,25 +166,36 @@ def materialize_variants(events: DataFrame, series: DataFrame, cells: Column, pa
 
     ``events(event_id, series_id, series_rows, start_idx, peak_idx, end_idx)``; ``cells`` is an
     array column of (window_id, ds, de, profile_id, flux, policy, detrending) with a fixed
-    number of entries. The group bound is the measured widest window.
+    number of entries. Samples are shuffled once to meet their events and once to meet their
+    variant; the marker rows make a join back to the plan unnecessary. The group bound is the
+    measured widest window.
     """
     by = ["event_id", "window_id", "profile_id"]
     widest = events.agg(F.max(F.col("end_idx") - F.col("start_idx"))).first()[0] or 0
-    group_rows = int(widest) + 1 + 2 * pad
+    group_rows = int(widest) + 2 + 2 * pad
+    spots = bind_samples(events, series, pad, marker=True)
+    spots = spots.where("idx = -1 or t is not null").withColumn("c", F.explode(cells))
     lo, hi = F.col("start_idx") + F.col("c.ds"), F.col("end_idx") + F.col("c.de")
-    spots = bind_samples(events, series, pad).withColumn("c", F.explode(cells))
     y = F.when(F.col("c.flux") == "alternate", F.col("y2")).otherwise(F.col("y"))
-    spots = spots.where((F.col("idx") >= lo) & (F.col("idx") <= hi) & (lo >= 0) & (hi < F.col("series_rows")))
-    spots = spots.select("event_id", "c.window_id", "c.profile_id", "idx", "t", y.alias("y"), "quality",
-                         "c.policy", "peak_idx")
+    marker = F.col("idx") == -1
+    spots = spots.where(marker | F.col("idx").between(lo, hi)).select(
+        "event_id", "c.window_id", "c.profile_id", "idx", "t", y.alias("y"), "quality", "c.policy", "c.detrending",
+        "series_id", "series_rows", "peak_idx", lo.alias("lo"), hi.alias("hi"))
     spots = flag_retained(spots, F.col("policy"))
-    counts = mask_counts(spots, by)
-    stats = regularity(spots.where("kept"), by, group_rows=group_rows, peak=F.col("peak_idx"), fit=True,
-                       extra={"max_y": F.max("y")})
-    plan = events.withColumn("c", F.explode(cells)).select(
-        "event_id", "series_id", "series_rows", "start_idx", "peak_idx", "end_idx",
-        "c.window_id", "c.profile_id", "c.detrending", lo.alias("lo"), hi.alias("hi"))
-    out = plan.join(counts, by, "left").join(stats, by, "left")
+    inside = (F.col("lo") >= 0) & (F.col("hi") < F.col("series_rows"))
+    spots = spots.withColumn("kept", F.col("kept") & ~marker & inside)
+    real = ~marker & inside
+    same = ("series_id", "series_rows", "peak_idx", "lo", "hi", "detrending")
+    out = regularity(
+        spots, by, group_rows=group_rows, peak=F.col("peak_idx"), fit=True, kept=F.col("kept"),
+        extra={c: F.max(c) for c in same} | {
+            "max_y": F.max(F.when(F.col("kept"), F.col("y"))),
+            "raw_n": F.count_if(real), "retained_n": F.count_if(F.col("kept")),
+            "removed_nonfinite": F.count_if(real & ~F.col("finite")),
+            "removed_quality": F.count_if(real & F.col("finite") & ~F.col("kept"))})
+    seen = (F.col("lo") >= 0) & (F.col("hi") < F.col("series_rows")) & (F.col("lo") <= F.col("hi"))
+    blank = [c for c in out.columns if c not in (*by, *same)]
+    out = out.withColumns({c: F.when(seen, F.col(c)) for c in blank})
     reason = first_reason(F.lit(True), F.lit(True), F.col("lo"), F.col("hi"), F.col("series_rows"),
                           F.col("peak_idx"), F.col("detrending") != "none")
     out = out.withColumn("reason", reason)

@@ -29,13 +29,11 @@ PAD = max(max(abs(ds), abs(de)) for _, ds, de in WINDOWS)
 
 def cells(windows: Sequence[tuple] = WINDOWS, profiles: Sequence[tuple] = PROFILES) -> Column:
     """The full grid of windows and profiles as one literal array column."""
-    rows = [
-        F.struct(F.lit(w).alias("window_id"), F.lit(ds).cast("bigint").alias("ds"), F.lit(de).cast("bigint").alias("de"),
-                 F.lit(p).alias("profile_id"), F.lit(flux).alias("flux"), F.lit(policy).alias("policy"),
-                 F.lit(det).alias("detrending"))
-        for w, ds, de in windows for p, flux, policy, det in profiles
-    ]
-    return F.array(*rows)
+    rows = ", ".join(
+        f"named_struct('window_id', '{w}', 'ds', {ds}L, 'de', {de}L, 'profile_id', '{p}', 'flux', '{flux}', "
+        f"'policy', '{policy}', 'detrending', '{det}')"
+        for w, ds, de in windows for p, flux, policy, det in profiles)
+    return F.expr(f"array({rows})")
 
 
 def expand_cells(events: DataFrame, grid: Column | None = None) -> DataFrame:

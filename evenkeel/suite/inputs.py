@@ -10,6 +10,7 @@ from evenkeel.functions.numeric import epoch_micros
 from evenkeel.operators.ordered import number_rows
 from evenkeel.operators.series import materialize_variants
 from evenkeel.plans.expansion import PAD, PROFILES, WINDOWS, cells
+from evenkeel.session import materialize
 from evenkeel.suite.registry import Tables
 
 WINDOW_ORDER = tuple(w for w, _, _ in WINDOWS)
@@ -130,7 +131,7 @@ variants AS (
 
 
 def variants(t: Tables) -> DataFrame:
-    rows = series(t)
+    rows = materialize(series(t))
     return materialize_variants(peaks(rows), rows, cells(), PAD)
 
 
@@ -191,8 +192,6 @@ outcomes AS (
 def outcome_rows(t: Tables) -> DataFrame:
     """The outcome matrix, written once because several summaries read it."""
     from evenkeel.operators.decisions import baseline_gate, outcomes
-    from evenkeel.session import materialize
-
     v = materialize(variants(t))
     dec = variant_decisions(v)
     members = cohort(t)

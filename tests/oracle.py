@@ -24,6 +24,9 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+SQL_TIME: dict[str, float] = {}
+
+
 def canon(v):
     if v is None:
         return "~"
@@ -45,9 +48,11 @@ def compare(spark, con, name: str, folder: str) -> tuple[bool, str]:
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     if not q.sql:
         return bool(got), f"rows only: {len(got)}"
+    mid = time.time()
     cur = con.execute(q.sql)
     cols = [c[0] for c in cur.description]
     want = rows_of(cols, cur.fetchall())
+    SQL_TIME[name] = time.time() - mid
     if sorted(df.columns) != sorted(cols):
         return False, f"columns {sorted(df.columns)} != {sorted(cols)}"
     if got != want:
@@ -76,7 +81,7 @@ def main(names: list[str]) -> int:
         except Exception as e:  # noqa: BLE001
             ok, note = False, "".join(traceback.format_exception_only(e))[:1500]
         bad += not ok
-        print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - t0:.1f}s {note}", flush=True)
+        print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - t0 - SQL_TIME.get(name, 0):.1f}s (sql {SQL_TIME.get(name, 0):.1f}s) {note}", flush=True)
     print(f"{bad} failed")
     return bad
 
