@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Identifier patterns.
 ARXIV_DOI = "10.48550/arxiv."
@@ -14,7 +15,7 @@ DOI_PREFIX = r"^\s*(https?://(dx\.)?doi\.org/|doi:\s*)"
 ARXIV_PREFIX = r"(?i)^(https?://arxiv\.org/(abs|pdf)/|arxiv:\s*)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_accents(s: pd.Series) -> pd.Series:
     """Decompose and drop combining marks (Spark has no built-in for it)."""
     return s.map(lambda t: None if t is None else "".join(
