@@ -134,15 +134,25 @@ def _(t):
     return threshold_axis(I.evaluation(t), "d01").select(F.round("threshold", 6).alias("threshold")).distinct()
 
 
-AXES_SQL = I.EVALUATION_SQL + """, e AS (SELECT truth, d01, d21 FROM evaluation),
-a1 AS (SELECT DISTINCT a AS t FROM (SELECT d01 AS a FROM e UNION SELECT d01 + (nx - d01) / 2 FROM (SELECT d01, lead(d01) OVER (ORDER BY d01) AS nx FROM (SELECT DISTINCT d01 FROM e)) WHERE nx IS NOT NULL UNION SELECT 10.0::DOUBLE)),
-a2 AS (SELECT DISTINCT a AS t FROM (SELECT d21 AS a FROM e UNION SELECT d21 + (nx - d21) / 2 FROM (SELECT d21, lead(d21) OVER (ORDER BY d21) AS nx FROM (SELECT DISTINCT d21 FROM e)) WHERE nx IS NOT NULL UNION SELECT 10.0::DOUBLE)),
-h AS (SELECT t, (SELECT count(*) FROM e WHERE d01 > t) AS c FROM a1)"""
-
-
-@query("threshold_search", "D19", None)
+def _axis_sql(c: str) -> str:
+    return (f"(SELECT {c} AS t FROM evaluation UNION SELECT {c} + (nx - {c}) / 2 FROM (SELECT {c}, lead({c}) OVER (ORDER BY {c}) AS nx "
+            f"FROM (SELECT DISTINCT {c} FROM evaluation)) WHERE nx IS NOT NULL UNION SELECT 10.0::DOUBLE)")
+
+
+# The twin counts every pair of axis values over every point: the whole plane, by brute force.
+@query("threshold_search", "D19", f"""
+WITH {I.EVALUATION_SQL}, a1 AS {_axis_sql("d01")}, a2 AS {_axis_sql("d21")},
+tot AS (SELECT count(*) FILTER (WHERE truth) AS p, count(*) FILTER (WHERE NOT truth) AS z,
+  count(DISTINCT d01) AS values01, count(DISTINCT d21) AS values21 FROM evaluation),
+plane AS (SELECT a1.t AS t01, a2.t AS t21, count(*) FILTER (WHERE truth AND d01 > a1.t AND d21 > a2.t) AS tp,
+  count(*) FILTER (WHERE NOT truth AND d01 > a1.t AND d21 > a2.t) AS fp FROM a1, a2, evaluation GROUP BY 1, 2)
+SELECT t01, t21, CAST(tp AS BIGINT) AS TP, CAST(p - tp AS BIGINT) AS FN, CAST(z - fp AS BIGINT) AS TN, CAST(fp AS BIGINT) AS FP,
+  round(tp / p::DOUBLE, 6) AS sensitivity, round((z - fp) / z::DOUBLE, 6) AS specificity,
+  round((tp / p::DOUBLE + (z - fp) / z::DOUBLE) / 2, 6) AS balanced_accuracy, round(abs(t01 - 10) + abs(t21 - 10), 6) AS l1_distance,
+  CAST(values01 AS BIGINT) AS values01, CAST(values21 AS BIGINT) AS values21
+FROM plane, tot ORDER BY tp * z - fp * p DESC, least(tp * z, (z - fp) * p) DESC, fp, abs(t01 - 10) + abs(t21 - 10), t01 DESC, t21 DESC LIMIT 1""")
 def _(t):
-    return threshold_search(I.evaluation(t))
+    return rounded(threshold_search(I.evaluation(t)), "sensitivity", "specificity", "balanced_accuracy", "l1_distance")
 
 
 def _rules(t):
