@@ -142,6 +142,7 @@ def version_key(x: Column, width: int = 8) -> Column:
 
 def is_product_name(name: Column, sector: Column, target: Column, ending: str = "_fast-lc.fits") -> Column:
     """Exact product-name test with zero-padded sector and target numbers."""
+    name = F.lower(name)
     return (F.contains(name, F.format_string("-s%04d-", sector.cast("int")))
             & F.contains(name, F.format_string("-%016d-", target.cast("bigint")))
             & F.endswith(name, F.lit(ending)))
