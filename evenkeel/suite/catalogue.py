@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evenkeel.functions import numeric as N
 from evenkeel.functions import text as X
 from evenkeel.operators import joins as J
+from evenkeel.operators import matching as M
 from evenkeel.operators import quality as K
 from evenkeel.plans import sampling as P
 from evenkeel.suite.decisions import rounded
@@ -207,3 +208,38 @@ def _(t):
     o = t.orders.select((F.col("o_orderkey") - 1).alias("l_orderkey"), N.epoch_micros(F.col("o_orderdate")).alias("a"))
     rows = t.lineitem.select("l_orderkey", "l_linenumber", N.epoch_micros(F.col("l_shipdate")).alias("b")).join(o, "l_orderkey")
     return K.temporal_order(rows, ["l_orderkey", "l_linenumber"], ["a", "b"])
+
+
+def cohort(t):
+    """Urgent orders as references, the others as the pool; customer as target, year as sector."""
+    key = F.format_string("O%010d", "o_orderkey")
+    rows = t.orders.select(key.alias("k"), F.log("o_totalprice").alias("value"), F.col("o_custkey").alias("tic"),
+                           F.year("o_orderdate").alias("sector"), (F.col("o_orderpriority") == "1-URGENT").alias("chosen"))
+    pick = lambda flag, name: rows.where(F.col("chosen") == flag).select(F.col("k").alias(name), "value", "tic", "sector")
+    return pick(True, "ref"), pick(False, "cand")
+
+
+# No SQL twin: a sequential choice over the whole table; a brute-force loop checks it in the tests.
+@query("matched_cohort", "C8", None)
+def _(t):
+    refs, pool = cohort(t)
+    out = M.match_without_replacement(refs, pool)
+    return rounded(out.select("ref", "cand", "level", "difference", "candidates", "ties", "status"), "difference", digits=9)
+
+
+@query("cohort_manifest", "C9", None)
+def _(t):
+    refs, pool = cohort(t)
+    return M.pair_manifest(M.match_without_replacement(refs, pool, audit=False))
+
+
+@query("two_key_matching", "C23", None)
+def _(t):
+    key = F.format_string("O%010d", "o_orderkey")
+    days = (N.epoch_micros(F.col("o_orderdate")) / F.lit(DAY)).cast("double")
+    rows = t.orders.select(key.alias("k"), days.alias("value"), F.col("o_totalprice").alias("second"), F.col("o_custkey").alias("tic"),
+                           (F.col("o_orderpriority") == "1-URGENT").alias("chosen"))
+    pick = lambda flag, name: rows.where(F.col("chosen") == flag).select(F.col("k").alias(name), "value", "second", "tic")
+    levels = (("SAME_TIC", ("tic",)), ("GLOBAL", ()))
+    out = M.match_without_replacement(pick(True, "ref"), pick(False, "cand"), levels, audit=False, second=True)
+    return out.select("ref", "cand", "level", "difference", "status")

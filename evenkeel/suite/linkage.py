@@ -319,3 +319,14 @@ def _(t):
     rec = t.documents.groupBy(F.col("lang").alias("query")).agg(F.count(F.lit(1)).alias("n"))
     rec = rec.select("query", (F.col("n") - F.when(F.col("query") == "fr", 1).otherwise(0)).alias("reported"))
     return P.receipt_check(rec, P.ledger(P.json_hits(json_pages(t))))
+
+
+# No SQL twin: the ratio has no SQL form; a brute-force loop checks it in the tests.
+@query("fuzzy_titles", "C19", None)
+def _(t):
+    from evenkeel.operators.fuzzy import fuzzy_candidates, profiles
+
+    nodes = t.documents.select(F.format_string("H%09d", "doc_id").alias("node"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
+                               F.col("source").alias("author"), F.col("lang").alias("year"))
+    out = fuzzy_candidates(profiles(nodes))
+    return out.select("left", "right", "left_nodes", "right_nodes", F.round("similarity", 6).alias("similarity"), "basis")
