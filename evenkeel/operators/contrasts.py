@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions import labels as L
 from evenkeel.functions.numeric import safe_ratio
-from evenkeel.operators.ordered import quantiles
-from evenkeel.operators.summaries import attach
+from evenkeel.operators.ordered import grouped
 
 
 def _sides(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -39,12 +38,11 @@ def paired_contrast(pairs: DataFrame, rows: DataFrame, unit: str, value: str, co
     joined = pairs.join(left, f"l_{condition}").join(right, [f"r_{condition}", unit])
     by = [f"l_{condition}", f"r_{condition}", *keep]
     l, r = F.col("l_selected"), F.col("r_selected")
-    counts = joined.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_pairs"),
-        F.count_if(~l & ~r).alias("n00"), F.count_if(~l & r).alias("n01"),
-        F.count_if(l & ~r).alias("n10"), F.count_if(l & r).alias("n11"))
-    mid = quantiles(joined, by, {"_m": F.col(f"r_{value}") - F.col(f"l_{value}")}, (0.5,))
-    out = attach(counts, mid, by).withColumn("median_change", F.try_element_at("_m", F.lit(1))).drop("_m")
+    counts = [F.count(F.lit(1)).alias("n_pairs"),
+              F.count_if(~l & ~r).alias("n00"), F.count_if(~l & r).alias("n01"),
+              F.count_if(l & ~r).alias("n10"), F.count_if(l & r).alias("n11")]
+    out = grouped(joined, by, counts, {"_m": F.col(f"r_{value}") - F.col(f"l_{value}")}, (0.5,))
+    out = out.withColumn("median_change", F.try_element_at("_m", F.lit(1))).drop("_m")
     n = F.col("n_pairs")
     lr, rr = safe_ratio(F.col("n10") + F.col("n11"), n), safe_ratio(F.col("n01") + F.col("n11"), n)
     return out.withColumns({"left_rate": lr, "right_rate": rr, "rate_difference": rr - lr})
@@ -74,15 +72,13 @@ def step_contrast(pairs: DataFrame, rows: DataFrame, unit: str, condition: str =
     by = [f"l_{condition}", f"r_{condition}"]
     up = lambda c: (F.col(f"l_{c}") <= threshold) & (F.col(f"r_{c}") > threshold)
     down = lambda c: (F.col(f"l_{c}") > threshold) & (F.col(f"r_{c}") <= threshold)
-    counts = joined.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_pairs"),
-        F.count_if(up("d01")).alias("m0_up"), F.count_if(down("d01")).alias("m0_down"),
-        F.count_if(up("d21")).alias("m2_up"), F.count_if(down("d21")).alias("m2_down"),
-        F.count_if(F.col("l_winner") != F.col("r_winner")).alias("winner_changes"))
+    counts = [F.count(F.lit(1)).alias("n_pairs"),
+              F.count_if(up("d01")).alias("m0_up"), F.count_if(down("d01")).alias("m0_down"),
+              F.count_if(up("d21")).alias("m2_up"), F.count_if(down("d21")).alias("m2_down"),
+              F.count_if(F.col("l_winner") != F.col("r_winner")).alias("winner_changes")]
     joint = lambda s: F.least(F.col(f"{s}_d01"), F.col(f"{s}_d21"))
-    q = quantiles(joined, by, {"c01": F.col("r_d01") - F.col("l_d01"), "c21": F.col("r_d21") - F.col("l_d21"),
-                               "cj": joint("r") - joint("l")}, (0.5,))
-    out = attach(counts, q, by)
+    out = grouped(joined, by, counts, {"c01": F.col("r_d01") - F.col("l_d01"), "c21": F.col("r_d21") - F.col("l_d21"),
+                                       "cj": joint("r") - joint("l")}, (0.5,))
     first = lambda c: F.try_element_at(c, F.lit(1))
     return out.withColumns({"median_change_01": first("c01"), "median_change_21": first("c21"),
                             "median_change_joint": first("cj")}).drop("c01", "c21", "cj")

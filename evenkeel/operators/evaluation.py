@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evenkeel.functions import labels as L
 from evenkeel.functions.numeric import hash_index, is_finite, period_errors, safe_ratio, wilson
 from evenkeel.operators.joins import maybe_broadcast
-from evenkeel.operators.ordered import number_rows, quantiles
+from evenkeel.operators.ordered import grouped, number_rows, quantiles
 from evenkeel.operators.summaries import attach
 
 # Period bins, the label of an empty stratum, and the promotion criteria.
@@ -108,11 +108,11 @@ def period_recovery(df: DataFrame, by: Sequence[str] = (), estimate: str = "esti
     pop = pop.withColumn("_ok", F.coalesce(ok, F.lit(False)))
     err = {k: F.when(F.col("_ok"), v) for k, v in period_errors(F.col(estimate), F.col(truth)).items()
            if k in ("absolute_error", "relative_error", "log_ratio")}
-    n = pop.groupBy(*by).agg(F.count(F.lit(1)).alias("eligible_positives"), F.count_if("_ok").alias("recovered"))
-    n = n.withColumns({"missing": F.col("eligible_positives") - F.col("recovered"),
-                       "coverage": safe_ratio(F.col("recovered"), F.col("eligible_positives"))})
-    out = attach(n, quantiles(pop, by, err, (0.16, 0.5, 0.84), group_rows), by)
-    return out.select(*n.columns, *[F.try_element_at(e, F.lit(i + 1)).alias(f"{e}_{p}")
+    out = grouped(pop, by, [F.count(F.lit(1)).alias("eligible_positives"), F.count_if("_ok").alias("recovered")],
+                  err, (0.16, 0.5, 0.84), group_rows)
+    out = out.withColumns({"missing": F.col("eligible_positives") - F.col("recovered"),
+                           "coverage": safe_ratio(F.col("recovered"), F.col("eligible_positives"))})
+    return out.select(*by, "eligible_positives", "recovered", "missing", "coverage", *[F.try_element_at(e, F.lit(i + 1)).alias(f"{e}_{p}")
                                     for e in err for i, p in enumerate(("p16", "p50", "p84"))])
 
 

@@ -121,16 +121,17 @@ def neighbours(
 ) -> DataFrame:
     """Add values of the row before (``prev``) and the row after (``next``) in ``order``.
 
+    ``order`` holds plain ascending columns and is total.
     With ``among`` only rows that satisfy it count as neighbours; other rows stay in the result.
     """
     prev, next = prev or {}, next or {}
     if fits_one_task(df, by, group_rows):
         w = _window(by, order)
         if among is not None:
+            if next:
+                raise ValueError("among works on earlier neighbours only")
             lo = w.rowsBetween(Window.unboundedPreceding, -1)
-            hi = w.rowsBetween(1, Window.unboundedFollowing)
-            pick = lambda f, d, span: {a: f(F.when(among, c), ignorenulls=True).over(span) for a, c in d.items()}
-            return df.withColumns(pick(F.last, prev, lo) | pick(F.first, next, hi))
+            return df.withColumns({a: F.last(F.when(among, c), ignorenulls=True).over(lo) for a, c in prev.items()})
         return df.withColumns(
             {a: F.lag(c).over(w) for a, c in prev.items()} | {a: F.lead(c).over(w) for a, c in next.items()}
         )
@@ -140,20 +141,16 @@ def neighbours(
         return inside.unionByName(outside, allowMissingColumns=True)
     both = {f"_p_{a}": c for a, c in prev.items()} | {f"_n_{a}": c for a, c in next.items()}
     runs = _split(df.withColumns(both), by, order)
-    place = _window(by, order, RUN)
-    edge = runs.withColumns({"_first": F.row_number().over(place),
-                             "_last": F.lead(F.lit(1)).over(place)})
-    ends = _crossing(
-        edge, by,
-        [F.max(F.when(F.col("_last").isNull(), F.struct(*[F.col(f"_p_{a}") for a in prev], F.lit(1).alias("_1"))))
-         .alias("_tail"),
-         F.max(F.when(F.col("_first") == 1, F.struct(*[F.col(f"_n_{a}") for a in next], F.lit(1).alias("_1"))))
-         .alias("_head")],
-    )
+    key = F.struct(*order)
+    one = F.lit(1).alias("_1")
+    ends = _crossing(runs, by, [
+        F.max_by(F.struct(*[F.col(f"_p_{a}") for a in prev], one), key).alias("_tail"),
+        F.min_by(F.struct(*[F.col(f"_n_{a}") for a in next], one), key).alias("_head")])
     w = _window(by, [F.col(RUN)])
     ends = ends.withColumns({"_tail_b": F.lag("_tail").over(w), "_head_a": F.lead("_head").over(w)})
-    out = _attach(edge, ends, by, ["_tail_b", "_head_a"])
-    first, last = F.col("_first") == 1, F.col("_last").isNull()
+    out = _attach(runs, ends, by, ["_tail_b", "_head_a"])
+    place = _window(by, order, RUN)
+    first, last = F.lag(F.lit(1)).over(place).isNull(), F.lead(F.lit(1)).over(place).isNull()
     out = out.withColumns(
         {a: F.when(first, F.col("_tail_b")[f"_p_{a}"]).otherwise(F.lag(f"_p_{a}").over(place)) for a in prev}
         | {a: F.when(last, F.col("_head_a")[f"_n_{a}"]).otherwise(F.lead(f"_n_{a}").over(place)) for a in next}
@@ -169,27 +166,28 @@ def carry(
     ahead: Mapping[str, Column] | None = None,
     group_rows: int | None = None,
 ) -> DataFrame:
-    """Add the last non-null value at or before each row (``back``) and the first at or after (``ahead``)."""
+    """Add the last non-null value at or before each row (``back``) and the first at or after (``ahead``).
+
+    ``order`` holds plain ascending columns. Looking ahead is looking back in falling order: a frame
+    that ends at the partition's end would be recomputed for every row.
+    """
     back, ahead = back or {}, ahead or {}
+    falling = [c.desc() for c in order]
     lo = lambda *x: _window(by, order, *x).rowsBetween(Window.unboundedPreceding, 0)
-    hi = lambda *x: _window(by, order, *x).rowsBetween(0, Window.unboundedFollowing)
+    hi = lambda *x: _window(by, falling, *x).rowsBetween(Window.unboundedPreceding, 0)
     if fits_one_task(df, by, group_rows):
         return df.withColumns(
             {a: F.last(c, ignorenulls=True).over(lo()) for a, c in back.items()}
-            | {a: F.first(c, ignorenulls=True).over(hi()) for a, c in ahead.items()}
+            | {a: F.last(c, ignorenulls=True).over(hi()) for a, c in ahead.items()}
         )
     vals = {f"_b_{a}": c for a, c in back.items()} | {f"_a_{a}": c for a, c in ahead.items()}
     runs = _split(df.withColumns(vals), by, order)
-    local = runs.withColumns(
-        {f"_lb_{a}": F.last(f"_b_{a}", ignorenulls=True).over(lo(RUN)) for a in back}
-        | {f"_la_{a}": F.first(f"_a_{a}", ignorenulls=True).over(hi(RUN)) for a in ahead}
-        | {"_first": F.row_number().over(_window(by, order, RUN)),
-           "_last": F.lead(F.lit(1)).over(_window(by, order, RUN))}
-    )
+    key = F.struct(*order)
+    set_at = lambda c: F.when(F.col(c).isNotNull(), key)
     ends = _crossing(
-        local, by,
-        [F.max(F.when(F.col("_last").isNull(), F.col(f"_lb_{a}"))).alias(f"_eb_{a}") for a in back]
-        + [F.max(F.when(F.col("_first") == 1, F.col(f"_la_{a}"))).alias(f"_ea_{a}") for a in ahead],
+        runs, by,
+        [F.max_by(f"_b_{a}", set_at(f"_b_{a}")).alias(f"_eb_{a}") for a in back]
+        + [F.min_by(f"_a_{a}", set_at(f"_a_{a}")).alias(f"_ea_{a}") for a in ahead],
     )
     before = _window(by, [F.col(RUN)]).rowsBetween(Window.unboundedPreceding, -1)
     after = _window(by, [F.col(RUN)]).rowsBetween(1, Window.unboundedFollowing)
@@ -197,10 +195,10 @@ def carry(
         {f"_cb_{a}": F.last(f"_eb_{a}", ignorenulls=True).over(before) for a in back}
         | {f"_ca_{a}": F.first(f"_ea_{a}", ignorenulls=True).over(after) for a in ahead}
     )
-    out = _attach(local, ends, by, [f"_cb_{a}" for a in back] + [f"_ca_{a}" for a in ahead])
+    out = _attach(runs, ends, by, [f"_cb_{a}" for a in back] + [f"_ca_{a}" for a in ahead])
     out = out.withColumns(
-        {a: F.coalesce(F.col(f"_lb_{a}"), F.col(f"_cb_{a}")) for a in back}
-        | {a: F.coalesce(F.col(f"_la_{a}"), F.col(f"_ca_{a}")) for a in ahead}
+        {a: F.coalesce(F.last(f"_b_{a}", ignorenulls=True).over(lo(RUN)), F.col(f"_cb_{a}")) for a in back}
+        | {a: F.coalesce(F.last(f"_a_{a}", ignorenulls=True).over(hi(RUN)), F.col(f"_ca_{a}")) for a in ahead}
     )
     return out.select(*df.columns, *back, *ahead)
 
@@ -266,3 +264,26 @@ def quantiles(
     cond = reduce(lambda a, b: a & b, [F.col(f"e.{k}").eqNullSafe(F.col(f"w.{k}")) for k in by])
     return empty.alias("e").join(wide.alias("w"), cond, "left").select(
         *[F.col(f"e.{k}").alias(k) for k in by], *[F.col(f"w.{a}").alias(a) for a in values])
+
+
+def grouped(
+    df: DataFrame,
+    by: Sequence[str],
+    aggs: Sequence[Column],
+    values: Mapping[str, Column],
+    probs: Sequence[float],
+    group_rows: int | None = None,
+) -> DataFrame:
+    """Ordinary aggregates and exact quantile arrays per group.
+
+    Small groups take one aggregation for everything; large ones keep the aggregates map-side and
+    join the quantiles, which are found without gathering a group.
+    """
+    from evenkeel.functions.numeric import finite_or_null
+    from evenkeel.operators.summaries import attach
+
+    if fits_one_task(df, by, group_rows):
+        levels = F.array(*[F.lit(float(p)) for p in probs])
+        return df.groupBy(*by).agg(
+            *aggs, *[F.percentile(finite_or_null(c.cast("double")), levels).alias(a) for a, c in values.items()])
+    return attach(df.groupBy(*by).agg(*aggs), quantiles(df, by, values, probs, 2**62), by)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions import labels as L
 from evenkeel.functions.numeric import finite_or_null, is_finite, safe_ratio, wilson
-from evenkeel.operators.ordered import quantiles
+from evenkeel.operators.ordered import grouped
 
 SIX = (0.25, 0.5, 0.75)
 
@@ -41,10 +41,8 @@ def attach(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "lef
 def six_numbers(df: DataFrame, by: Sequence[str], values: Mapping[str, Column], group_rows: int | None = None) -> DataFrame:
     """n, min, q1, median, q3, max of the finite values, one row per group and quantity."""
     flat = df.select(*by, *[finite_or_null(c.cast("double")).alias(a) for a, c in values.items()])
-    ends = flat.groupBy(*by).agg(*[
-        F.struct(F.count(a).alias("n"), F.min(a).alias("min"), F.max(a).alias("max")).alias(f"_e_{a}") for a in values])
-    mids = quantiles(flat, by, {a: F.col(a) for a in values}, SIX, group_rows)
-    both = attach(ends, mids, by)
+    ends = [F.struct(F.count(a).alias("n"), F.min(a).alias("min"), F.max(a).alias("max")).alias(f"_e_{a}") for a in values]
+    both = grouped(flat, by, ends, {a: F.col(a) for a in values}, SIX, group_rows)
     rows = F.explode(F.array(*[
         F.struct(F.lit(a).alias("quantity"), F.col(f"_e_{a}.n").alias("n"), F.col(f"_e_{a}.min").alias("min"),
                  F.try_element_at(a, F.lit(1)).alias("q1"), F.try_element_at(a, F.lit(2)).alias("median"),
@@ -57,8 +55,8 @@ def spread(df: DataFrame, by: Sequence[str], value: Column, group_rows: int | No
     """Median, p10, p90, p16, p84 and range of the finite values."""
     probs = (0.5, 0.1, 0.9, 0.16, 0.84)
     flat = df.select(*by, finite_or_null(value.cast("double")).alias("_x"))
-    ends = flat.groupBy(*by).agg(F.count("_x").alias("n"), (F.max("_x") - F.min("_x")).alias("range"))
-    both = attach(ends, quantiles(flat, by, {"_q": F.col("_x")}, probs, group_rows), by)
+    ends = [F.count("_x").alias("n"), (F.max("_x") - F.min("_x")).alias("range")]
+    both = grouped(flat, by, ends, {"_q": F.col("_x")}, probs, group_rows)
     names = ("median", "p10", "p90", "p16", "p84")
     return both.select(*by, "n", "range",
                        *[F.try_element_at("_q", F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
@@ -69,29 +67,28 @@ def condition_summary(df: DataFrame, by: Sequence[str], group_rows: int | None =
 
     Needs ``selected``, ``error``, ``d01``, ``d21`` and the counters ``bound_hits``, ``warnings``.
     """
-    rates = rate_summary(df, by, F.col("selected"))
-    valid = F.col("selected").isNotNull()
-    extra = df.groupBy(*by).agg(
-        F.count_if(valid & (F.col("bound_hits") > 0)).alias("bound_calls"),
-        F.count_if(F.col("warnings") > 0).alias("warning_calls"),
-        F.count_if(valid).alias("_v"), F.count(F.lit(1)).alias("_n"),
-    ).select(*by, safe_ratio(F.col("bound_calls"), F.col("_v")).alias("bound_hit_rate"),
-             safe_ratio(F.col("warning_calls"), F.col("_n")).alias("warning_rate"))
-    q = quantiles(df, by, {
-        "_sel_signed": F.when(F.col("selected"), F.col("error")),
-        "_sel_abs": F.when(F.col("selected"), F.abs("error")),
-        "_all_abs": F.when(valid, F.abs("error")),
-        "_d01": F.when(valid, F.col("d01")),
+    sel = F.col("selected")
+    valid = sel.isNotNull()
+    counts = [
+        F.count(F.lit(1)).alias("n_planned"), F.count_if(valid).alias("n_valid"),
+        F.count_if(F.coalesce(sel, F.lit(False))).alias("n_selected"),
+        F.count_if(valid & (F.col("bound_hits") > 0)).alias("_bound"), F.count_if(F.col("warnings") > 0).alias("_warn"),
+    ]
+    out = grouped(df, by, counts, {
+        "_sel_signed": F.when(sel, F.col("error")), "_sel_abs": F.when(sel, F.abs("error")),
+        "_all_abs": F.when(valid, F.abs("error")), "_d01": F.when(valid, F.col("d01")),
         "_dmin": F.when(valid, F.least("d01", "d21")),
     }, (0.5, 0.9), group_rows)
     pick = lambda c, i: F.try_element_at(c, F.lit(i))
-    q = q.select(*by, pick("_sel_signed", 1).alias("selected_median_error"),
-                 pick("_sel_abs", 1).alias("selected_median_abs_error"),
-                 pick("_sel_abs", 2).alias("selected_p90_abs_error"),
-                 pick("_all_abs", 1).alias("formal_median_abs_error"),
-                 pick("_all_abs", 2).alias("formal_p90_abs_error"),
-                 pick("_d01", 1).alias("median_d01"), pick("_dmin", 1).alias("median_d_min"))
-    return attach(attach(rates, extra, by), q, by)
+    k, n = F.col("n_selected"), F.col("n_valid")
+    lo, hi = wilson(k, n)
+    return out.select(
+        *by, "n_planned", "n_valid", "n_selected",
+        safe_ratio(k, n).alias("rate"), lo.alias("rate_lower"), hi.alias("rate_upper"),
+        safe_ratio(F.col("_bound"), n).alias("bound_hit_rate"), safe_ratio(F.col("_warn"), F.col("n_planned")).alias("warning_rate"),
+        pick("_sel_signed", 1).alias("selected_median_error"), pick("_sel_abs", 1).alias("selected_median_abs_error"),
+        pick("_sel_abs", 2).alias("selected_p90_abs_error"), pick("_all_abs", 1).alias("formal_median_abs_error"),
+        pick("_all_abs", 2).alias("formal_p90_abs_error"), pick("_d01", 1).alias("median_d01"), pick("_dmin", 1).alias("median_d_min"))
 
 
 def model_diagnostics(fits: DataFrame, sets: Sequence[Sequence[str]], columns: Sequence[str],
@@ -166,10 +163,10 @@ def stability_label(stable: DataFrame) -> DataFrame:
 def seed_estimate(df: DataFrame, by: Sequence[str], value: str, published: str) -> DataFrame:
     """Median, lowest and highest estimate over seeds and its distance from a published value."""
     flat = df.where(is_finite(F.col(value)))
-    ends = flat.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lowest"),
-                                 F.max(value).alias("highest"), F.max(published).alias("published"))
-    mid = quantiles(flat, by, {"_m": F.col(value)}, (0.5,)).withColumn("median", F.try_element_at("_m", F.lit(1)))
-    out = attach(ends, mid.drop("_m"), by)
+    ends = [F.count(F.lit(1)).alias("n"), F.min(value).alias("lowest"), F.max(value).alias("highest"),
+            F.max(published).alias("published")]
+    out = grouped(flat, by, ends, {"_m": F.col(value)}, (0.5,))
+    out = out.withColumn("median", F.try_element_at("_m", F.lit(1))).drop("_m")
     return out.withColumns({"difference": F.col("median") - F.col("published"),
                             "difference_percent": safe_ratio(F.abs(F.col("median") - F.col("published")) * 100.0,
                                                              F.col("published"))})
@@ -283,19 +280,17 @@ def support_strata(steps: DataFrame, by: Sequence[str], value: str = "support_co
                    group_rows: int | None = None) -> DataFrame:
     """Quartiles and sign counts of the support contrast per stratum."""
     ok = steps.where(is_finite(F.col(value)))
-    signs = ok.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(L.sign_label(F.col(value)) == s).alias(f"n_{s.lower()}") for s in ("POSITIVE", "NEGATIVE", "ZERO")])
-    q = quantiles(ok, by, {"_q": F.col(value)}, SIX, group_rows)
-    return attach(signs, q, by).select(
-        *signs.columns, *[F.try_element_at("_q", F.lit(i + 1)).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    signs = {s: f"n_{s.lower()}" for s in ("POSITIVE", "NEGATIVE", "ZERO")}
+    counts = [F.count_if(L.sign_label(F.col(value)) == s).alias(n) for s, n in signs.items()]
+    out = grouped(ok, by, [F.count(F.lit(1)).alias("n"), *counts], {"_q": F.col(value)}, SIX, group_rows)
+    return out.select(*by, "n", *signs.values(),
+                      *[F.try_element_at("_q", F.lit(i + 1)).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
 
 
 def error_table(df: DataFrame, by: Sequence[str], group_rows: int | None = None) -> DataFrame:
     """Median absolute error for selected rows and for all rows, with both counts."""
     ok = df.where(is_finite(F.col("absolute_error")))
-    n = ok.groupBy(*by).agg(F.count(F.lit(1)).alias("n_formal"), F.count_if(F.col("selected")).alias("n_selected"))
-    q = quantiles(ok, by, {"_f": F.col("absolute_error"), "_s": F.when(F.col("selected"), F.col("absolute_error"))},
-                  (0.5,), group_rows)
-    return attach(n, q, by).select(*n.columns, F.try_element_at("_f", F.lit(1)).alias("formal_median"),
-                                   F.try_element_at("_s", F.lit(1)).alias("selected_median"))
+    out = grouped(ok, by, [F.count(F.lit(1)).alias("n_formal"), F.count_if(F.col("selected")).alias("n_selected")],
+                  {"_f": F.col("absolute_error"), "_s": F.when(F.col("selected"), F.col("absolute_error"))}, (0.5,), group_rows)
+    return out.select(*by, "n_formal", "n_selected", F.try_element_at("_f", F.lit(1)).alias("formal_median"),
+                      F.try_element_at("_s", F.lit(1)).alias("selected_median"))
