@@ -12,6 +12,7 @@ from evenkeel.functions.numeric import hash_index, is_finite, period_errors, saf
 from evenkeel.operators.joins import maybe_broadcast
 from evenkeel.operators.ordered import grouped, number_rows, quantiles
 from evenkeel.operators.summaries import attach
+from evenkeel.session import spread
 
 # Period bins, the label of an empty stratum, and the promotion criteria.
 PERIOD_EDGES = (40.0, 63.245553203367585, 105.83005244258362, 300.0)
@@ -150,7 +151,7 @@ def paired_bootstrap(df: DataFrame, unit: str, strata: Sequence[str], reps: int,
     edges = u.groupBy(*strata).agg(
         F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col("_class") <= c).alias(f"_e{c}") for c in classes])
     slots = attach(u.select(*strata, "_slot"), maybe_broadcast(edges, edges.count()), strata)
-    draws = slots.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    draws = spread(slots, *strata, "_slot").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     text = [F.col(c).cast("string") for c in strata]
     at = hash_index(F.col("_n"), F.lit(seed), F.col("rep").cast("string"), *text, (F.col("_slot") - 1).cast("string"))
     drawn = draws.withColumn("_i", at)

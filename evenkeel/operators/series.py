@@ -14,6 +14,7 @@ from evenkeel.functions import labels as L
 from evenkeel.functions.numeric import is_finite
 from evenkeel.operators.ordered import fits_one_task, neighbours, number_rows, quantiles
 from evenkeel.operators.summaries import attach
+from evenkeel.session import spread
 
 # Reason codes in cascade order, the shortest admissible series and the
 # largest admissible deviation of a step from the median step.
@@ -161,41 +162,60 @@ def bind_samples(events: DataFrame, series: DataFrame, pad: int, marker: bool =
     return span.join(series, ["series_id", "idx"], "left" if marker else "inner")
 
 
-def materialize_variants(events: DataFrame, series: DataFrame, cells: Column, pad: int) -> DataFrame:
-    """One row per event and perturbation cell with statistics, first reason and status.
+def _inputs(windows: Sequence[tuple], profiles: Sequence[tuple]) -> Column:
+    """Literal array of distinct (window, flux, policy) inputs, each with the profiles that use it."""
+    rows = []
+    for w, ds, de in windows:
+        for flux, policy in dict.fromkeys((f, q) for _, f, q, _ in profiles):
+            users = ", ".join(f"named_struct('profile_id', '{p}', 'detrending', '{d}')"
+                              for p, f, q, d in profiles if (f, q) == (flux, policy))
+            rows.append(f"named_struct('code', {len(rows)}, 'window_id', '{w}', 'ds', {ds}L, 'de', {de}L, 'flux', '{flux}', "
+                        f"'policy', '{policy}', 'profiles', array({users}))")
+    return F.expr(f"array({', '.join(rows)})")
 
-    ``events(event_id, series_id, series_rows, start_idx, peak_idx, end_idx)``; ``cells`` is an
-    array column of (window_id, ds, de, profile_id, flux, policy, detrending) with a fixed
-    number of entries. Samples are shuffled once to meet their events and once to meet their
-    variant; the marker rows make a join back to the plan unnecessary. The group bound is the
-    measured widest window.
+
+def materialize_variants(events: DataFrame, series: DataFrame, windows: Sequence[tuple], profiles: Sequence[tuple],
+                         pad: int) -> DataFrame:
+    """One row per event, window and profile with statistics, first reason and status.
+
+    ``events(event_id, series_id, series_rows, start_idx, peak_idx, end_idx)``; ``windows`` are
+    (name, start shift, end shift), ``profiles`` (name, flux, policy, detrending). Profiles that
+    see the same samples share one input and are told apart after the aggregation. Samples are
+    shuffled once to meet their events and once to meet their input; marker rows make a join back
+    to the plan unnecessary. The group bound is the measured widest window.
     """
-    by = ["event_id", "window_id", "profile_id"]
+    by = ["event_id", "code"]
     widest = events.agg(F.max(F.col("end_idx") - F.col("start_idx"))).first()[0] or 0
     group_rows = int(widest) + 2 + 2 * pad
+    table = _inputs(windows, profiles)
     spots = bind_samples(events, series, pad, marker=True)
-    spots = spots.where("idx = -1 or t is not null").withColumn("c", F.explode(cells))
+    # Placed by event before they are multiplied: the window and the aggregation over (event, input)
+    # are satisfied by that placement, so the multiplied rows are never shuffled.
+    spots = spread(spots.where("idx = -1 or t is not null"), "event_id").withColumn("c", F.explode(table))
     lo, hi = F.col("start_idx") + F.col("c.ds"), F.col("end_idx") + F.col("c.de")
     y = F.when(F.col("c.flux") == "alternate", F.col("y2")).otherwise(F.col("y"))
     marker = F.col("idx") == -1
-    spots = spots.where(marker | F.col("idx").between(lo, hi)).select(
-        "event_id", "c.window_id", "c.profile_id", "idx", "t", y.alias("y"), "quality", "c.policy", "c.detrending",
-        "series_id", "series_rows", "peak_idx", lo.alias("lo"), hi.alias("hi"))
-    spots = flag_retained(spots, F.col("policy"))
-    inside = (F.col("lo") >= 0) & (F.col("hi") < F.col("series_rows"))
-    spots = spots.withColumn("kept", F.col("kept") & ~marker & inside)
-    real = ~marker & inside
-    same = ("series_id", "series_rows", "peak_idx", "lo", "hi", "detrending")
+    inside = (lo >= 0) & (hi < F.col("series_rows"))
+    fin = is_finite(F.col("t")) & is_finite(y)
+    good = F.when(F.col("c.policy") == "q0_native", F.col("quality") == 0).otherwise(F.lit(True))
+    spots = spots.where(marker | (F.col("idx").between(lo, hi) & inside)).select(
+        "event_id", "c.code", "idx", "t", y.alias("y"), (~marker).alias("real"), (~marker & fin).alias("finite"),
+        (~marker & fin & F.coalesce(good, F.lit(False))).alias("kept"),
+        "series_id", "series_rows", "start_idx", "peak_idx", "end_idx")
+    same = ("series_id", "series_rows", "start_idx", "peak_idx", "end_idx")
     out = regularity(
         spots, by, group_rows=group_rows, peak=F.col("peak_idx"), fit=True, kept=F.col("kept"),
         extra={c: F.max(c) for c in same} | {
             "max_y": F.max(F.when(F.col("kept"), F.col("y"))),
-            "raw_n": F.count_if(real), "retained_n": F.count_if(F.col("kept")),
-            "removed_nonfinite": F.count_if(real & ~F.col("finite")),
-            "removed_quality": F.count_if(real & F.col("finite") & ~F.col("kept"))})
+            "raw_n": F.count_if("real"), "retained_n": F.count_if("kept"),
+            "removed_nonfinite": F.count_if(F.col("real") & ~F.col("finite")),
+            "removed_quality": F.count_if(F.col("finite") & ~F.col("kept"))})
+    out = out.withColumn("c", F.element_at(table, F.col("code") + 1))
+    out = out.withColumns({"lo": lo, "hi": hi, "window_id": F.col("c.window_id"), "p": F.explode("c.profiles")})
+    out = out.withColumns({"profile_id": F.col("p.profile_id"), "detrending": F.col("p.detrending")}).drop("c", "p", "code")
     seen = (F.col("lo") >= 0) & (F.col("hi") < F.col("series_rows")) & (F.col("lo") <= F.col("hi"))
-    blank = [c for c in out.columns if c not in (*by, *same)]
-    out = out.withColumns({c: F.when(seen, F.col(c)) for c in blank})
+    keys = ("event_id", "window_id", "profile_id", "detrending", "lo", "hi", *same)
+    out = out.withColumns({c: F.when(seen, F.col(c)) for c in out.columns if c not in keys})
     reason = first_reason(F.lit(True), F.lit(True), F.col("lo"), F.col("hi"), F.col("series_rows"),
                           F.col("peak_idx"), F.col("detrending") != "none")
     out = out.withColumn("reason", reason)

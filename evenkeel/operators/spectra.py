@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from evenkeel.functions.numeric import bound_hits, hash_uniform, is_finite, period_from_log_frequency
 from evenkeel.operators.ordered import fits_one_task, neighbours
 from evenkeel.operators.summaries import attach
+from evenkeel.session import spread
 
 # Signal generator constants.
 PERIOD_MIN, PERIOD_MAX, MIN_CYCLES = 40.0, 300.0, 3.0
@@ -84,7 +85,7 @@ def power_spectrum(series: DataFrame, by: Sequence[str], hann: bool = True, nyqu
     s = series.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.avg("y").alias("_m"),
                                 F.min("t").alias("_t0"), F.max("t").alias("_t1"))
     s = s.where("_n > 1").withColumn("_dt", (F.col("_t1") - F.col("_t0")) / (F.col("_n") - 1))
-    rows = attach(series, s, by, "inner")
+    rows = spread(attach(series, s, by, "inner"), *by, "pos")
     n, pos = F.col("_n"), F.col("pos")
     taper = 0.5 - 0.5 * F.cos(F.lit(2.0 * math.pi) * pos / (n - 1)) if hann else F.lit(1.0)
     z = (F.col("y") - F.col("_m")) / F.col("_m") * taper
@@ -146,39 +147,49 @@ def axes(model: str, points: Sequence[int]) -> list[list[float]]:
     return out
 
 
+MODELS = ("M0", "M1", "M2")
+
+
 def grid_rows(points: Mapping[str, Sequence[int]]) -> list[tuple]:
+    """(theta id, model number, a0..a5) of every grid point; unused parameters are zero."""
     rows = []
     for model, pts in points.items():
         for theta in itertools.product(*axes(model, pts)):
-            rows.append((model, *theta, *[0.0] * (WIDTH - len(theta))))
+            rows.append((len(rows), MODELS.index(model), *theta, *[0.0] * (WIDTH - len(theta))))
     return rows
 
 
-GRID_SCHEMA = "model string, " + ", ".join(f"a{i} double" for i in range(WIDTH))
+GRID_SCHEMA = "tid int, m int, " + ", ".join(f"a{i} double" for i in range(WIDTH))
 
 
 def model_power() -> Column:
-    """Model value at ``freq`` for columns ``model, a0..a5, fmin``; NULL where it is not positive."""
+    """Model value at ``freq`` for columns ``m, a0..a5, fmin``."""
     a = [F.col(f"a{i}") for i in range(WIDTH)]
     f = F.col("freq")
     base = F.exp(a[0]) * F.pow(f / F.col("fmin"), -a[1]) + F.exp(a[2])
     bump = F.exp(a[3]) / F.sqrt(2.0 * math.pi * a[5] * a[5]) * F.exp(-0.5 * F.pow((F.log(f) - a[4]) / a[5], F.lit(2.0)))
     low = F.exp(a[0]) * F.pow(f, -a[1])
     high = F.exp(a[0]) * F.pow(a[2], -a[1] + a[3]) * F.pow(f, -a[3])
-    s = (F.when(F.col("model") == "M0", base).when(F.col("model") == "M1", base + bump)
-         .otherwise(F.when(f < a[2], low).otherwise(high) + F.exp(a[4])))
-    return F.when(is_finite(s) & (s > 0), s)
+    return (F.when(F.col("m") == 2, F.when(f < a[2], low).otherwise(high) + F.exp(a[4]))
+            .otherwise(base + F.when(F.col("m") == 1, bump).otherwise(F.lit(0.0))))
 
 
 def _score(spots: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Log-likelihood of every parameter row and the best one per (series, model)."""
+    """Log-likelihood of every parameter row and the best one per (series, model).
+
+    Rows are summed under the short key (series, theta id); parameters ride along as plain numbers,
+    which keeps the sum in a hash aggregation.
+    """
     theta = [f"a{i}" for i in range(WIDTH)]
-    s = F.col("_s")
-    g = spots.withColumn("_s", model_power()).groupBy(*by, "model", *theta).agg(
-        F.count(F.lit(1)).alias("bins"), F.count("_s").alias("_ok"), (-F.sum(F.log(s)) - F.sum(F.col("power") / s)).alias("lnl"))
+    # log() is NULL for a value that is not positive, and an infinite or undefined value shows in the sum.
+    term = spots.withColumn("_s", model_power()).select(
+        *by, "tid", "m", *theta, (F.log("_s") + F.col("power") / F.col("_s")).alias("_x"))
+    g = term.groupBy(*by, "tid").agg(
+        F.count(F.lit(1)).alias("bins"), F.count("_x").alias("_ok"), (-F.sum("_x")).alias("lnl"),
+        *[F.max(c).alias(c) for c in ("m", *theta)])
     g = g.where((F.col("_ok") == F.col("bins")) & is_finite(F.col("lnl")))
     order = F.struct(F.col("lnl").alias("l"), *[(-F.col(c)).alias(c) for c in theta])
-    return g.groupBy(*by, "model").agg(F.max_by(F.struct("bins", "lnl", *theta), order).alias("_b")).select(*by, "model", "_b.*")
+    return g.groupBy(*by, "m").agg(F.max_by(F.struct("bins", "lnl", *theta), order).alias("_b")).select(*by, "m", "_b.*")
 
 
 def fit_grid(spectra: DataFrame, by: Sequence[str], points: Mapping[str, Sequence[int]], refine: int = 1,
@@ -193,22 +204,22 @@ def fit_grid(spectra: DataFrame, by: Sequence[str], points: Mapping[str, Sequenc
     spark = spectra.sparkSession
     bounded = fits_one_task(spectra, by, group_rows)
     if bounded:
-        rows = spectra.withColumn("fmin", F.min("freq").over(Window.partitionBy(*by)))
+        rows = spread(spectra, *by).withColumn("fmin", F.min("freq").over(Window.partitionBy(*by)))
     else:
         rows = attach(spectra, spectra.groupBy(*by).agg(F.min("freq").alias("fmin")), by)
     rows = rows.where(is_finite(F.col("power"))).select(*by, "freq", "power", "fmin")
-    models = F.explode(F.array(*[F.lit(m) for m in points])).alias("model")
+    models = F.explode(F.array(*[F.lit(MODELS.index(m)) for m in points])).alias("m")
     theta = spark.createDataFrame(grid_rows(points), GRID_SCHEMA)
-    best = _score(rows.select("*", models).join(F.broadcast(theta), "model"), by)
+    best = _score(rows.select("*", models).join(F.broadcast(theta), "m"), by)
     for step in range(refine):
         local = spark.createDataFrame(_offsets(points, 2.0 ** -(step + 1)), GRID_SCHEMA)
-        local = local.select("model", *[F.col(f"a{i}").alias(f"_o{i}") for i in range(WIDTH)])
-        near = best.join(F.broadcast(local), "model").select(
-            *by, "model", *[_clip(i).alias(f"a{i}") for i in range(WIDTH)]).distinct()
-        finer = _score(rows.join(near, list(by)), by)
-        best = finer
-    bic = -2.0 * F.col("lnl") + F.create_map(*[F.lit(x) for m, k in PENALTY.items() for x in (m, float(k))])[F.col("model")] * F.log("bins")
-    return best.withColumn("bic", bic)
+        local = local.select("tid", "m", *[F.col(f"a{i}").alias(f"_o{i}") for i in range(WIDTH)])
+        near = spread(best, *by).join(F.broadcast(local), "m").select(*by, "tid", "m", *[_clip(i).alias(f"a{i}") for i in range(WIDTH)])
+        best = _score(rows.join(near, list(by)), by)
+    names = F.element_at(F.array(*[F.lit(n) for n in MODELS]), F.col("m") + 1)
+    weight = F.element_at(F.array(*[F.lit(float(PENALTY[n])) for n in MODELS]), F.col("m") + 1)
+    out = best.withColumns({"model": names, "bic": -2.0 * F.col("lnl") + weight * F.log("bins")})
+    return out.select(*by, "model", "bins", "lnl", "bic", *[f"a{i}" for i in range(WIDTH)])
 
 
 def _offsets(points: Mapping[str, Sequence[int]], scale: float) -> list[tuple]:
@@ -216,7 +227,7 @@ def _offsets(points: Mapping[str, Sequence[int]], scale: float) -> list[tuple]:
     for model, pts in points.items():
         width = [(ax[-1] - ax[0]) / max(len(ax) - 1, 1) * scale for ax in axes(model, pts)]
         for way in itertools.product((-1, 0, 1), repeat=len(pts)):
-            rows.append((model, *[w * d for w, d in zip(width, way)], *[0.0] * (WIDTH - len(pts))))
+            rows.append((len(rows), MODELS.index(model), *[w * d for w, d in zip(width, way)], *[0.0] * (WIDTH - len(pts))))
     return rows
 
 
@@ -228,7 +239,7 @@ def _clip(i: int) -> Column:
             lo, hi = bounds[i]
             x = moved if lo is None else F.greatest(moved, F.lit(lo))
             x = x if hi is None else F.least(x, F.lit(hi))
-            out = F.when(F.col("model") == model, x).otherwise(out)
+            out = F.when(F.col("m") == MODELS.index(model), x).otherwise(out)
     return out
 
 

@@ -30,6 +30,15 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Place rows by ``keys`` over the full number of shuffle partitions.
+
+    For rows that are few and small now but will be multiplied or computed on inside the stage:
+    with an explicit count, adaptive execution does not merge them into one task by their size.
+    """
+    return df.repartition(shuffle_parts(df.sparkSession), *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's checkpoint folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)

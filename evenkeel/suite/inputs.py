@@ -9,7 +9,7 @@ from evenkeel.functions import labels as L
 from evenkeel.functions.numeric import epoch_micros
 from evenkeel.operators.ordered import number_rows
 from evenkeel.operators.series import materialize_variants
-from evenkeel.plans.expansion import PAD, PROFILES, WINDOWS, cells
+from evenkeel.plans.expansion import PAD, PROFILES, WINDOWS
 from evenkeel.session import materialize
 from evenkeel.suite.registry import Tables
 
@@ -132,7 +132,7 @@ variants AS (
 
 def variants(t: Tables) -> DataFrame:
     rows = materialize(series(t))
-    return materialize_variants(peaks(rows), rows, cells(), PAD)
+    return materialize_variants(peaks(rows), rows, WINDOWS, PROFILES, PAD)
 
 
 # --- decisions on variants: two scores of the retained window -------------------------------
