@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import packing, quality
+from evenkeel.llm import decontaminate, packing, quality, tokencount, topk
 from evenkeel.suite.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,45 @@ def _(t: Tables) -> DataFrame:
 @query("op8_packed_ids")
 def _(t: Tables) -> DataFrame:
     return packing.packed_matrix(t.documents, packing_settings())
+
+
+@query("op1_token_counts")
+def _(t: Tables) -> DataFrame:
+    pieces = tokencount.sentencepiece_pieces(token_file("piece_bpe_32k.model"))
+    return tokencount.token_counts(t.documents.select("doc_id", "text"), pieces).select("doc_id", "n_words", "n_tokens")
+
+
+@query("op3_decontaminate", """
+WITH lowered AS (
+    SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+    UNION ALL
+    SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark),
+windows AS (
+    SELECT DISTINCT id AS item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS words
+    FROM lowered, LATERAL (SELECT unnest(generate_series(1, greatest(1, len(w) - 9))) AS i) WHERE side = 'b' AND len(w) > 0),
+places AS (
+    SELECT id AS doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS words
+    FROM lowered, (SELECT DISTINCT n FROM windows), LATERAL (SELECT unnest(generate_series(1, len(w) - n + 1)) AS i) WHERE side = 'd'),
+found AS (SELECT doc_id, i, n, item_id FROM places JOIN windows USING (n, words)),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM found, LATERAL (SELECT unnest(generate_series(i, i + n - 1)) AS j) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM found) GROUP BY doc_id)
+SELECT l.id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM lowered l LEFT JOIN hit ON hit.doc_id = l.id LEFT JOIN named ON named.doc_id = l.id WHERE side = 'd'
+""")
+def _(t: Tables) -> DataFrame:
+    return decontaminate.summary(decontaminate.hits(t.documents.select("doc_id", "text"), t.benchmark))
+
+
+@query("op7_topk", """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+    FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""")
+def _(t: Tables) -> DataFrame:
+    return topk.top_k(t.embeddings, F.col("vec_id") % 50 == 0)
