@@ -1,33 +1,44 @@
-"""Connected components by hooking and shortcutting."""
+"""Connected components by contraction."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.session import materialize
+from evenkeel.session import discard, materialize
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "node", left: str = "left", right: str = "right") -> DataFrame:
     """``(node, component)`` where a component is named by its smallest node.
 
-    Every round each node looks at the grandparents of its neighbours, its parent hooks onto the
-    smallest one seen, and chains are cut in half, so a chain of n nodes needs about log n rounds.
-    Minima are taken map-side, each round is written to the shared folder (a lost executor then
-    repeats one round), and a hub node's join rows are split by adaptive skew handling.
+    Each round every node of the remaining graph hooks onto its smallest neighbour, pointers are doubled, and
+    edges are redrawn between the targets; loops and repeats vanish, so settled components cost nothing any more and
+    a chain of n nodes needs about log n rounds. Minima are taken map-side and a hub's join rows are split by adaptive
+    skew handling. Each round writes its pointers and its edges once to the shared folder (a lost executor then repeats
+    one round) and deletes the edges before. Edges with a null end link nothing.
     """
-    e = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v")
-    e = materialize(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    f = materialize(nodes.select(F.col(node).alias("u")).distinct().withColumn("p", F.col("u")))
-    while True:
-        parent = f.select(F.col("u").alias("p"), F.col("p").alias("g"))
-        g = materialize(f.join(parent, "p"))
-        seen = e.join(g.select(F.col("u").alias("v"), F.col("g").alias("gv")), "v").groupBy("u").agg(F.min("gv").alias("m"))
-        step = g.join(seen, "u", "left")
-        hooks = step.where("m is not null").groupBy("p").agg(F.min("m").alias("h")).select(F.col("p").alias("u"), "h")
-        nxt = step.join(hooks, "u", "left").select("u", "p", F.least("p", "g", "m", "h").alias("q"))
-        nxt = materialize(nxt)
-        moved = nxt.where("q <> p").limit(1).count()
-        f = nxt.select("u", F.col("q").alias("p"))
-        if not moved:
-            return f.select(F.col("u").alias(node), F.col("p").alias("component"))
+    pair = lambda a, b: [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+    e = materialize(edges.where(F.col(left) != F.col(right)).select(*pair(left, right)).distinct())
+    steps: list[DataFrame] = []
+    while not e.isEmpty():
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hook = both.groupBy("u").agg(F.min("v").alias("p")).select("u", F.least("u", "p").alias("p"))
+        onward = hook.select(F.col("u").alias("p"), F.col("p").alias("q"))
+        step = materialize(hook.join(onward, "p").select("u", F.col("q").alias("p")))
+        steps.append(step)
+        redrawn = (e.join(step.select("u", F.col("p").alias("a")), "u")
+                   .join(step.select(F.col("u").alias("v"), F.col("p").alias("b")), "v")
+                   .where("a <> b").select(*pair("a", "b")).distinct())
+        e, old = materialize(redrawn), e
+        discard(old)
+    every = nodes.select(F.col(node).alias("u")).distinct()
+    if not steps:
+        discard(e)
+        return every.select(F.col("u").alias(node), F.col("u").alias("component"))
+    target = steps[-1]
+    for step in reversed(steps[:-1]):
+        onward = target.select(F.col("u").alias("p"), F.col("p").alias("q"))
+        target = step.join(onward, "p", "left").select("u", F.coalesce("q", "p").alias("p"))
+    done = materialize(every.join(target, "u", "left").select(F.col("u").alias(node), F.coalesce("p", "u").alias("component")))
+    discard(e, *steps)
+    return done

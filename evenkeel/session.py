@@ -58,4 +58,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/evenkeel-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    copy = df.sparkSession.read.schema(df.schema).parquet(path)
+    copy.materialized_at = path
+    return copy
+
+
+def discard(*copies: DataFrame) -> None:
+    """Delete copies made by :func:`materialize` that no later plan reads any more."""
+    for df in copies:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.materialized_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
