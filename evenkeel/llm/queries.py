@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import decontaminate, packing, quality, tokencount, topk
+from evenkeel.llm import decontaminate, packing, quality, simhash, tokencount, topk
 from evenkeel.suite.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,8 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """)
 def _(t: Tables) -> DataFrame:
     return topk.top_k(t.embeddings, F.col("vec_id") % 50 == 0)
+
+
+@query("op2_simhash")
+def _(t: Tables) -> DataFrame:
+    return simhash.classes(t.documents)
