@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import decontaminate, packing, quality, simhash, tokencount, topk
+from evenkeel.llm import decontaminate, packing, quality, simhash, tokencount, topk, urls
 from evenkeel.suite.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,14 @@ def _(t: Tables) -> DataFrame:
 @query("op2_simhash")
 def _(t: Tables) -> DataFrame:
     return simhash.classes(t.documents)
+
+
+#: The rules (verdict, host, path) of the URL query.
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+@query("op5_url_filter")
+def _(t: Tables) -> DataFrame:
+    model = urls.fit(urls.default_labels(t.spark))
+    return urls.judge(t.pages.select("page_id", "url"), model, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
