@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import decontaminate, packing, quality, simhash, tokencount, topk, urls
+from evenkeel.llm import decontaminate, lines, packing, quality, simhash, tokencount, topk, urls
 from evenkeel.suite.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,9 @@ URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow",
 def _(t: Tables) -> DataFrame:
     model = urls.fit(urls.default_labels(t.spark))
     return urls.judge(t.pages.select("page_id", "url"), model, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op4_line_dedup")
+def _(t: Tables) -> DataFrame:
+    return lines.dedup(t.documents.select("doc_id", "text")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
