@@ -11,13 +11,13 @@ at most a few windows partly filled, about one window in ``run_tokens / window``
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
@@ -25,12 +25,10 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 #: Sequence ids of a partition start at its number shifted by so many bits.
 SEQUENCE_BITS = 36
 
-# The pre-tokenising pattern of the byte-level vocabulary and its special token.
+# The pre-tokenising pattern of the byte-level vocabulary, and the byte values that it writes as themselves
+# (the others stand for the characters from U+0100 on, in order).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SPECIAL = "<|endoftext|>"
-
-#: Characters whose class is the same in every Unicode version that the tokenizer may have been built with.
-UNSETTLED = regex.compile(r"[^\u0000-ɏΑ-ωА-я‐-‧€]")
+PLAIN_BYTES = (*range(33, 127), *range(161, 173), *range(174, 256))
 
 
 @dataclass(frozen=True)
@@ -41,44 +39,35 @@ class Packing:
     window: int = 1024
     end_id: int | None = 0
     run_tokens: int = 4_000_000
-    pieces_kept: int = 300_000
 
 
 class Encoder:
-    """Text -> token ids as little-endian ``uint32`` bytes, as the tokenizer file gives them.
+    """Text -> token ids as little-endian ``uint32`` bytes, as the byte-level tokenizer file at ``path`` gives them.
 
-    Byte-level BPE never merges across the pre-tokenising pattern, so ids are looked up word by word and only
-    words not seen lately are encoded. Texts with the special token or with characters whose class may depend on
-    the Unicode version go to the tokenizer whole.
+    The merges of the file are run by the faster of two libraries; a text that it refuses (its pattern can run out of
+    stack on a very long run of blanks) is encoded by the tokenizer itself. Special tokens are found in texts by both.
     """
 
-    def __init__(self, path: str, kept: int):
+    def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.find, self.kept, self.known = regex.compile(PATTERN).findall, kept, {}
-
-    def plain(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.path, self.load, self.tokenizer = path, Tokenizer.from_file, None
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        byte = {chr(b): b for b in PLAIN_BYTES}
+        byte |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in PLAIN_BYTES)}
+        special = {t["content"]: t["id"] for t in file["added_tokens"]}
+        ranks = {bytes(byte[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in special}
+        self.quick = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if SPECIAL in text or not (text.isascii() or UNSETTLED.search(text) is None):
-            return self.plain(text)
-        words, known = self.find(text), self.known
         try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        new = list({w for w in words if w not in known})
-        if len(known) + len(new) > self.kept:
-            known.clear()
-            new = list(set(words))
-        for start in range(0, len(new), 4096):
-            some = new[start:start + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+            return self.quick.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+        except ValueError:
+            self.tokenizer = self.tokenizer or self.load(self.path)
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 class Capacities:
@@ -130,7 +119,7 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 def _runs(batches: Iterator[pa.RecordBatch], s: Packing, id_col: str, text_col: str):
     """Runs of (document ids, their id bytes), each run of at most ``run_tokens`` tokens unless one text is longer."""
-    encode = Encoder(s.tokenizer, s.pieces_kept)
+    encode = Encoder(s.tokenizer)
     end = b"" if s.end_id is None else np.asarray([s.end_id], "<u4").tobytes()
     docs, ids, size = [], [], 0
     for batch in batches:

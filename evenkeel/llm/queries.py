@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import decontaminate, lines, packing, quality, simhash, tokencount, topk, urls
+from evenkeel.llm import decontaminate, lines, packing, quality, simhash, substrings, tokencount, topk, urls
 from evenkeel.suite.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,20 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     return lines.dedup(t.documents.select("doc_id", "text")).select(
         "doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op9_substring_dedup", """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+runs AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS run FROM w, LATERAL (SELECT unnest(generate_series(1, len(w) - 49)) AS i)),
+late AS (SELECT doc_id, i FROM runs JOIN (SELECT run, min(doc_id) AS least FROM runs GROUP BY run) USING (run) WHERE doc_id > least),
+gone AS (SELECT doc_id, list(DISTINCT j) AS js FROM late, LATERAL (SELECT unnest(generate_series(i, i + 49)) AS j) GROUP BY doc_id),
+kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS words, count(*) AS n
+    FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM w) WHERE NOT EXISTS
+        (SELECT 1 FROM (SELECT doc_id AS d, unnest(js) AS k FROM gone) WHERE d = doc_id AND k = j) GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+""")
+def _(t: Tables) -> DataFrame:
+    return substrings.dedup(t.documents.select("doc_id", "text")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
