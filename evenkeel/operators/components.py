@@ -33,8 +33,9 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node", left: str
         discard(old)
     every = nodes.select(F.col(node).alias("u")).distinct()
     if not steps:
+        done = materialize(every.select(F.col("u").alias(node), F.col("u").alias("component")))
         discard(e)
-        return every.select(F.col("u").alias(node), F.col("u").alias("component"))
+        return done
     target = steps[-1]
     for step in reversed(steps[:-1]):
         onward = target.select(F.col("u").alias("p"), F.col("p").alias("q"))
