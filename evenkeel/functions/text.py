@@ -49,7 +49,7 @@ def is_arxiv_doi(x: Column) -> Column:
 
 def arxiv_from_doi(x: Column) -> Column:
     d = doi(x)
-    return F.when(F.startswith(d, F.lit(ARXIV_DOI)), F.substring(d, len(ARXIV_DOI) + 1, 1000)).otherwise("")
+    return F.when(F.startswith(d, F.lit(ARXIV_DOI)), F.substr(d, F.lit(len(ARXIV_DOI) + 1))).otherwise("")
 
 
 def arxiv_id(x: Column) -> Column:

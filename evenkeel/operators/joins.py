@@ -87,7 +87,7 @@ def nearest_join(markers: DataFrame, samples: DataFrame, by: Sequence[str], t: s
 
     Markers and samples of a group are merged into one time order, where the nearest sample is
     the last one before or the first one after: exact at any distance and linear in the rows.
-    Samples of equal time are reduced to their lowest index beforehand.
+    Samples of equal time are reduced to their lowest index beforehand. A marker without a finite time has no sample.
     """
     pick = F.min(F.struct(F.col(idx).alias("idx"), *extra)).alias("_s")
     ok = samples.where(F.col(t).isNotNull() & ~F.isnan(F.col(t)) & (F.abs(F.col(t)) < float("inf")))
@@ -105,7 +105,8 @@ def nearest_join(markers: DataFrame, samples: DataFrame, by: Sequence[str], t: s
     left = (F.when(F.col("_r").isNull(), True).when(F.col("_l").isNull(), False)
             .when(F.abs(dl - dr) <= tol, F.col("_l.idx") < F.col("_r.idx")).otherwise(dl < dr))
     hit = F.when(left, F.col("_l")).otherwise(F.col("_r"))
-    out = seen.withColumn("_h", hit)
+    known = F.col(t).isNotNull() & ~F.isnan(F.col(t)) & (F.abs(F.col(t)) < float("inf"))
+    out = seen.withColumn("_h", F.when(known, hit))
     return out.select(*by, t, *[F.col(f"_m.{c}") for c in rest], F.col("_h.idx").alias("idx"),
                       *[F.col(f"_h.{c}") for c in extra], (F.col("_h.t") - F.col(t)).alias("residual"))
 

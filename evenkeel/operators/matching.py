@@ -30,8 +30,8 @@ FIRST_WINDOW = 8
 
 
 def _groups(levels: Sequence[tuple[str, Sequence[str]]]) -> Column:
-    """Array of (level, group text) that a row belongs to."""
-    return F.array(*[F.struct(F.lit(i).alias("lv"), F.concat_ws("\u001f", F.lit(""), *[F.col(c).cast("string") for c in cols]).alias("grp"))
+    """Array of (level, group text) that a row belongs to; a NULL is a value of its own."""
+    return F.array(*[F.struct(F.lit(i).alias("lv"), F.concat_ws("\u001f", F.lit(""), *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols]).alias("grp"))
                      for i, (_, cols) in enumerate(levels)])
 
 

@@ -86,7 +86,8 @@ def running_sum(
     totals = totals.withColumns({f"_o_{a}": F.sum(f"_t_{a}").over(before) for a in sums})
     out = _attach(runs, totals, by, [f"_o_{a}" for a in sums])
     out = out.withColumns(
-        {a: F.sum(f"_v_{a}").over(frame(RUN)) + F.coalesce(F.col(f"_o_{a}"), F.lit(0)) for a in sums}
+        {a: F.coalesce(F.sum(f"_v_{a}").over(frame(RUN)) + F.col(f"_o_{a}"), F.sum(f"_v_{a}").over(frame(RUN)), F.col(f"_o_{a}"))
+         for a in sums}
     )
     return out.select(*df.columns, *sums)
 
@@ -122,23 +123,20 @@ def neighbours(
     """Add values of the row before (``prev``) and the row after (``next``) in ``order``.
 
     ``order`` holds plain ascending columns and is total.
-    With ``among`` only rows that satisfy it count as neighbours; other rows stay in the result.
+    With ``among`` every row gets the last non-null value of the earlier rows that satisfy it; ``next`` is not allowed then.
     """
     prev, next = prev or {}, next or {}
+    if among is not None:
+        if next:
+            raise ValueError("among works on earlier neighbours only")
+        lagged = neighbours(df, by, order, prev={f"_among_{a}": F.when(among, c) for a, c in prev.items()}, group_rows=group_rows)
+        out = carry(lagged, by, order, back={a: F.col(f"_among_{a}") for a in prev}, group_rows=group_rows)
+        return out.select(*df.columns, *prev)
     if fits_one_task(df, by, group_rows):
         w = _window(by, order)
-        if among is not None:
-            if next:
-                raise ValueError("among works on earlier neighbours only")
-            lo = w.rowsBetween(Window.unboundedPreceding, -1)
-            return df.withColumns({a: F.last(F.when(among, c), ignorenulls=True).over(lo) for a, c in prev.items()})
         return df.withColumns(
             {a: F.lag(c).over(w) for a, c in prev.items()} | {a: F.lead(c).over(w) for a, c in next.items()}
         )
-    if among is not None:
-        inside = neighbours(df.where(among), by, order, prev, next, group_rows)
-        outside = df.where(~F.coalesce(among, F.lit(False)))
-        return inside.unionByName(outside, allowMissingColumns=True)
     both = {f"_p_{a}": c for a, c in prev.items()} | {f"_n_{a}": c for a, c in next.items()}
     runs = _split(df.withColumns(both), by, order)
     key = F.struct(*order)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ def coverage_sample(df: DataFrame, by: Sequence[str], wanted: Sequence[tuple], w
     """First row in ``order`` per group, for each wanted combination only."""
     hit = F.lit(False)
     for combo in wanted:
-        hit = hit | F.concat_ws("\u001f", *wanted_by).eqNullSafe(F.lit("\u001f".join(map(str, combo))))
+        hit = hit | reduce(lambda a, b: a & b, [F.col(c).cast("string").eqNullSafe(F.lit(str(v))) for c, v in zip(wanted_by, combo, strict=True)])
     return first_rows(df.where(hit), by, [F.col(c) for c in order])
 
 

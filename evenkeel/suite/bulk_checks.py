@@ -106,9 +106,9 @@ def _(t):
 
 
 @query("row_fingerprints", "K6", """
-SELECT p_partkey, sha256(concat_ws(chr(31), p_brand, p_name, p_partkey::VARCHAR, p_size::VARCHAR, p_type)) AS fingerprint FROM part""")
+SELECT p_partkey, sha256(concat_ws(chr(31), p_brand, p_name, p_partkey::VARCHAR, CAST(round(p_retailprice * 100) AS BIGINT)::VARCHAR, p_size::VARCHAR, p_type)) AS fingerprint FROM part""")
 def _(t):
-    return K.row_fingerprint(t.part.drop("p_retailprice")).select("p_partkey", "fingerprint")
+    return K.row_fingerprint(t.part.withColumn("p_retailprice", F.round(F.col("p_retailprice") * 100).cast("bigint"))).select("p_partkey", "fingerprint")
 
 
 @query("source_inventory", "A3 K6", """
@@ -159,21 +159,20 @@ def _(t):
 
 
 @query("published_table", "A7 H1", """
-SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderpriority = '1-URGENT'""")
+SELECT o_orderkey, o_custkey, o_orderstatus FROM orders""")
 def _(t):
     path = f"{shared_dir(t.spark)}/table-{uuid.uuid4().hex}"
-    S.write_table(t.orders.where("o_orderpriority = '1-URGENT'"), path, ["o_orderkey", "o_custkey", "o_orderstatus"],
+    S.write_table(t.orders, path, ["o_orderkey", "o_custkey", "o_orderstatus"],
                   ["o_custkey", "o_orderkey"])
     return t.spark.read.parquet(path)
 
 
 @query("contiguous_ranks", "E15", """
-SELECT 'contiguous_ranks' AS rule, conv_id::VARCHAR AS key, count(*) || '|' || min(turn + 1) || '|' || max(turn + 1) || '|' || count(DISTINCT turn) AS detail
-FROM conversations WHERE role <> 'system' GROUP BY conv_id
-HAVING NOT (min(turn + 1) = 1 AND max(turn + 1) = count(*) AND count(DISTINCT turn) = count(*))""")
+SELECT 'contiguous_ranks' AS rule, l_orderkey::VARCHAR AS key, count(*) || '|' || min(l_linenumber) || '|' || max(l_linenumber) || '|' || count(DISTINCT l_linenumber) AS detail
+FROM lineitem GROUP BY l_orderkey
+HAVING NOT (min(l_linenumber) = 1 AND max(l_linenumber) = count(*) AND count(DISTINCT l_linenumber) = count(*))""")
 def _(t):
-    rows = t.conversations.where("role <> 'system'").withColumn("rank", F.col("turn") + 1)
-    return K.contiguous_ranks(rows, ["conv_id"], "rank")
+    return K.contiguous_ranks(t.lineitem.select("l_orderkey", "l_linenumber"), ["l_orderkey"], "l_linenumber")
 
 
 @query("three_copy_reconciliation", "C20", f"""

@@ -107,23 +107,26 @@ def _(t):
     return strata_rows(t).select("unit", "true_period", "period_bin")
 
 
+def first_turns(t):
+    """The first user and the first assistant turn of every conversation."""
+    rows = t.conversations.where(F.col("role").isin("user", "assistant"))
+    return rows.groupBy("conv_id", "role").agg(F.min_by(F.length("text").cast("bigint"), "turn").alias("score"))
+
+
 @query("paired_background", "C11", """
 SELECT conv_id, p AS positive_score, z AS null_score FROM (
-  SELECT conv_id, max(len(text)) FILTER (WHERE role = 'user') AS p, max(len(text)) FILTER (WHERE role = 'assistant') AS z,
-    count(*) FILTER (WHERE role = 'user') AS np, count(*) FILTER (WHERE role = 'assistant') AS nz
-  FROM conversations WHERE turn <= 1 GROUP BY 1) WHERE np = 1 AND nz = 1""")
+  SELECT conv_id, arg_min(len(text), turn) FILTER (WHERE role = 'user') AS p, arg_min(len(text), turn) FILTER (WHERE role = 'assistant') AS z
+  FROM conversations GROUP BY 1) WHERE p IS NOT NULL AND z IS NOT NULL""")
 def _(t):
-    rows = t.conversations.where("turn <= 1").select("conv_id", "role", F.length("text").cast("bigint").alias("score"))
-    return E.pair_members(rows, "conv_id", "role", "user", "assistant", ["score"])[0]
+    return E.pair_members(first_turns(t), "conv_id", "role", "user", "assistant", ["score"])[0]
 
 
 @query("unpaired_backgrounds", "C11 K8", """
-SELECT 'unpaired_background' AS rule, conv_id::VARCHAR AS key, count(*) FILTER (WHERE role = 'user') || '|' || count(*) FILTER (WHERE role = 'assistant') AS detail
-FROM conversations WHERE turn <= 1 GROUP BY conv_id
-HAVING NOT (count(*) FILTER (WHERE role = 'user') = 1 AND count(*) FILTER (WHERE role = 'assistant') = 1)""")
+SELECT 'unpaired_background' AS rule, conv_id::VARCHAR AS key, count(DISTINCT role) FILTER (WHERE role = 'user') || '|' || count(DISTINCT role) FILTER (WHERE role = 'assistant') AS detail
+FROM conversations GROUP BY conv_id
+HAVING count(DISTINCT role) FILTER (WHERE role IN ('user', 'assistant')) < 2""")
 def _(t):
-    rows = t.conversations.where("turn <= 1").select("conv_id", "role", F.length("text").alias("score"))
-    return E.pair_members(rows, "conv_id", "role", "user", "assistant", ["score"])[1]
+    return E.pair_members(first_turns(t), "conv_id", "role", "user", "assistant", ["score"])[1]
 
 
 @query("threshold_axis", "D18", f"""

@@ -97,9 +97,9 @@ _P = ", ".join(f"('{p}', '{f}', '{q}', '{d}')" for p, f, q, d in PROFILES)
 CELLS_SQL = f"""cells AS (
   SELECT * FROM (VALUES {_W}) w(window_id, ds, de), (VALUES {_P}) p(profile_id, flux, policy, detrending))"""
 
-VARIANTS_SQL = SERIES_SQL + ", " + CELLS_SQL + """, planned AS (
+VARIANTS_SQL = SERIES_SQL + ", " + CELLS_SQL + """, planned AS MATERIALIZED (
   SELECT ev.*, cells.*, start_idx + ds AS lo, end_idx + de AS hi FROM ev, cells),
-smp AS (
+smp AS MATERIALIZED (
   SELECT p.*, s.idx, s.t, CASE WHEN flux = 'alternate' THEN s.y2 ELSE s.y END AS y,
          (policy <> 'q0_native' OR s.quality = 0) AS kept
   FROM planned p JOIN series s ON s.series_id = p.series_id AND s.idx BETWEEN lo AND hi

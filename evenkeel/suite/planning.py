@@ -94,14 +94,13 @@ def _(t):
     return P.anchor_sample(anchors, rows, "l_orderkey", (1, 6))
 
 
-PLAN_SQL = """d AS (SELECT o_orderkey AS decision, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS ord FROM orders WHERE o_orderstatus = 'F'
-  UNION ALL SELECT o_orderkey, NULL FROM orders WHERE false),
+PLAN_SQL = """d AS (SELECT o_orderkey AS decision, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS ord FROM orders),
 plan AS (SELECT 'D' || lpad(ord::VARCHAR, 6, '0') AS decision_id, decision, ord AS decision_order, model, CAST((ord - 1) * 3 + i AS BIGINT) AS job_order,
   decision || ':' || model AS job_id FROM d, (VALUES ('M0', 1), ('M1', 2), ('M2', 3)) m(model, i))"""
 
 
 def plan(t):
-    base = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("decision"), "o_custkey")
+    base = t.orders.select(F.col("o_orderkey").alias("decision"), "o_custkey")
     ids = E.surrogate_ids(base, [F.col("o_custkey"), F.col("decision")], "D", 6, "decision_id")
     ids = ids.withColumn("decision_order", F.substring("decision_id", 2, 20).cast("bigint")).drop("o_custkey")
     return E.plan_jobs(ids).withColumn("job_id", F.concat_ws(":", F.col("decision").cast("string"), "model"))

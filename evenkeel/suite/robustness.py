@@ -266,14 +266,14 @@ def _(t):
 
 # --- trajectories: users and event types over weeks ------------------------------------------
 
-WEEKS = (1, 2, 3, 4)
+WEEKS = (1, 2, 3, 4, 5)
 TRAJ_SQL = """traj AS (
   SELECT user_id AS parent_id, event_type AS block_id, CAST(week AS BIGINT) AS n_samples, d01, d21, least(d01, d21) - 10 AS joint_margin,
          d01 > 10 AND d21 > 10 AS selected, user_id % 3 = 0 AS truth,
          CASE WHEN d01 < d21 - 5e-12 THEN 'M0' WHEN d21 < d01 - 5e-12 THEN 'M2' ELSE 'TIE' END AS limiting_model
   FROM (SELECT user_id, event_type, (epoch_us(ts) - 1704067200000000) // 604800000000 + 1 AS week,
                round(max(value) / 8.0, 6) AS d01, round(sum(value) / 15.0, 6) AS d21
-        FROM events GROUP BY 1, 2, 3) WHERE week BETWEEN 1 AND 4)"""
+        FROM events GROUP BY 1, 2, 3))"""
 
 
 def _traj(t):
@@ -355,7 +355,7 @@ def _(t):
 WITH {TRAJ_SQL} SELECT n_samples, truth, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE selected) AS BIGINT) AS n_selected
 FROM traj GROUP BY 1, 2""")
 def _(t):
-    return _traj(t).where(F.col("n_samples").isin(*WEEKS)).groupBy("n_samples", "truth").agg(F.count(F.lit(1)).alias("n"), F.count_if("selected").alias("n_selected"))
+    return _traj(t).groupBy("n_samples", "truth").agg(F.count(F.lit(1)).alias("n"), F.count_if("selected").alias("n_selected"))
 
 
 @query("period_error_table", "D25 B12", f"""
@@ -364,7 +364,7 @@ SELECT n_samples, block_id, CAST(count(*) AS BIGINT) AS n_formal, CAST(count(*)
   round(quantile_cont(err, 0.5), 5) AS formal_median, round(quantile_cont(err, 0.5) FILTER (WHERE selected), 5) AS selected_median
 FROM e GROUP BY 1, 2""")
 def _(t):
-    rows = D.with_period_errors(_traj(t).where(F.col("n_samples").isin(*WEEKS)), "d01", "d21")
+    rows = D.with_period_errors(_traj(t), "d01", "d21")
     return rounded(S.error_table(rows, ["n_samples", "block_id"]), "formal_median", "selected_median", digits=5)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evenkeel.functions import labels as L
 from evenkeel.operators import quality as K
 from evenkeel.operators import series as R
+from evenkeel.operators.summaries import attach
 from evenkeel.plans.expansion import PAD, cells, expand_cells
 from evenkeel.suite import inputs as I
 from evenkeel.suite.decisions import rounded
@@ -119,10 +120,10 @@ def _(t):
 
 @query("relative_time", "F5", f"""
 WITH {I.SERIES_SQL}
-SELECT series_id, idx, round((us - first(us) OVER (PARTITION BY series_id ORDER BY idx)) / 1e6::DOUBLE, 3) AS rel_t FROM series""")
+SELECT series_id, idx, round((us - first(us) OVER (PARTITION BY series_id ORDER BY idx)) * 1e-6::DOUBLE, 3) AS rel_t FROM series""")
 def _(t):
-    rows = I.series(t).withColumn("t", F.col("us") / 1e6)
-    return R.relative_time(rows, ["series_id"], scale=1.0).select("series_id", "idx", F.round("rel_t", 3).alias("rel_t"))
+    rows = I.series(t).withColumn("t", F.col("us"))
+    return R.relative_time(rows, ["series_id"], scale=1e-6).select("series_id", "idx", F.round("rel_t", 3).alias("rel_t"))
 
 
 @query("mask_regimes", "F6", f"""
@@ -175,7 +176,7 @@ def _(t):
 @query("series_invariants", "F14", f"""
 WITH {I.SERIES_SQL}, d AS (
   SELECT s.*, peak_idx, y - lag(y) OVER (PARTITION BY s.series_id ORDER BY idx) AS dy
-  FROM series s JOIN ev ON ev.series_id = s.series_id WHERE idx BETWEEN peak_idx - 1 AND peak_idx + 1)
+  FROM series s JOIN ev ON ev.series_id = s.series_id)
 SELECT series_id, CAST(count(*) AS BIGINT) AS n, true AS all_finite, min(t) AS first_t, max(t) AS last_t, round(avg(y), 6) AS mean,
   round(stddev_samp(y), 6) AS std, coalesce(bool_and(dy > 0) FILTER (WHERE idx <= peak_idx AND dy IS NOT NULL), true) AS rises_to_peak,
   coalesce(bool_and(dy < 0) FILTER (WHERE idx > peak_idx AND dy IS NOT NULL), true) AS falls_after_peak,
@@ -183,6 +184,6 @@ SELECT series_id, CAST(count(*) AS BIGINT) AS n, true AS all_finite, min(t) AS f
 FROM d GROUP BY 1""")
 def _(t):
     rows = I.series(t)
-    near = I.peaks(rows).withColumns({"start_idx": F.col("peak_idx") - 1, "end_idx": F.col("peak_idx") + 1})
-    out = R.invariants(R.bind_samples(near, rows, 0), ["series_id"], mean=150.0, std=100.0, tol=50.0, group_rows=3)
+    out = R.invariants(attach(rows, I.peaks(rows).select("series_id", "peak_idx"), ["series_id"]), ["series_id"],
+                       mean=150.0, std=100.0, tol=50.0)
     return rounded(out, "mean", "std")

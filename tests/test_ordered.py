@@ -35,9 +35,12 @@ def test_paths_agree(spark, frame, by):
     order = [F.col("x"), F.col("id")]
     for build in (
         lambda: O.number_rows(frame, by, order, "n"),
-        lambda: O.running_sum(frame, by, order, {"s": F.col("id"), "c": F.lit(1)}),
+        lambda: O.running_sum(frame, by, order, {"s": F.col("id"), "c": F.lit(1), "v": F.col("v")}),
+        lambda: O.running_sum(frame, by, [F.col("id").desc()], {"v": F.col("v")}),
+        lambda: O.running_sum(frame.limit(0), by, order, {"v": F.col("v")}),
         lambda: O.neighbours(frame, by, order, prev={"p": F.col("v"), "pi": F.col("id")}, next={"ni": F.col("id")}),
-        lambda: O.neighbours(frame, by, order, prev={"pi": F.col("id")}, among=F.col("v").isNotNull()).where("v is not null"),
+        lambda: O.neighbours(frame, by, order, prev={"pi": F.col("id")}, among=F.col("v").isNotNull()),
+        lambda: O.neighbours(frame, by, order, prev={"p": F.col("v")}, among=F.col("x") > 5),
         lambda: O.carry(frame, by, order, back={"b": F.col("v")}, ahead={"a": F.col("v")}),
     ):
         plain, split = both(spark, build)
@@ -61,3 +64,19 @@ def test_empty_quantile_group_is_null(spark, split_groups):
     df = spark.createDataFrame([("a", None)] * 5 + [("b", 1.0)] * 5, "g string, x double")
     got = {r.g: r.q for r in O.quantiles(df, ["g"], {"q": F.col("x")}, (0.5,)).collect()}
     assert got == {"a": None, "b": [1.0]}
+
+
+def test_among_refuses_next_on_both_paths(spark, frame):
+    def run():
+        with pytest.raises(ValueError):
+            O.neighbours(frame, ["g"], [F.col("id")], next={"n": F.col("id")}, among=F.col("v").isNotNull())
+        return frame.limit(0)
+    both(spark, run)
+
+
+def test_markers_without_finite_time_have_no_sample(spark):
+    from evenkeel.operators import joins as J
+    markers = spark.createDataFrame([(1, None), (2, float("nan")), (3, float("inf")), (4, 1.2)], "m int, t double").withColumn("g", F.lit("a"))
+    samples = spark.createDataFrame([("a", 0, 0.0), ("a", 1, 1.0), ("a", 2, float("nan"))], "g string, idx long, t double")
+    got = {r.m: (r.idx, r.residual) for r in J.nearest_join(markers, samples, ["g"]).collect()}
+    assert got[4][0] == 1 and {got[m] for m in (1, 2, 3)} == {(None, None)}
