@@ -35,9 +35,9 @@ def test_paths_agree(spark, frame, by):
     order = [F.col("x"), F.col("id")]
     for build in (
         lambda: O.number_rows(frame, by, order, "n"),
-        lambda: O.running_sum(frame, by, order, {"s": F.col("id"), "c": F.lit(1), "v": F.col("v")}),
-        lambda: O.running_sum(frame, by, [F.col("id").desc()], {"v": F.col("v")}),
-        lambda: O.running_sum(frame.limit(0), by, order, {"v": F.col("v")}),
+        lambda: O.running_sum(frame, by, order, {"s": F.col("id"), "c": F.lit(1), "sv": F.col("v")}),
+        lambda: O.running_sum(frame, by, [F.col("id").desc()], {"sv": F.col("v")}),
+        lambda: O.running_sum(frame.limit(0), by, order, {"sv": F.col("v")}),
         lambda: O.neighbours(frame, by, order, prev={"p": F.col("v"), "pi": F.col("id")}, next={"ni": F.col("id")}),
         lambda: O.neighbours(frame, by, order, prev={"pi": F.col("id")}, among=F.col("v").isNotNull()),
         lambda: O.neighbours(frame, by, order, prev={"p": F.col("v")}, among=F.col("x") > 5),
