@@ -163,7 +163,7 @@ def _rules(t):
     return rows.withColumn("candidate", L.selected(F.col("d01"), F.col("d21"), 4.0, 2.0))
 
 
-REPS = 40
+REPS = 10_000
 _CELLS = {"TP": "11", "FN": "10", "FP": "01", "TN": "00"}
 BOOT_SQL = I.EVALUATION_SQL + f""", u AS (
   SELECT lang, unit, truth::INT || '' || (selected::INT) || (d01 > 4 AND d21 > 2)::INT AS cls FROM evaluation WHERE eligible),

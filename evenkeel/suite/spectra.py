@@ -12,15 +12,15 @@ from evenkeel.suite import inputs as I
 from evenkeel.suite.decisions import rounded
 from evenkeel.suite.registry import query
 
-N = 48
+SEGMENT = 30
 
 
 def stretch(t):
-    """The first 48 samples of every series, with their position."""
-    return I.series(t).where(F.col("idx") < N).select("series_id", "idx", F.col("idx").alias("pos"), "t", "y")
+    """Every sample of every series, with its position."""
+    return I.series(t).select("series_id", "idx", F.col("idx").alias("pos"), "t", "y")
 
 
-STRETCH_SQL = I.SERIES_SQL + f", st AS (SELECT series_id, idx, t, y FROM series WHERE idx < {N})"
+STRETCH_SQL = I.SERIES_SQL + ", st AS (SELECT series_id, idx, t, y FROM series)"
 
 UNIFORM = "('0x' || substr(sha256('{ns}|' || series_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
 
@@ -54,7 +54,7 @@ def _(t):
 POWER_SQL = STRETCH_SQL + f""", m AS (SELECT series_id, count(*) AS n, avg(y) AS m, (max(t) - min(t)) / (count(*) - 1) AS dt FROM st GROUP BY 1),
 z AS (SELECT series_id, idx, n, dt, (y - m) / m * (0.5 - 0.5 * cos({2.0 * math.pi!r} * idx / (n - 1))) AS z FROM st JOIN m USING (series_id)),
 pw AS (SELECT series_id, k, k / any_value(n * dt) AS freq, power(sum(z * cos({2.0 * math.pi!r} * ((k * idx) % n) / n)), 2) + power(sum(z * sin({2.0 * math.pi!r} * ((k * idx) % n) / n)), 2) AS power
-  FROM z, range(1, 1 + {N // 2}) r(k) WHERE k <= (n - 1) // 2 GROUP BY 1, 2),
+  FROM z, range(1, 1 + (SELECT max(n) // 2 FROM m)) r(k) WHERE k <= (n - 1) // 2 GROUP BY 1, 2),
 sp AS (SELECT series_id, k, freq, power / avg(power) OVER w / (stddev_pop(power) OVER w / avg(power) OVER w) AS power FROM pw WINDOW w AS (PARTITION BY series_id))"""
 
 
@@ -94,13 +94,13 @@ SELECT series_id, model, CAST(any_value(bins) AS BIGINT) AS bins, round(max(lnl)
   round(-2 * max(lnl) + CASE model WHEN 'M0' THEN 2 WHEN 'M1' THEN 5 ELSE 4 END * ln(any_value(bins)), 4) AS bic FROM ll GROUP BY 1, 2""")
 def _(t):
     sp = S.cut(S.periodogram(stretch(t), ["series_id"]))
-    out = S.fit_grid(sp, ["series_id"], POINTS, refine=0, group_rows=N)
+    out = S.fit_grid(sp, ["series_id"], POINTS, refine=0)
     return rounded(out.select("series_id", "model", "bins", "lnl", "bic"), "lnl", "bic", digits=4)
 
 
 def refined(t):
     sp = S.cut(S.periodogram(stretch(t), ["series_id"]))
-    return S.fit_status(S.fit_grid(sp, ["series_id"], POINTS, refine=1, group_rows=N))
+    return S.fit_status(S.fit_grid(sp, ["series_id"], POINTS, refine=1))
 
 
 @query("refined_fits", "F12 F13 B13 B15", None)
@@ -116,19 +116,19 @@ def _(t):
 
 
 @query("ensemble_slope", "D22", f"""
-WITH {I.SERIES_SQL}, st AS (SELECT s.* FROM series s JOIN (SELECT series_id, count(*) AS c FROM series GROUP BY 1) USING (series_id) WHERE c >= 30 AND idx < 30),
-m AS (SELECT series_id, avg(y) AS m FROM st GROUP BY 1),
-pw AS (SELECT series_id, k, k / 600.0::DOUBLE AS freq, power(sum((y - m) / m * cos({2.0 * math.pi!r} * ((k * idx) % 30) / 30)), 2) + power(sum((y - m) / m * sin({2.0 * math.pi!r} * ((k * idx) % 30) / 30)), 2) AS p
-  FROM st JOIN m USING (series_id), range(1, 16) r(k) GROUP BY 1, 2),
+WITH {I.SERIES_SQL}, st AS (SELECT *, idx // 30 AS seg FROM series QUALIFY count(*) OVER (PARTITION BY series_id, idx // 30) = 30),
+m AS (SELECT series_id, seg, avg(y) AS m FROM st GROUP BY 1, 2),
+pw AS (SELECT series_id, seg, k, k / 600.0::DOUBLE AS freq, power(sum((y - m) / m * cos({2.0 * math.pi!r} * ((k * idx) % 30) / 30)), 2) + power(sum((y - m) / m * sin({2.0 * math.pi!r} * ((k * idx) % 30) / 30)), 2) AS p
+  FROM st JOIN m USING (series_id, seg), range(1, 16) r(k) GROUP BY 1, 2, 3),
 e AS (SELECT series_id % 2 AS grp, (series_id % 3)::DOUBLE AS level, freq, avg(p) AS p FROM pw GROUP BY 1, 2, 3),
 s AS (SELECT grp, level, CAST(count(*) AS BIGINT) AS bins, regr_slope(ln(p), ln(freq)) AS slope FROM e GROUP BY 1, 2),
 o AS (SELECT grp, coalesce(bool_and(b > slope) FILTER (WHERE b IS NOT NULL), true) AS ordered FROM (SELECT *, lag(slope) OVER (PARTITION BY grp ORDER BY level) AS b FROM s) GROUP BY 1)
 SELECT s.grp, level, bins, round(slope, 6) AS slope, round(abs(slope + level), 6) AS error, ordered, abs(slope + level) <= 0.35 AS within_tolerance
 FROM s JOIN o USING (grp)""")
 def _(t):
-    rows = I.series(t)
-    full = rows.where("idx = 29").select("series_id")
-    rows = rows.where("idx < 30").join(full, "series_id", "left_semi").withColumn("pos", F.col("idx"))
-    sp = S.power_spectrum(rows, ["series_id"], hann=False, nyquist=True)
+    # realisations of equal length: every whole stretch of SEGMENT samples
+    rows = I.series(t).withColumns({"seg": F.floor(F.col("idx") / SEGMENT), "pos": F.col("idx") % SEGMENT})
+    full = rows.where(F.col("pos") == SEGMENT - 1).select("series_id", "seg")
+    sp = S.power_spectrum(rows.join(full, ["series_id", "seg"], "left_semi"), ["series_id", "seg"], hann=False, nyquist=True)
     sp = sp.withColumns({"grp": F.col("series_id") % 2, "level": (F.col("series_id") % 3).cast("double"), "freq": F.round("freq", 12)})
     return rounded(S.ensemble_slope(sp, ["grp"], "level"), "slope", "error")
