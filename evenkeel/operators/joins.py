@@ -16,7 +16,7 @@ TIE_TOLERANCE = 1e-15
 
 
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint only for a measured size; otherwise Spark shuffles and AQE splits skew."""
+    """Broadcast hint for a few narrow columns of a measured number of rows; otherwise Spark shuffles and AQE splits skew."""
     return F.broadcast(df) if rows <= broadcast_rows_limit(df.sparkSession) else df
 
 
@@ -36,36 +36,44 @@ def unique_lookup(child: DataFrame, parent: DataFrame, keys: Sequence[str]) -> t
     return good, out
 
 
-def _bucketed(intervals: DataFrame, lo: str, hi: str, width: float) -> DataFrame:
-    """Repeat each interval once per bucket of ``width`` that it touches."""
-    first, last = F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)
-    return intervals.withColumn("_b", F.explode(F.sequence(first, last)))
+def _level(length: Column, at: Column) -> Column:
+    """Exponent of the smallest power of two that is at least the length; very short intervals share a level near their place."""
+    return F.ceil(F.log2(F.greatest(length, F.greatest(F.abs(at), F.lit(1.0)) * 2.0**-20))).cast("int")
 
 
 def _interval_join(events: DataFrame, intervals: DataFrame, t: str, inside: Column, lo: str, hi: str) -> DataFrame:
-    """Left join of points to intervals as an equi-join on time buckets.
+    """Left join of points to intervals as an equi-join on time buckets; a point has one row per level at least.
 
-    The bucket width is a quarter of the mean interval length, so the repeated intervals are at
-    most about five times the intervals themselves plus one row each.
+    The bucket width of an interval is the power of two above its length, so it touches two buckets at most
+    whatever the lengths of the others; a point looks once into each width that occurs.
     """
-    stats = intervals.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(hi) - F.col(lo)).alias("s")).first()
-    width = float(stats["s"] or 0) / max(stats["n"], 1) / 4 or 1.0
-    wide = maybe_broadcast(_bucketed(intervals, lo, hi, width), 6 * stats["n"])
-    points = events.withColumn("_b", F.floor(F.col(t) / width))
-    return points.join(wide, (points["_b"] == wide["_b"]) & inside, "left").drop("_b")
-
-
-def partition_join(events: DataFrame, boundaries: DataFrame, t: str, bound: str, part: str) -> DataFrame:
+    sized = intervals.where(F.col(lo) <= F.col(hi)).withColumn("_lv", _level(F.col(hi) - F.col(lo), F.col(lo)))
+    levels = [r["_lv"] for r in sized.select("_lv").distinct().collect()] or [0]  # exponents: some dozens
+    rows = 2 * sized.count()
+    width = F.pow(F.lit(2.0), F.col("_lv"))
+    wide = sized.withColumn("_b", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
+    points = events.withColumn("_lv", F.explode(F.array(*map(F.lit, levels)))).withColumn("_b", F.floor(F.col(t) / width))
+    wide = maybe_broadcast(wide, rows)
+    return points.join(wide, (points["_lv"] == wide["_lv"]) & (points["_b"] == wide["_b"]) & inside, "left").drop("_b", "_lv")
+
+
+def partition_join(events: DataFrame, boundaries: DataFrame, t: str, bound: str, part: str,
+                   group_rows: int | None = None) -> DataFrame:
     """Latest boundary at or before ``t`` whose successor lies after ``t``, with the margin to the nearer edge.
 
-    ``part`` and ``margin`` stay NULL before the first and from the last boundary on.
+    ``part`` and ``margin`` stay NULL before the first and from the last boundary on, and where ``t`` is not finite.
+    Boundaries and events are merged into one time order, in which each event takes the last boundary seen.
     """
     steps = neighbours(boundaries.select(F.col(bound).alias("_lo"), F.col(part)), [], [F.col("_lo")],
                        next={"_hi": F.col("_lo")}).where("_hi is not null")
-    inside = (F.col(t) >= F.col("_lo")) & (F.col(t) < F.col("_hi"))
-    out = _interval_join(events, steps, t, inside, "_lo", "_hi")
-    margin = F.least(F.col(t) - F.col("_lo"), F.col("_hi") - F.col(t))
-    return out.withColumn("margin", margin).drop("_lo", "_hi")
+    marks = steps.select(F.col("_lo").cast("double").alias("_t"), F.lit(0).alias("_kind"), F.struct("_lo", "_hi", part).alias("_s"))
+    rows = events.select(F.col(t).cast("double").alias("_t"), F.lit(1).alias("_kind"), F.struct(*events.columns).alias("_m"))
+    seen = carry(marks.unionByName(rows, allowMissingColumns=True), [], [F.col("_t"), F.col("_kind"), F.to_json("_m")],
+                 back={"_l": F.col("_s")}, group_rows=group_rows).where("_kind = 1")
+    at, step = F.col(f"_m.{t}"), F.when(F.col("_t") < F.col("_l._hi"), F.col("_l"))
+    out = seen.withColumn("_h", step)
+    return out.select(*[F.col(f"_m.{c}").alias(c) for c in events.columns], F.col(f"_h.{part}").alias(part),
+                      F.least(at - F.col("_h._lo"), F.col("_h._hi") - at).alias("margin"))
 
 
 def containment_join(events: DataFrame, intervals: DataFrame, key: Sequence[str], t: str, start: str, end: str,

@@ -80,3 +80,31 @@ def test_markers_without_finite_time_have_no_sample(spark):
     samples = spark.createDataFrame([("a", 0, 0.0), ("a", 1, 1.0), ("a", 2, float("nan"))], "g string, idx long, t double")
     got = {r.m: (r.idx, r.residual) for r in J.nearest_join(markers, samples, ["g"]).collect()}
     assert got[4][0] == 1 and {got[m] for m in (1, 2, 3)} == {(None, None)}
+
+
+def test_containment_with_one_very_long_interval(spark):
+    from evenkeel.operators import joins as J
+    rnd = random.Random(9)
+    spans = [(f"i{k}", 10.0 * k, 10.0 * k + rnd.random()) for k in range(200)] + [("long", -5e5, 5e5), ("point", 77.0, 77.0), ("bad", 5.0, 4.0)]
+    times = [(i, t) for i, t in enumerate([rnd.uniform(-50, 2100) for _ in range(300)] + [77.0, 10.0, 1e9, float("nan"), None])]
+    got = J.containment_join(spark.createDataFrame(times, "e int, t double"), spark.createDataFrame(spans, "name string, s double, f double"),
+                             ["e"], "t", "s", "f", "name")
+    want = {}
+    for i, t in times:
+        hit = [n for n, a, b in spans if t is not None and a <= t <= b]
+        want[i] = (len(hit), hit[0] if len(hit) == 1 else None)
+    assert {r.e: (r.matches, r.name) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("limit", ["3", "1000000"])
+def test_partition_join_on_both_paths(spark, limit):
+    from evenkeel.operators import joins as J
+    bounds = [(0.0, "a"), (10.0, "b"), (10.5, "c"), (1e7, "d")]
+    times = [(i, t) for i, t in enumerate([-1.0, 0.0, 9.9, 10.0, 10.4, 11.0, 9e6, 1e7, 2e7, float("nan"), None])]
+    spark.conf.set("evenkeel.group.rows", limit)
+    try:
+        got = {r.e: r.part for r in J.partition_join(spark.createDataFrame(times, "e int, t double"),
+                                                     spark.createDataFrame(bounds, "lo double, part string"), "t", "lo", "part").collect()}
+    finally:
+        spark.conf.unset("evenkeel.group.rows")
+    assert got == dict(enumerate([None, "a", "a", "b", "b", "c", "c", None, None, None, None]))
