@@ -33,6 +33,15 @@ def coverage_sample(df: DataFrame, by: Sequence[str], wanted: Sequence[tuple], w
     return first_rows(df.where(hit), by, [F.col(c) for c in order])
 
 
+def coverage_gaps(df: DataFrame, wanted: Sequence[tuple], wanted_by: Sequence[str]) -> DataFrame:
+    """Violations ``(rule, key, detail)`` for wanted combinations that no row has."""
+    names = [f"_{i}" for i in range(len(wanted_by))]
+    asked = df.sparkSession.createDataFrame([tuple(map(str, c)) for c in wanted], ", ".join(f"{n} string" for n in names))
+    there = df.select(*[F.col(c).cast("string").alias(n) for c, n in zip(wanted_by, names, strict=True)]).distinct()
+    return asked.join(there, names, "left_anti").select(
+        F.lit("coverage").alias("rule"), F.concat_ws("|", *names).alias("key"), F.lit("no row").alias("detail"))
+
+
 def first_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row per group in a total order, as a map-side aggregation."""
     rest = [c for c in df.columns if c not in by]

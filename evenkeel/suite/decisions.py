@@ -214,18 +214,25 @@ def _(t):
 
 
 @query("model_diagnostics", "D11", f"""
-WITH {I.FITS_SQL}
-SELECT model, seed,
-  concat_ws('|', CASE WHEN grouping(model) = 0 THEN 'model' END, CASE WHEN grouping(seed) = 0 THEN 'seed' END) AS scope,
+WITH {I.FITS_SQL}, placed AS (SELECT *, CASE WHEN series_id % 2 = 0 THEN 'PUBLISHED' ELSE 'CONTROL' END AS role,
+  CASE WHEN seed % 2 = 0 THEN 'P00' ELSE 'P01' END AS profile, 15 * (1 + series_id % 4) AS n FROM fits)
+SELECT model, seed, role, profile, n,
+  concat_ws('|', CASE WHEN grouping(model) = 0 THEN 'model' END, CASE WHEN grouping(seed) = 0 THEN 'seed' END,
+    CASE WHEN grouping(role) = 0 THEN 'role' END, CASE WHEN grouping(profile) = 0 THEN 'profile' END, CASE WHEN grouping(n) = 0 THEN 'n' END) AS scope,
   CAST(count(*) AS BIGINT) AS calls, CAST(count(*) FILTER (WHERE status = 'OK') AS BIGINT) AS ok_calls,
   CAST(count(*) FILTER (WHERE warnings > 0) AS BIGINT) AS warning_calls, CAST(sum(warnings) AS BIGINT) AS warning_total,
-  CAST(count(*) FILTER (WHERE bound_hits > 0) AS BIGINT) AS bound_calls, round(sum(runtime), 0) AS runtime_total,
+  CAST(count(*) FILTER (WHERE bound_hits > 0) AS BIGINT) AS bound_calls, CAST(round(sum(runtime) * 100) AS BIGINT) AS runtime_cents,
   round(count(*) FILTER (WHERE warnings > 0) / count(*)::DOUBLE, 6) AS warning_rate,
   round(count(*) FILTER (WHERE bound_hits > 0) / count(*)::DOUBLE, 6) AS bound_hit_rate
-FROM fits GROUP BY GROUPING SETS ((), (model), (model, seed))""")
+FROM placed GROUP BY GROUPING SETS ((), (model), (model, seed), (model, profile, role), (model, n))""")
 def _(t):
-    out = S.model_diagnostics(I.fits(t), [[], ["model"], ["model", "seed"]], ["model", "seed"])
-    return rounded(rounded(out, "warning_rate", "bound_hit_rate"), "runtime_total", digits=0)
+    placed = I.fits(t).withColumns({
+        "role": F.when(F.col("series_id") % 2 == 0, "PUBLISHED").otherwise("CONTROL"),
+        "profile": F.when(F.col("seed") % 2 == 0, "P00").otherwise("P01"), "n": 15 * (1 + F.col("series_id") % 4)})
+    out = S.model_diagnostics(placed, [[], ["model"], ["model", "seed"], ["model", "profile", "role"], ["model", "n"]],
+                              ["model", "seed", "role", "profile", "n"])
+    cents = F.round(F.col("runtime_total") * 100).cast("bigint").alias("runtime_cents")
+    return rounded(out, "warning_rate", "bound_hit_rate").select("*", cents).drop("runtime_total")
 
 
 @query("diagnostic_status_map", "D11 B14", f"""

@@ -75,6 +75,14 @@ def _(t):
     return coverage(t)
 
 
+@query("coverage_gaps", "E6", """
+SELECT 'coverage' AS rule, role || '|' || "window" AS key, 'no row' AS detail
+FROM (VALUES ('O', '1-URGENT'), ('O', '3-MEDIUM'), ('F', '2-HIGH'), ('P', '5-LOW'), ('P', '9-NONE')) w(role, "window")
+WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = role AND o_orderpriority = "window")""")
+def _(t):
+    return P.coverage_gaps(decisions(t), WANTED, ["role", "window"])
+
+
 @query("extremes_sample", "E7", f"""
 WITH {DEC_SQL}, a AS (SELECT * FROM dec WHERE decision_id NOT IN (SELECT decision_id FROM cov)),
 s AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY role ORDER BY length, decision_id) = 1),

@@ -169,6 +169,20 @@ def _(t):
     return C.contrast_totals(C.window_contrast(I.outcome_rows(t)), ["profile_id", "window_id"])
 
 
+@query("role_contrast_totals", "D26", f"""
+WITH {I.OUTCOMES_SQL}, c AS (SELECT r.role, r.profile_id, {COMPARE_SQL}
+FROM outcomes l JOIN outcomes r ON l.event_id = r.event_id AND l.profile_id = r.profile_id
+ AND l.window_id = 'W00' AND r.window_id <> 'W00')
+SELECT role, profile_id, CAST(count(*) AS BIGINT) AS pairs,
+  CAST(count(*) FILTER (WHERE comparability = 'BOTH_ELIGIBLE') AS BIGINT) AS comparable,
+  {", ".join(f"CAST(count(*) FILTER (WHERE step = '{a}>{b}') AS BIGINT) AS n_{a}{b}" for a in (0, 1) for b in (0, 1))}
+FROM c GROUP BY 1, 2""")
+def _(t):
+    rows = I.outcome_rows(t)
+    role = rows.select("event_id", "role").distinct()
+    return C.contrast_totals(C.window_contrast(rows).drop("role").join(role, "event_id"), ["role", "profile_id"])
+
+
 @query("pair_comparison", "C16", f"""
 WITH {I.OUTCOMES_SQL}
 SELECT l.pair_id, CAST(count(*) AS BIGINT) AS variants,
