@@ -78,12 +78,11 @@ def contamination(text: str | None, items: list[tuple[int, str | None]], size: i
     return len(doc), sorted(hit), sorted(names)
 
 
-def units(text: str, piece: int = 512) -> list[str]:
+def units(text: str, chars: int = 768) -> list[str]:
     out = []
     for i, line in enumerate(text.split("\n")):
-        parts = line.split(" ")
-        for k in range(0, len(parts), piece):
-            out.append((" " if k else "\n" if i else "") + " ".join(parts[k:k + piece]))
+        whole = "\n" + line if i else line
+        out += [whole] if len(line) < chars else [whole[k:k + chars] for k in range(0, len(whole), chars)]
     return out
 
 
@@ -91,7 +90,15 @@ def line_words(unit: str) -> list[str]:
     return [w for w in re.split(r"[\s!-/:-@\[-`{-~]+", unit.lower(), flags=re.ASCII) if w]
 
 
-def edit_distance(a: str, b: str) -> int:
+def line_print(words: list[str]) -> int:
+    words = list(dict.fromkeys(w for w in words if len(w) >= 5)) or words
+    h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
+    least = min(h, key=lambda x: x - (1 << 64) if x >> 63 else x)
+    ones = [sum(x >> b & 1 for x in h) for b in range(60)]
+    return sum(1 << b for b in range(60) if 2 * ones[b] > len(h) or 2 * ones[b] == len(h) and least >> b & 1)
+
+
+def edit_distance(a, b) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
@@ -103,15 +110,13 @@ def edit_distance(a: str, b: str) -> int:
 
 def line_dedup(docs: list[tuple[int, str | None]], similarity: float = 0.8) -> dict[int, tuple[str | None, int, int]]:
     at = [(i, pos, " ".join(w)) for i, t in docs if t is not None for pos, u in enumerate(units(t)) if (w := line_words(u))]
-    prints = {}
-    for line in {x for _, _, x in at}:
-        h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in line.split(" ")]
-        prints[line] = sum(1 << b for b in range(60) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    prints = {line: line_print(line.split(" ")) for line in {x for _, _, x in at}}
     g = Groups()
     for a, b in combinations(sorted(prints), 2):
-        longer = max(len(a), len(b))
-        if (prints[a] ^ prints[b]).bit_count() <= 3 and min(len(a), len(b)) >= similarity * longer:
-            if edit_distance(a, b) <= int((1 - similarity) * longer + 1e-9):
+        v, w = a.split(" "), b.split(" ")
+        longer = max(len(v), len(w))
+        if (prints[a] ^ prints[b]).bit_count() <= 3 and min(len(v), len(w)) >= similarity * longer:
+            if edit_distance(v, w) <= int((1 - similarity) * longer + 1e-9):
                 g.join(a, b)
     first: dict[str, tuple] = {}
     for i, pos, line in sorted(at):
@@ -126,7 +131,7 @@ def line_dedup(docs: list[tuple[int, str | None]], similarity: float = 0.8) -> d
             out[i] = (None, 0, 0)
             continue
         kept = "".join(u for pos, u in enumerate(units(t)) if pos not in gone[i])
-        out[i] = (kept[1:] if 0 in gone[i] else kept, len(units(t)), len(gone[i]))
+        out[i] = (kept[1:] if 0 in gone[i] and kept[:1] == "\n" else kept, len(units(t)), len(gone[i]))
     return out
 
 

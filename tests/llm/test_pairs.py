@@ -73,7 +73,7 @@ def test_null_ids_have_no_say_in_classes(spark):
 
 def test_line_dedup(spark):
     docs = [*pairs(), (900, "Page one of nine is here today now and there it ends so\nPage two of nine is here today now and there it ends so"),
-            (901, "a\n\na\n  \nA!"), (902, " ".join(f"w{k}" for k in range(1_300))), (903, " ".join(f"w{k}" for k in range(1_299)) + " zz"),
+            (901, "a\n\na\n  \nA!"), (902, " ".join(f"word{k}" for k in range(1_300))), (903, " ".join(f"word{k}" for k in range(1_299)) + " zz"), (906, "a.b" * 3_000 + " c d"),
             (904, "\n"), (905, "Kurz,\nkurz")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("kept_text", F.lit(1)).withColumn("other", F.lit(2))
     got = {r.doc_id: (r.kept_text, r.n_lines, r.n_removed) for r in lines.dedup(df).collect()}
