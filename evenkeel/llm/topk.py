@@ -32,8 +32,8 @@ MARGIN = 1e-9
 @dataclass(frozen=True)
 class Settings:
     k: int = 5
-    page: int = 128
-    fan_out: int = 32
+    page: int = 1_024
+    fan_out: int = 16
     tree_rows: int = 16_384
     query_rows: int = 2_048
 
