@@ -69,14 +69,8 @@ def end_to_end(df: DataFrame, plane: str, primary: str) -> DataFrame:
         "end_to_end_null_selection_fraction": (c("_zs"), c("_z"))})
 
 
-def selection_function(df: DataFrame, grid: DataFrame, strata: Sequence[str], pooled: Sequence[str],
-                       bin_column: str) -> DataFrame:
-    """Eligibility, conditional and end-to-end selection per stratum, with declared empty strata.
-
-    Positives count in their base stratum and in their period-bin stratum, nulls in a stratum
-    over ``pooled`` only. ``grid(kind, *strata, bin)`` declares every stratum of the design.
-    """
-    keys = ["kind", *strata, bin_column]
+def _strata_counts(df: DataFrame, strata: Sequence[str], pooled: Sequence[str], bin_column: str) -> DataFrame:
+    """(kind, *strata, bin, _n, _e, _s): rows, eligible and selected ones of every stratum found."""
     key = lambda kind, cols, b: F.struct(
         F.lit(kind).alias("kind"), *[(F.col(c) if c in cols else F.lit("ALL")).alias(c) for c in strata],
         b.alias(bin_column))
@@ -84,9 +78,20 @@ def selection_function(df: DataFrame, grid: DataFrame, strata: Sequence[str], po
         key("POSITIVE", strata, F.lit("ALL")), key("POSITIVE_BY_PERIOD", strata, F.coalesce(F.col(bin_column), F.lit("NONE")))))
         .otherwise(F.array(key("NULL_POOLED", pooled, F.lit("ALL")))))
     hit = F.col("eligible") & F.coalesce(F.col("selected"), F.lit(False))
-    got = df.select(spots.alias("_k"), "eligible", hit.alias("_hit")).groupBy("_k").agg(
+    return df.select(spots.alias("_k"), "eligible", hit.alias("_hit")).groupBy("_k").agg(
         F.count(F.lit(1)).alias("_n"), F.count_if("eligible").alias("_e"), F.count_if("_hit").alias("_s")).select(
         "_k.*", "_n", "_e", "_s")
+
+
+def selection_function(df: DataFrame, grid: DataFrame, strata: Sequence[str], pooled: Sequence[str],
+                       bin_column: str) -> DataFrame:
+    """Eligibility, conditional and end-to-end selection per stratum, with declared empty strata.
+
+    Positives count in their base stratum and in their period-bin stratum, nulls in a stratum
+    over ``pooled`` only. ``grid(kind, *strata, bin)`` declares every stratum of the design.
+    """
+    keys = ["kind", *strata, bin_column]
+    got = _strata_counts(df, strata, pooled, bin_column)
     full = grid.select(*keys).join(got, keys, "left").na.fill(0, ["_n", "_e", "_s"])
     c = F.col
     out = _tall(full, keys, "function", {"input_eligibility": (c("_e"), c("_n")),
@@ -95,6 +100,16 @@ def selection_function(df: DataFrame, grid: DataFrame, strata: Sequence[str], po
     return out.withColumn("status", F.when(F.col("denominator") == 0, NO_EXPOSURE).otherwise("ESTIMATED"))
 
 
+def undeclared_strata(df: DataFrame, grid: DataFrame, strata: Sequence[str], pooled: Sequence[str],
+                      bin_column: str) -> DataFrame:
+    """Violations: strata of :func:`selection_function` that have rows but are not in ``grid``, with their number of rows."""
+    keys = ["kind", *strata, bin_column]
+    found = _strata_counts(df, strata, pooled, bin_column).join(grid.select(*keys), keys, "left_anti")
+    return found.select(
+        F.lit("undeclared_stratum").alias("rule"), F.concat_ws("|", *[F.coalesce(k, F.lit("NULL")) for k in keys]).alias("key"),
+        F.concat(F.col("_n").cast("string"), F.lit(" rows")).alias("detail"))
+
+
 def period_recovery(df: DataFrame, by: Sequence[str] = (), estimate: str = "estimate", truth: str = "true_period",
                     support: tuple[float, float] = (PERIOD_EDGES[0], PERIOD_EDGES[-1]),
                     group_rows: int | None = None) -> DataFrame:

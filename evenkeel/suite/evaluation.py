@@ -91,6 +91,19 @@ def _(t):
     return rounded(out, "rate", "lower", "upper")
 
 
+@query("undeclared_strata", "D15", f"""
+WITH {STRATA_SQL}, grid(kind, lang, grp, period_bin) AS (VALUES {", ".join(map(str, _GRID))}),
+r AS (SELECT 'POSITIVE' AS kind, lang, grp, 'ALL' AS period_bin FROM strata WHERE truth
+  UNION ALL SELECT 'POSITIVE_BY_PERIOD', lang, grp, coalesce(period_bin, 'NONE') FROM strata WHERE truth
+  UNION ALL SELECT 'NULL_POOLED', lang, 'ALL', 'ALL' FROM strata WHERE NOT truth)
+SELECT 'undeclared_stratum' AS rule, concat_ws('|', kind, coalesce(lang, 'NULL'), coalesce(grp, 'NULL'), period_bin) AS key, count(*) || ' rows' AS detail
+FROM r WHERE NOT EXISTS (SELECT 1 FROM grid g WHERE (g.kind, g.lang, g.grp, g.period_bin) = (r.kind, r.lang, r.grp, r.period_bin))
+GROUP BY r.kind, lang, grp, period_bin""")
+def _(t):
+    grid = t.spark.createDataFrame(_GRID, "kind string, lang string, grp string, period_bin string")
+    return E.undeclared_strata(strata_rows(t), grid, ["lang", "grp"], ["lang"], "period_bin")
+
+
 @query("period_recovery", "D16 B12", f"""
 WITH {STRATA_SQL}, p AS (SELECT lang, CASE WHEN selected AND estimate BETWEEN 40 AND 300 THEN estimate END AS est, true_period FROM strata WHERE truth AND eligible)
 SELECT lang, CAST(count(*) AS BIGINT) AS eligible_positives, CAST(count(est) AS BIGINT) AS recovered, CAST(count(*) - count(est) AS BIGINT) AS missing,
