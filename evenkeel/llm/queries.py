@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import decontaminate, lines, negatives, packing, quality, simhash, substrings, tokencount, topk, urls
+from evenkeel.llm import decontaminate, lines, negatives, packing, phrases, quality, simhash, substrings, tokencount, topk, urls
 from evenkeel.suite.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,28 @@ WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)
 def _(t: Tables) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(t.embeddings.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+@query("op12_collocations", """
+WITH p AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+g AS (
+    SELECT lang, k AS len, array_to_string(w[i:i + k - 1], ' ') AS phrase
+    FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k), LATERAL (SELECT unnest(generate_series(1, len(w) - k + 1)) AS i)),
+f AS (SELECT lang, len, phrase, count(*)::BIGINT AS f FROM g GROUP BY 1, 2, 3),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len = 1 GROUP BY 1),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE len > 1 AND f >= 100),
+kept AS (SELECT lang, len, phrase, f AS a, w FROM c WHERE NOT EXISTS (
+    SELECT 1 FROM c b WHERE b.lang = c.lang AND b.len > c.len AND 100 * b.f >= 100 * c.f AND contains(' ' || b.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (
+    SELECT kept.lang, kept.phrase, a, n, k, l.f AS l, r.f AS r, ((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+    FROM kept JOIN totals USING (lang), LATERAL (SELECT unnest(generate_series(1, len - 1)) AS k)
+    JOIN f l ON l.lang = kept.lang AND l.phrase = array_to_string(w[1:k], ' ') JOIN f r ON r.lang = kept.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, n, score FROM worst
+WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER o <= 2000
+""")
+def _(t: Tables) -> DataFrame:
+    return phrases.collocations(t.documents.select("lang", "text"))
