@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import decontaminate, lines, negatives, packing, phrases, quality, simhash, substrings, tokencount, topk, urls
+from evenkeel.llm import decontaminate, lines, negatives, packing, phrases, quality, simhash, substrings, tokencount, topk, urls, warc
+from evenkeel.session import shared_dir
 from evenkeel.suite.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +183,16 @@ WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_
 """)
 def _(t: Tables) -> DataFrame:
     return phrases.collocations(t.documents.select("lang", "text"))
+
+
+@query("op13_warc", """
+WITH d AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+m AS (SELECT h, max(page_id) AS last FROM d GROUP BY 1)
+SELECT page_id, octet_length(encode(h)) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda j:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, 5 * (j // 4)::INTEGER + 1, 5))::INTEGER >> (15 - 5 * (j % 4))::INTEGER) & 31) + 1, 1)), '') AS payload_digest,
+    CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM d JOIN m USING (h)
+""")
+def _(t: Tables) -> DataFrame:
+    index = warc.archive(t.pages, f"{shared_dir(t.spark).rstrip('/')}/warc-{uuid.uuid4().hex}")
+    return warc.read_bundles(index, payloads=False).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
