@@ -341,6 +341,8 @@ def _read_zones(rows: DataFrame, same: bool, k: int, s: Settings) -> DataFrame:
                 if kinds[start] == 0:
                     waiting.append(part)
                     continue
+                if readers is None and not waiting:  # no anchor has this copy's number
+                    continue
                 if readers is None:
                     readers, waiting = Readers(waiting, same, k), []
                 for at in range(0, len(part), s.page):
