@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions import text as X
 from evenkeel.operators.components import components
-from evenkeel.operators.ordered import neighbours
+from evenkeel.operators.ordered import neighbours, number_rows
 from evenkeel.operators.quality import domain
-from evenkeel.plans.expansion import surrogate_ids
+from evenkeel.plans.expansion import numbered, surrogate_ids
 
 # Adjudication states, version order and edge bases.
 SAME, DISTINCT, AMBIGUOUS = "MANUAL_CONFIRMED_SAME_WORK", "MANUAL_CONFIRMED_DISTINCT_WORKS", "AMBIGUOUS_UNRESOLVED"
 TYPE_ORDER = ("JOURNAL_ARTICLE", "ARXIV_PREPRINT", "CONFERENCE_ABSTRACT", "OTHER")
 BASES = {"DOI": "AUTO_EXACT_DOI", "ARXIV": "AUTO_EXACT_ARXIV"}
 CROSSLINK = "AUTO_EXPLICIT_CROSSLINK"
+PROVIDER = "AUTO_EXACT_PROVIDER_RECORD"
 
 
 def node_name() -> Column:
@@ -97,8 +98,8 @@ def _type_rank(vtype: Column) -> Column:
     return F.array_position(F.array(*[F.lit(x) for x in TYPE_ORDER]), vtype)
 
 
-def versions(nodes: DataFrame, keys: DataFrame, works: DataFrame) -> DataFrame:
-    """Versions per work: real ones keyed by (type, identifier), and ones only implied by a link.
+def node_versions(nodes: DataFrame, keys: DataFrame, works: DataFrame) -> DataFrame:
+    """``nodes`` with their work and the (``version_type``, ``ident``) of the version that they stand for.
 
     ``nodes`` carry ``pub, doctype, props, bibcode, public_date, latest_date, journal_ref``.
     """
@@ -112,7 +113,14 @@ def versions(nodes: DataFrame, keys: DataFrame, works: DataFrame) -> DataFrame:
     other = F.coalesce(F.nullif(F.col("bibcode"), F.lit("")), F.col("record_id"))
     ident = (F.when(F.col("version_type") == "ARXIV_PREPRINT", F.coalesce("arxiv", X.arxiv_id(F.col("record_id"))))
              .when(F.col("version_type") == "JOURNAL_ARTICLE", F.coalesce(F.col("jdoi"), other)).otherwise(other))
-    n = n.withColumn("ident", ident)
+    return n.withColumn("ident", ident)
+
+
+def versions(n: DataFrame, keys: DataFrame) -> DataFrame:
+    """Versions per work: real ones keyed by (type, identifier), and ones only implied by a link.
+
+    ``n`` comes from :func:`node_versions`.
+    """
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
     refereed = F.coalesce(F.array_contains(F.transform("props", F.upper), "REFEREED"), F.lit(False))
     real = n.groupBy("work_id", "version_type", "ident").agg(
@@ -159,39 +167,74 @@ def resolve_versions(v: DataFrame) -> DataFrame:
     return out.withColumns({"is_preferred": pick, "preferred_reason": F.when(pick, why).otherwise("")}).drop("_m", "_top", "_w")
 
 
-def crosswalk(hits: DataFrame, works: DataFrame, auto: DataFrame, manual: DataFrame) -> DataFrame:
-    """Hit to work, with the bases that tie its node and the confidence.
+def number_versions(resolved: DataFrame, prefix: str = "V", width: int = 4) -> DataFrame:
+    """Add ``version_id``: one global order by work, public date (none last), type and identifier.
 
-    ``auto(left, right, basis)``, ``manual(left, right, state)``.
+    The versions of a work have consecutive numbers, so ``version_no`` bounds them without listing them.
     """
+    order = [F.length("work_id"), F.col("work_id"), F.coalesce("public_date", F.lit("9999")), _type_rank(F.col("version_type")), F.col("ident")]
+    out = number_rows(resolved, [], order, "version_no")
+    return out.withColumn("version_id", numbered(F.col("version_no"), prefix, width))
+
+
+def hit_identifiers() -> dict[str, Column]:
+    """First journal DOI and the arXiv id of a hit, both empty where it has none."""
+    dois = F.transform(X.listed(F.col("doi")), X.doi)
+    journal = F.filter(dois, lambda d: (d != "") & ~F.startswith(d, F.lit(X.ARXIV_DOI)))
+    own = F.nullif(X.arxiv_id(F.coalesce("arxiv_raw", F.lit(""))), F.lit(""))
+    linked = F.filter(F.transform(dois, lambda d: X.arxiv_id(X.arxiv_from_doi(d))), lambda i: i != "")
+    record = F.when(F.col("source") == "ARXIV", X.arxiv_id(F.col("record_id")))
+    none = F.lit("")
+    return {"doi_normalized": F.coalesce(F.get(journal, F.lit(0)), none), "arxiv_normalized": F.coalesce(own, F.get(linked, F.lit(0)), record, none)}
+
+
+def crosswalk(hits: DataFrame, placed: DataFrame, resolved: DataFrame, auto: DataFrame, manual: DataFrame) -> DataFrame:
+    """Hit to work and version, with the bases that tie its node and the confidence.
+
+    ``placed`` from :func:`node_versions`, ``resolved`` from :func:`number_versions`, ``auto(left, right, basis)``,
+    ``manual(left, right, state)``. The version of a node is a real one, so versions that are only implied
+    by a link have numbers of their own and no hits.
+    """
+    works = placed.select("node", "work_id", "version_type", "ident")
     ends = lambda e, c: e.select(F.col("left").alias("node"), c).unionByName(e.select(F.col("right").alias("node"), c)).distinct()
-    basis = ends(auto, "basis").groupBy("node").agg(F.array_sort(F.collect_set("basis")).alias("_b"))
+    basis = ends(auto, "basis").groupBy("node").agg(F.collect_set("basis").alias("_b"))
     state = ends(manual, "state").groupBy("node").agg(F.array_join(F.array_sort(F.collect_set("state")), ";").alias("state"))
     merged = ends(manual.where(F.col("state") == SAME), "state").join(works, "node").select("work_id").distinct()
-    out = (hits.select("raw_hit_id", node_name().alias("node")).join(works, "node").join(basis, "node", "left")
+    at = ["work_id", "version_type", "ident"]
+    numbers = resolved.select(*at, "version_id", F.col("is_preferred").alias("is_preferred_version"))
+    out = (hits.select("raw_hit_id", node_name().alias("node"), *[c.alias(k) for k, c in hit_identifiers().items()])
+           .join(works, "node").join(numbers, at).join(basis, "node", "left")
            .join(state, "node", "left").join(merged.withColumn("_same", F.lit(True)), "work_id", "left"))
     same = F.coalesce("_same", F.lit(False))
-    base = F.coalesce("_b", F.array().cast("array<string>"))
-    bases = F.when(same, F.array_sort(F.array_union(base, F.array(F.lit(SAME))))).otherwise(base)
-    return out.select("raw_hit_id", "node", "work_id", F.array_join(bases, ";").alias("mapping_basis"),
+    base = F.array_append(F.coalesce("_b", F.array().cast("array<string>")), PROVIDER)
+    bases = F.array_sort(F.when(same, F.array_append(base, SAME)).otherwise(base))
+    return out.select("raw_hit_id", "node", "work_id", "version_id", "is_preferred_version", F.array_join(bases, ";").alias("mapping_basis"),
                       F.when(same, "HIGH_AFTER_MANUAL_ADJUDICATION").otherwise("HIGH").alias("confidence"),
-                      F.coalesce("state", F.when(same, SAME), F.lit("")).alias("manual_state"))
+                      (same | F.col("state").isNotNull()).alias("manual_required"),
+                      F.coalesce("state", F.when(same, SAME), F.lit("")).alias("manual_state"), "doi_normalized", "arxiv_normalized")
 
 
-def registry(walk: DataFrame, hits: DataFrame, resolved: DataFrame) -> DataFrame:
-    """One row per work: lowest hit, counts, source and query sets, preferred fields, dates."""
+def registry(walk: DataFrame, hits: DataFrame, resolved: DataFrame, prefix: str = "V", width: int = 4) -> DataFrame:
+    """One row per work: lowest hit, counts, source and query sets, versions, preferred fields, dates.
+
+    ``resolved`` from :func:`number_versions`; the list of a work's versions is written out of its first and last number.
+    """
     h = walk.join(hits.select("raw_hit_id", "source", "query"), "raw_hit_id")
     states = F.array_join(F.array_sort(F.collect_set(F.nullif(F.col("manual_state"), F.lit("")))), ";")
+    # few kinds of bases: those of each hit are told apart by their text before they are split
+    kinds = h.groupBy("work_id", "mapping_basis").agg(F.count(F.lit(1)).alias("_n")).groupBy("work_id").agg(
+        F.array_join(F.array_sort(F.array_remove(F.array_distinct(F.flatten(F.collect_list(F.split("mapping_basis", ";")))), SAME)), ";").alias("mapping_bases"))
     g = h.groupBy("work_id").agg(
         F.min("raw_hit_id").alias("min_hit"), F.count(F.lit(1)).alias("hits"),
         F.array_join(F.array_sort(F.collect_set("source")), ";").alias("sources"),
-        F.array_join(F.array_sort(F.collect_set("query")), ";").alias("queries"), states.alias("manual_states"))
+        F.array_join(F.array_sort(F.collect_set("query")), ";").alias("queries"), states.alias("manual_states")).join(kinds, "work_id")
     best = resolved.where("is_preferred").select(
-        "work_id", "title", "version_type", "ident", "peer_status", "first_public_date",
+        "work_id", F.col("version_id").alias("preferred_version_id"), "title", "version_type", "ident", "peer_status", "first_public_date",
         F.col("work_latest_date").alias("latest_date"))
-    n = resolved.groupBy("work_id").agg(F.count(F.lit(1)).alias("versions"))
+    n = resolved.groupBy("work_id").agg(F.count(F.lit(1)).alias("versions"), F.min("version_no").alias("_lo"), F.max("version_no").alias("_hi"))
+    ids = F.array_join(F.transform(F.sequence("_lo", "_hi"), lambda i: numbered(i, prefix, width)), ";")
     status = F.when(F.contains(F.col("manual_states"), F.lit("AMBIGUOUS")), AMBIGUOUS).otherwise("RESOLVED")
-    return g.join(best, "work_id").join(n, "work_id").withColumn("resolution", status)
+    return (g.join(best, "work_id").join(n.withColumn("version_ids", ids).drop("_lo", "_hi"), "work_id").withColumn("resolution", status))
 
 
 # --- consistency of screening and extraction ---------------------------------------------------

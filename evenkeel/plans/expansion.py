@@ -49,11 +49,16 @@ def plan_jobs(decisions: DataFrame, models: Sequence[str] = ("M0", "M1", "M2"),
     return out.withColumn("job_order", (F.col(order) - 1) * len(models) + F.col("_i") + 1).drop("_i")
 
 
+def numbered(number: Column, prefix: str, width: int) -> Column:
+    """``<prefix><number>``, padded to ``width`` digits."""
+    text = number.cast("string")
+    return F.concat(F.lit(prefix), F.lpad(text, F.greatest(F.lit(width), F.length(text)), "0"))
+
+
 def surrogate_ids(df: DataFrame, order: Sequence[Column], prefix: str, width: int, name: str) -> DataFrame:
     """Ids ``<prefix><number>`` in a declared total order."""
     out = number_rows(df, [], order, "_n")
-    return out.withColumn(name, F.concat(F.lit(prefix), F.lpad(F.col("_n").cast("string"), F.greatest(
-        F.lit(width), F.length(F.col("_n").cast("string"))), "0"))).drop("_n")
+    return out.withColumn(name, numbered(F.col("_n"), prefix, width)).drop("_n")
 
 
 def pending(plan: DataFrame, results: DataFrame, key: str = "job_id") -> DataFrame:

@@ -161,46 +161,64 @@ cand AS (SELECT work_id, 'ARXIV_PREPRINT' AS version_type, key AS ident, arg_min
   UNION ALL SELECT work_id, 'JOURNAL_ARTICLE', key, arg_min(title, min_hit), NULL, NULL, 'PUBLISHED_JOURNAL' FROM keys JOIN n2 USING (node)
    WHERE kind = 'DOI' AND source = 'ARXIV' AND journal GROUP BY 1, 2, 3),
 vers AS (SELECT * FROM real UNION ALL SELECT *, true FROM cand c WHERE NOT EXISTS (SELECT 1 FROM real r WHERE r.work_id = c.work_id AND r.version_type = c.version_type AND r.ident = c.ident)),
-ranked AS (SELECT *, min(public_date) OVER w AS first_public_date, max(latest_date) OVER w AS work_latest_date,
+ranked AS (SELECT *, 'V' || lpad((row_number() OVER (ORDER BY length(work_id), work_id, coalesce(public_date, '9999'),
+     CASE version_type WHEN 'JOURNAL_ARTICLE' THEN 1 WHEN 'ARXIV_PREPRINT' THEN 2 WHEN 'CONFERENCE_ABSTRACT' THEN 3 ELSE 4 END, ident))::VARCHAR, 4, '0') AS version_id,
+   min(public_date) OVER w AS first_public_date, max(latest_date) OVER w AS work_latest_date,
    row_number() OVER (PARTITION BY work_id ORDER BY CASE version_type WHEN 'JOURNAL_ARTICLE' THEN 1 WHEN 'ARXIV_PREPRINT' THEN 2 WHEN 'CONFERENCE_ABSTRACT' THEN 3 ELSE 4 END,
      implied, coalesce(public_date, '') DESC, coalesce(latest_date, '') DESC, title DESC, ident) = 1 AS is_preferred
    FROM vers WINDOW w AS (PARTITION BY work_id))"""
 
 
 @query("work_versions", "G7 B21 B22 E11 E12", f"""{VERSIONS_SQL}
-SELECT work_id, version_type, ident, title, public_date, latest_date, peer_status, implied, first_public_date, work_latest_date, is_preferred FROM ranked""")
+SELECT work_id, version_type, ident, title, public_date, latest_date, peer_status, implied, first_public_date, work_latest_date, is_preferred, version_id FROM ranked""")
 def _(t):
-    _, n, keys, _, _, w = works(t)
-    return G.resolve_versions(G.versions(n, keys, w)).drop("preferred_reason")
+    return resolved(works(t))[1].drop("preferred_reason", "version_no")
 
 
 WALK_SQL = VERSIONS_SQL + """, ends AS (SELECT l AS node, basis FROM edges UNION SELECT r, basis FROM edges),
 mends AS (SELECT l AS node, state FROM man UNION SELECT r, state FROM man),
 same AS (SELECT DISTINCT work_id FROM mends JOIN works USING (node) WHERE state = 'MANUAL_CONFIRMED_SAME_WORK'),
-bs AS (SELECT node, basis FROM ends UNION SELECT node, 'MANUAL_CONFIRMED_SAME_WORK' FROM works JOIN same USING (work_id)),
-walk AS (SELECT h.raw_hit_id, h.node, h.source, h.query, w.work_id, coalesce((SELECT string_agg(basis, ';' ORDER BY basis) FROM bs WHERE bs.node = h.node), '') AS mapping_basis,
+autob AS (SELECT node, basis FROM ends UNION ALL SELECT node, 'AUTO_EXACT_PROVIDER_RECORD' FROM nodes),
+bs AS (SELECT node, basis FROM autob UNION SELECT node, 'MANUAL_CONFIRMED_SAME_WORK' FROM works JOIN same USING (work_id)),
+walk AS (SELECT h.raw_hit_id, h.node, h.source, h.query, w.work_id, r.version_id, r.is_preferred AS is_preferred_version,
+  h.doi AS doi_normalized, coalesce(h.arxiv_raw, CASE WHEN h.source = 'ARXIV' THEN regexp_replace(h.record_id, 'v[0-9]+$', '') END, '') AS arxiv_normalized,
+  s.work_id IS NOT NULL OR h.node IN (SELECT node FROM mends) AS manual_required, coalesce((SELECT string_agg(basis, ';' ORDER BY basis) FROM bs WHERE bs.node = h.node), '') AS mapping_basis,
   CASE WHEN s.work_id IS NOT NULL THEN 'HIGH_AFTER_MANUAL_ADJUDICATION' ELSE 'HIGH' END AS confidence,
   coalesce((SELECT string_agg(state, ';' ORDER BY state) FROM mends WHERE mends.node = h.node), CASE WHEN s.work_id IS NOT NULL THEN 'MANUAL_CONFIRMED_SAME_WORK' END, '') AS manual_state
-  FROM h JOIN works w USING (node) LEFT JOIN same s USING (work_id))"""
+  FROM h JOIN works w USING (node) JOIN n2 ON n2.node = h.node JOIN ranked r ON r.work_id = n2.work_id AND r.version_type = n2.version_type AND r.ident = n2.ident
+  LEFT JOIN same s ON s.work_id = w.work_id)"""
 
 
-@query("hit_crosswalk", "G8", f"{WALK_SQL} SELECT raw_hit_id, node, work_id, mapping_basis, confidence, manual_state FROM walk")
+def resolved(parts):
+    """Nodes with their version, and the numbered versions of every work, written once."""
+    _, n, keys, _, _, w = parts
+    placed = materialize(G.node_versions(n, keys, w))
+    return placed, materialize(G.number_versions(G.resolve_versions(G.versions(placed, keys))))
+
+
+@query("hit_crosswalk", "G8", f"""{WALK_SQL}
+SELECT raw_hit_id, node, work_id, version_id, is_preferred_version, mapping_basis, confidence, manual_required, manual_state, doi_normalized, arxiv_normalized FROM walk""")
 def _(t):
-    h, _, _, edges, man, w = works(t)
-    return G.crosswalk(h, w, edges, man)
+    parts = works(t)
+    h, _, _, edges, man, _ = parts
+    return G.crosswalk(h, *resolved(parts), edges, man)
 
 
 @query("work_registry", "G9", f"""{WALK_SQL}, states AS (
   SELECT work_id, string_agg(DISTINCT manual_state, ';' ORDER BY manual_state) AS manual_states FROM walk WHERE manual_state <> '' GROUP BY 1),
+kinds AS (SELECT work_id, string_agg(DISTINCT basis, ';' ORDER BY basis) AS mapping_bases FROM autob JOIN works USING (node) GROUP BY 1),
 g AS (SELECT work_id, min(raw_hit_id) AS min_hit, CAST(count(*) AS BIGINT) AS hits, string_agg(DISTINCT source, ';' ORDER BY source) AS sources,
-  string_agg(DISTINCT query, ';' ORDER BY query) AS queries FROM walk GROUP BY 1)
-SELECT g.*, coalesce(manual_states, '') AS manual_states, r.title, r.version_type, r.ident, r.peer_status, r.first_public_date, r.work_latest_date AS latest_date,
-  (SELECT CAST(count(*) AS BIGINT) FROM vers v WHERE v.work_id = g.work_id) AS versions,
+  string_agg(DISTINCT query, ';' ORDER BY query) AS queries FROM walk GROUP BY 1),
+vids AS (SELECT work_id, CAST(count(*) AS BIGINT) AS versions, string_agg(version_id, ';' ORDER BY version_id) AS version_ids FROM ranked GROUP BY 1)
+SELECT g.*, mapping_bases, coalesce(manual_states, '') AS manual_states, r.version_id AS preferred_version_id, r.title, r.version_type, r.ident, r.peer_status, r.first_public_date,
+  r.work_latest_date AS latest_date, versions, version_ids,
   CASE WHEN contains(coalesce(manual_states, ''), 'AMBIGUOUS') THEN 'AMBIGUOUS_UNRESOLVED' ELSE 'RESOLVED' END AS resolution
-FROM g LEFT JOIN states USING (work_id) JOIN ranked r ON r.work_id = g.work_id AND r.is_preferred""")
+FROM g LEFT JOIN states USING (work_id) JOIN kinds USING (work_id) JOIN vids USING (work_id) JOIN ranked r ON r.work_id = g.work_id AND r.is_preferred""")
 def _(t):
-    h, n, keys, edges, man, w = works(t)
-    return G.registry(G.crosswalk(h, w, edges, man), h, G.resolve_versions(G.versions(n, keys, w)))
+    parts = works(t)
+    h, _, _, edges, man, _ = parts
+    placed, numbers = resolved(parts)
+    return G.registry(G.crosswalk(h, placed, numbers, edges, man), h, numbers)
 
 
 def screening(t):
@@ -231,10 +249,11 @@ def _(t):
 SELECT work_id, min_hit, coalesce(nullif(trim(title), ''), 'NOT_REPORTED') AS title, coalesce(public_date, 'NOT_REPORTED') AS public_date, ident
 FROM ranked JOIN low USING (work_id) WHERE is_preferred AND right(work_id, 1) IN ('0', '5')""")
 def _(t):
-    _, n, keys, _, _, w = works(t)
+    parts = works(t)
+    n, w = parts[1], parts[-1]
     low = w.join(n, "node").groupBy("work_id").agg(F.min("min_hit").alias("min_hit"))
     inc = low.select("work_id", F.when(F.col("work_id").rlike("[05]$"), "INCLUDE").otherwise("EXCLUDE").alias("decision"))
-    return G.identity_scaffold(inc, low, G.resolve_versions(G.versions(n, keys, w)),
+    return G.identity_scaffold(inc, low, resolved(parts)[1],
                                {"title": "NOT_REPORTED", "public_date": "NOT_REPORTED", "ident": "NOT_APPLICABLE"})
 
 
