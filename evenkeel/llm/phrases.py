@@ -69,14 +69,26 @@ def unpack(high: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 
 def scatter(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An invertible permutation of 128-bit values: two Feistel rounds."""
-    low = low ^ mix64(high + U(0x9E3779B97F4A7C15))
-    return high ^ mix64(low), low
+    """An invertible permutation: two Feistel rounds over 128 bits; values without low part, as pairs, stay within 64 bits."""
+    short = low == 0
+    mixed = low ^ mix64(high + U(0x9E3779B97F4A7C15))
+    mixed = np.where(mixed == 0, low, mixed)  # a low part stays one: the single value that would be zero is left as it is
+    return np.where(short, mix64(high), high ^ mix64(mixed)), np.where(short, U(0), mixed)
 
 
 def gather(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    high = high ^ mix64(low)
-    return high, low ^ mix64(high + U(0x9E3779B97F4A7C15))
+    short = low == 0
+    own = high ^ mix64(low)
+    key = mix64(own + U(0x9E3779B97F4A7C15))
+    return np.where(short, unmix64(high), own), np.where(short | (low == key), low, low ^ key)
+
+
+def unmix64(x: np.ndarray) -> np.ndarray:
+    """The inverse of ``mix64``."""
+    undo = lambda y, s: y ^ (y >> U(s)) ^ (y >> U(2 * s))  # three shifts are past 64 bits
+    x = undo(x, 31) * U(pow(0x94D049BB133111EB, -1, 1 << 64))
+    x = undo(x, 27) * U(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    return undo(x, 30)
 
 
 @dataclass
@@ -110,25 +122,26 @@ class Filter:
         return Filter(self.high[start:stop], self.low[start:stop], self.counts[start:stop])
 
     def dump(self) -> bytes:
-        """Number of counters, bytes of the quotient and of a count; run lengths, remainders, counts."""
+        """Number of counters, bytes of the quotient, of a key and of a count; run lengths, remainders, counts."""
         n = len(self.high)
         wide = 0 if n < 256 else 1 if n < 65_536 else 2
         quotient = (self.high >> U(64 - 8 * wide)).astype(np.int64) if wide else np.zeros(n, np.int64)
         runs = np.bincount(quotient, minlength=256**wide).astype("<u4")
-        keys = np.column_stack([self.high, self.low]).astype(">u8").view(np.uint8).reshape(n, 16)[:, wide:]
+        size = 16 if self.low.any() else 8
+        keys = np.column_stack([self.high, self.low]).astype(">u8").view(np.uint8).reshape(n, 16)[:, wide:size]
         kind = next(k for k in (1, 2, 4, 8) if k == 8 or int(self.counts.max(initial=0)) < 256**k)
-        head = np.asarray([n, wide, kind], "<u8").tobytes()
+        head = np.asarray([n, wide, size, kind], "<u8").tobytes()
         return head + runs.tobytes() + np.ascontiguousarray(keys).tobytes() + self.counts.astype(f"<u{kind}").tobytes()
 
     @staticmethod
     def load(data: bytes) -> Filter:
-        n, wide, kind = (int(x) for x in np.frombuffer(data, "<u8", 3))
-        at = 24
+        n, wide, size, kind = (int(x) for x in np.frombuffer(data, "<u8", 4))
+        at = 32
         runs = np.frombuffer(data, "<u4", 256**wide, at)
         at += runs.nbytes
         keys = np.zeros((n, 16), np.uint8)
-        keys[:, wide:] = np.frombuffer(data, np.uint8, n * (16 - wide), at).reshape(n, 16 - wide)
-        at += n * (16 - wide)
+        keys[:, wide:size] = np.frombuffer(data, np.uint8, n * (size - wide), at).reshape(n, size - wide)
+        at += n * (size - wide)
         both = keys.view(">u8").astype(U)
         if wide:
             both[:, 0] |= np.repeat(np.arange(256**wide, dtype=U), runs) << U(64 - 8 * wide)
