@@ -232,14 +232,16 @@ def _records(places: DataFrame, payloads: bool) -> DataFrame:
                 for k in range(0, len(out), 1_000):
                     yield pa.RecordBatch.from_pylist(out[k:k + 1_000], schema=schema)
 
-    return places.select("bundle", "frame", "starts").mapInArrow(run, READ)
+    # by a hash: dealing by the grouping keys themselves would be dropped as done already, and adaptive execution would then merge these small rows into one task
+    key = F.xxhash64("bundle", "frame")
+    dealt = places.select("bundle", "frame", "starts").repartition(shuffle_parts(places.sparkSession), key).sortWithinPartitions("bundle", "frame")
+    return dealt.mapInArrow(run, READ)
 
 
 def read_bundles(index: DataFrame, payloads: bool = True) -> DataFrame:
     """Every record of the bundles that ``index`` names, read frame by frame; frames are spread over all tasks."""
     frames = index.select("bundle", "frame").distinct().withColumn("starts", F.lit(None).cast("array<bigint>"))
-    parts = shuffle_parts(index.sparkSession)
-    return _records(frames.repartition(parts, "bundle", "frame").sortWithinPartitions("bundle", "frame"), payloads)
+    return _records(frames, payloads)
 
 
 def fetch(index: DataFrame, ids: DataFrame, payloads: bool = True) -> DataFrame:
