@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, MapType
 
 # The two-sided 95 % normal quantile, the selection threshold on both score
 # differences, one 20 s cadence in days, the comparison tolerance, and the Julian day of
@@ -72,6 +73,27 @@ def canonical_decimal(x: Column, scale: int = 9) -> Column:
     return F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
 
 
+def number_text(x: Column) -> Column:
+    """One text for each number, so that equal numbers have equal texts: whole numbers without point, no negative zero."""
+    d = x.cast("double")
+    whole = (d == F.floor(d)) & (F.abs(d) < 1e15)
+    return F.when(whole, F.floor(d).cast("bigint").cast("string")).otherwise(d.cast("string"))
+
+
+def payload_text(params: Column, kind: DataType) -> Column:
+    """Canonical text of an array of numbers, or of a map from names to numbers with the names in order.
+
+    ``kind`` is the column's type. A null payload is ``null``, a null number in it too.
+    """
+    told = lambda x: F.coalesce(number_text(x), F.lit("null"))
+    if isinstance(kind, MapType):
+        pairs = F.transform(F.array_sort(F.map_entries(params)), lambda e: F.concat(F.to_json(F.struct(e["key"].alias("k"))), told(e["value"])))
+        text = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+    else:
+        text = F.concat(F.lit("["), F.array_join(F.transform(params, told), ","), F.lit("]"))
+    return F.coalesce(text, F.lit("null"))
+
+
 def log_duration(start: Column, end: Column, floor: float = CADENCE_DAYS) -> Column:
     """Log of the duration, floored at one sample."""
     return F.log(F.greatest(end - start, F.lit(floor)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evenkeel.functions import labels as L
 from evenkeel.functions.numeric import safe_ratio
 from evenkeel.operators.ordered import grouped
+from evenkeel.operators.summaries import attach
 
 
 def _sides(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -158,3 +159,40 @@ def product_disagreement(rows: DataFrame, unit: str, seed: str, product: str, le
     return both.groupBy(unit).agg(
         F.count(F.lit(1)).alias("compared"), F.count_if("l").alias("left_selected"),
         F.count_if("r").alias("right_selected"), F.count_if(F.col("l") != F.col("r")).alias("different"))
+
+
+def mask_comparison(inputs: DataFrame, decisions: DataFrame, by: Sequence[str], seed: str, left: str, right: str) -> DataFrame:
+    """Decisions on one series under two masks, paired by seed.
+
+    ``inputs(by, mask, n, markers, sampling, status)`` from ``series.masked_inputs``, ``decisions(by, mask, seed, selected, d01, d21)``.
+    ``right`` keeps a subset of what ``left`` keeps, so equal counts are equal inputs. Seeds are compared where both
+    decisions are there; they count as ``compared`` only if both inputs are admissible, else as ``diagnostic``. Only an
+    input that stays regular with all markers enters ``in_global``. A mask that keeps nothing leaves no row of its own:
+    it counts as inadmissible.
+    """
+    of = lambda m, c: F.max(F.when(F.col("mask") == m, F.col(c)))
+    cols = [of(m, c).alias(f"{s}_{c}") for m, s in ((left, "l"), (right, "r")) for c in ("n", "markers", "sampling", "status")]
+    state = inputs.groupBy(*by).agg(*cols)
+    gone = lambda c: F.coalesce(F.col(c), F.lit(L.INADMISSIBLE))
+    state = state.withColumn("comparability", L.comparability(gone("l_status"), gone("r_status")))
+    side = lambda m, c: F.max(F.when(F.col("mask") == m, F.col(c)))
+    seeds = decisions.groupBy(*by, seed).agg(
+        *[side(m, c).alias(f"_{s}_{c}") for m, s in ((left, "l"), (right, "r")) for c in ("selected", "d01", "d21")])
+    both = F.col("_l_selected").isNotNull() & F.col("_r_selected").isNotNull()
+    differ = F.col("_l_selected") != F.col("_r_selected")
+    shift = lambda c: F.max(F.when(both, F.abs(F.col(f"_r_{c}") - F.col(f"_l_{c}"))))
+    counts = seeds.groupBy(*by).agg(
+        F.count_if(both).alias("_both"), F.count_if(both & differ).alias("_changed"), F.count_if(both & F.col("_l_selected")).alias("left_selected"),
+        F.count_if(both & F.col("_r_selected")).alias("right_selected"), shift("d01").alias("largest_shift_01"), shift("d21").alias("largest_shift_21"))
+    out = attach(state, counts, by)
+    fair = F.col("comparability") == "BOTH_ELIGIBLE"
+    none = F.lit(0).cast("bigint")
+    pick = lambda keep, c: F.when(keep, F.coalesce(c, none)).otherwise(none)
+    return out.select(
+        *by, F.col("l_n").alias("n_left"), F.coalesce("r_n", none).alias("n_right"), (F.col("l_n") == F.coalesce("r_n", none)).alias("same_input"),
+        F.coalesce("r_sampling", F.lit("no_samples")).alias("sampling"), F.coalesce("r_markers", F.lit("no_samples")).alias("markers"), "comparability",
+        pick(fair, F.col("_both")).alias("compared"), pick(fair, F.col("_changed")).alias("changed"),
+        pick(~fair, F.col("_both")).alias("diagnostic_compared"), pick(~fair, F.col("_changed")).alias("diagnostic_changed"),
+        F.coalesce("left_selected", none).alias("left_selected"), F.coalesce("right_selected", none).alias("right_selected"),
+        "largest_shift_01", "largest_shift_21",
+        (fair & (F.col("r_sampling") == "regular") & (F.col("r_markers") == "all_markers_retained")).alias("in_global"))

@@ -260,6 +260,34 @@ def mask_regimes(samples: DataFrame, peak: str = "peak_idx") -> DataFrame:
     return out.where(~gone)
 
 
+def carry_masks(samples: DataFrame, masks: Mapping[str, Column]) -> DataFrame:
+    """Each sample once for every mask that keeps it, with the mask's name in ``mask``.
+
+    All inputs of a series then go through one shuffle and one aggregation per (series, mask).
+    """
+    named = F.array_compact(F.array(*[F.when(F.coalesce(keep, F.lit(False)), F.lit(m)) for m, keep in masks.items()]))
+    return samples.withColumn("mask", F.explode(named))
+
+
+def masked_inputs(carried: DataFrame, by: Sequence[str], markers: Mapping[str, Column], whole: Column,
+                  group_rows: int | None = None) -> DataFrame:
+    """State of every (series, mask): samples, admissibility, markers that the mask has removed.
+
+    ``markers`` name the indices that must survive (the one called ``peak`` decides admissibility), ``whole`` tells whether the
+    window lies inside its series. ``sampling`` is ``regular`` or ``diagnostic_irregular_sampling``.
+    """
+    keys = [*by, "mask"]
+    idx = F.col("idx")
+    extra = {f"_m_{m}": F.coalesce(F.bool_or(idx == at), F.lit(False)) for m, at in markers.items()} | {"_whole": F.bool_and(whole)}
+    stats = all_reasons(regularity(carried, keys, group_rows, peak=markers["peak"], extra=extra))
+    lost = F.array_compact(F.array(*[F.when(~F.col(f"_m_{m}"), F.lit(f"{m}_marker_removed")) for m in markers]))
+    few = (F.col("n") < MIN_SAMPLES) | ~F.col("peak_retained") | ~F.col("all_finite") | ~F.col("_whole")
+    return stats.select(
+        *keys, F.col("n"), F.when(F.size(lost) == 0, "all_markers_retained").otherwise(F.array_join(lost, "|")).alias("markers"),
+        F.when(F.col("details") == "", "regular").otherwise("diagnostic_irregular_sampling").alias("sampling"),
+        F.when(few, L.INADMISSIBLE).otherwise(L.ELIGIBLE).alias("status"))
+
+
 def invariants(series: DataFrame, by: Sequence[str], mean: float, std: float, tol: float,
                peak: str = "peak_idx", group_rows: int | None = None) -> DataFrame:
     """Per series: finite, ends, mean and sample deviation within ``tol``, rise before and fall after the peak."""

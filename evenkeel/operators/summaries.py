@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions import labels as L
-from evenkeel.functions.numeric import finite_or_null, is_finite, safe_ratio, wilson
+from evenkeel.functions.numeric import finite_or_null, is_finite, payload_text, safe_ratio, wilson
 from evenkeel.operators.ordered import grouped
 
 SIX = (0.25, 0.5, 0.75)
@@ -145,6 +145,41 @@ def seed_stability(decisions: DataFrame, by: Sequence[str], seed: str = "seed")
     })
 
 
+def seed_payloads(fits: DataFrame, by: Sequence[str], models: Sequence[str] = ("M0", "M1", "M2"), parameters: str = "parameters") -> DataFrame:
+    """Per group and model: distinct parameter payloads, fits with warnings, fits on a bound; and the set of states.
+
+    ``fits(by, model, parameters, warnings, bound_hits, status)``. Payloads are told apart by 128 bits of their canonical text.
+    Equal payloads are counted within tasks and met under (group, model, payload), so the fits of one large group are spread over
+    its payloads; a group then has as many rows as distinct payloads and only counters meet.
+    """
+    digest = F.md5(payload_text(F.col(parameters), fits.schema[parameters].dataType))
+    per = fits.groupBy(*by, "model", digest.alias("_p")).agg(
+        F.count_if(F.col("warnings") > 0).alias("_w"), F.sum("warnings").alias("_t"), F.count_if(F.col("bound_hits") > 0).alias("_b"),
+        F.collect_set("status").alias("_s"))
+    of = lambda m, c: F.coalesce(F.sum(F.when(F.col("model") == m, c)), F.lit(0).cast("bigint")).cast("bigint")
+    out = [F.count_if(F.col("model") == m).alias(f"unique_parameter_payloads_{m.lower()}") for m in models]
+    for name, c in (("warning_calls", "_w"), ("warning_count", "_t"), ("bound_calls", "_b")):
+        out += [of(m, F.col(c)).alias(f"{name}_{m.lower()}") for m in models]
+    states = F.array_distinct(F.flatten(F.collect_set("_s")))
+    return per.groupBy(*by).agg(*out, L.joined(states).alias("status_set"))
+
+
+def seed_diagnostics(payloads: DataFrame, calls: DataFrame, models: Sequence[str] = ("M0", "M1", "M2")) -> DataFrame:
+    """Per model over all groups: calls, warnings, bounds, states, and a six-number summary of distinct payloads.
+
+    ``payloads`` from :func:`seed_payloads`, ``calls`` the fits it was made of.
+    """
+    tall = payloads.select(F.explode(F.array(*[
+        F.struct(F.lit(m).alias("model"), F.col(f"unique_parameter_payloads_{m.lower()}").alias("unique_payloads"),
+                 F.col(f"warning_calls_{m.lower()}").alias("warning_calls"), F.col(f"warning_count_{m.lower()}").alias("warning_count"),
+                 F.col(f"bound_calls_{m.lower()}").alias("bound_calls")) for m in models])).alias("_r")).select("_r.*")
+    sums = tall.groupBy("model").agg(*[F.sum(c).alias(c) for c in ("warning_calls", "warning_count", "bound_calls")])
+    six = six_numbers(tall, ["model"], {"unique_payloads": F.col("unique_payloads")}).drop("quantity")
+    n = calls.groupBy("model").agg(F.count(F.lit(1)).alias("calls"))
+    states = status_counts(calls, ["model"], "status")
+    return attach(attach(attach(n, sums, ["model"]), states, ["model"]), six, ["model"])
+
+
 def seed_completeness(df: DataFrame, by: Sequence[str], seeds: int, seed: str = "seed") -> DataFrame:
     """Groups whose seeds are not exactly ``0 .. seeds-1`` once each."""
     s = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(seed).alias("n_seeds"),

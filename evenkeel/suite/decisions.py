@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evenkeel.functions import labels as L
-from evenkeel.functions.numeric import wilson
+from evenkeel.functions.numeric import is_finite, wilson
 from evenkeel.operators import decisions as D
 from evenkeel.operators import quality as K
 from evenkeel.operators import summaries as S
+from evenkeel.session import materialize
 from evenkeel.suite import inputs as I
 from evenkeel.suite.registry import query
 
@@ -149,8 +150,21 @@ def _(t):
     return rounded(out, "range", "median", "p10", "p90", "p16", "p84", digits=4)
 
 
+def trio_fits(t):
+    """The fits of complete trios, one row per model."""
+    return I.fits(t).join(trios(t).select("series_id", "seed"), ["series_id", "seed"], "left_semi")
+
+
+PAYLOADS_SQL = ", tf AS MATERIALIZED (SELECT f.* FROM fits f JOIN trios USING (series_id, seed)), payloads AS (SELECT series_id, " + ", ".join(
+    f"CAST(count({d}) FILTER (WHERE model = '{m}'{c}) AS BIGINT) AS {n}_{m.lower()}"
+    for n, d, c in (("unique_parameter_payloads", "DISTINCT parameters", ""), ("warning_calls", "*", " AND warnings > 0"), ("bound_calls", "*", " AND bound_hits > 0"))
+    for m in ("M0", "M1", "M2")) + ", " + ", ".join(
+    f"CAST(coalesce(sum(warnings) FILTER (WHERE model = '{m}'), 0) AS BIGINT) AS warning_count_{m.lower()}" for m in ("M0", "M1", "M2")) + """,
+  string_agg(DISTINCT status, '|' ORDER BY status) AS status_set FROM tf GROUP BY 1)"""
+
+
 @query("seed_stability", "D9 H7", f"""
-WITH {I.TRIOS_SQL}
+WITH {I.TRIOS_SQL}{PAYLOADS_SQL}
 SELECT *, CASE WHEN n_seeds >= 2 THEN round(2.0 * n_selected * (n_seeds - n_selected) / (n_seeds * (n_seeds - 1)), 6) END AS pair_discordance,
   CASE WHEN seed0_selected THEN n_seeds - n_selected ELSE n_selected END AS discordant_vs_seed0,
   round((CASE WHEN seed0_selected THEN n_seeds - n_selected ELSE n_selected END) / n_seeds::DOUBLE, 6) AS discordant_fraction,
@@ -162,9 +176,25 @@ FROM (SELECT series_id, CAST(count(*) AS BIGINT) AS n_seeds, CAST(count(*) FILTE
   CAST(count(DISTINCT bic_m0) AS BIGINT) AS distinct_bic_m0, CAST(count(DISTINCT bic_m1) AS BIGINT) AS distinct_bic_m1,
   CAST(count(DISTINCT bic_m2) AS BIGINT) AS distinct_bic_m2,
   string_agg(DISTINCT CASE WHEN selected THEN 'SELECTED' ELSE 'NOT_SELECTED' END, '|' ORDER BY CASE WHEN selected THEN 'SELECTED' ELSE 'NOT_SELECTED' END) AS state_set
-  FROM trios GROUP BY 1)""")
+  FROM trios GROUP BY 1) JOIN payloads USING (series_id)""")
 def _(t):
-    return rounded(S.seed_stability(trios(t), ["series_id"]), "pair_discordance", "discordant_fraction")
+    out = S.seed_stability(trios(t), ["series_id"]).join(S.seed_payloads(trio_fits(t), ["series_id"]), "series_id")
+    return rounded(out, "pair_discordance", "discordant_fraction")
+
+
+@query("seed_diagnostics", "D9 D11 D5", f"""
+WITH {I.TRIOS_SQL}{PAYLOADS_SQL},
+c AS (SELECT model, status, count(*) AS n FROM tf GROUP BY 1, 2),
+u AS (UNPIVOT (SELECT series_id, unique_parameter_payloads_m0 AS M0, unique_parameter_payloads_m1 AS M1, unique_parameter_payloads_m2 AS M2 FROM payloads) ON M0, M1, M2 INTO NAME model VALUE x),
+s AS (SELECT model, CAST(count(*) AS BIGINT) AS n, min(x)::DOUBLE AS min, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q3, max(x)::DOUBLE AS max FROM u GROUP BY 1)
+SELECT model, CAST(count(*) AS BIGINT) AS calls, CAST(count(*) FILTER (WHERE warnings > 0) AS BIGINT) AS warning_calls, CAST(sum(warnings) AS BIGINT) AS warning_count,
+  CAST(count(*) FILTER (WHERE bound_hits > 0) AS BIGINT) AS bound_calls,
+  (SELECT '{{' || string_agg('"' || status || '":' || n, ',' ORDER BY status) || '}}' FROM c WHERE c.model = tf.model) AS status_counts,
+  any_value(s.n) AS n, any_value(min) AS min, any_value(q1) AS q1, any_value(median) AS median, any_value(q3) AS q3, any_value(max) AS max
+FROM tf JOIN s USING (model) GROUP BY model""")
+def _(t):
+    rows = trio_fits(t)
+    return S.seed_diagnostics(S.seed_payloads(rows, ["series_id"]), rows)
 
 
 @query("seed_completeness", "D10", f"""
@@ -213,24 +243,78 @@ def _(t):
     return product_disagreement(rows, "pair", "seed", "product", "L", "R")
 
 
+SEEDS = 10
+
+MASKED_SQL = I.SERIES_SQL + """, w AS (SELECT ev.event_id, start_idx, peak_idx, end_idx, start_idx >= 0 AND end_idx < series_rows AS whole, s.idx, s.t, s.quality, f.flux,
+    CASE f.flux WHEN 'primary' THEN s.y ELSE s.y2 END AS y
+  FROM ev JOIN series s ON s.series_id = ev.series_id AND s.idx BETWEEN start_idx AND end_idx, (VALUES ('primary'), ('alternate')) f(flux)),
+m AS MATERIALIZED (SELECT w.*, k.mask FROM w, (VALUES ('finite_all'), ('q0_native')) k(mask) WHERE k.mask = 'finite_all' OR quality = 0),
+d AS (SELECT *, t - lag(t) OVER o AS d, idx - lag(idx) OVER o AS di FROM m WINDOW o AS (PARTITION BY event_id, flux, mask ORDER BY idx)),
+st AS (SELECT event_id, flux, mask, CAST(count(*) AS BIGINT) AS n, bool_or(idx = peak_idx) AS pk, bool_or(idx = start_idx) AS sk, bool_or(idx = end_idx) AS ek, any_value(whole) AS whole,
+    coalesce(bool_and(di = 1), true) AND coalesce(greatest(max(d) - quantile_cont(d, 0.5), quantile_cont(d, 0.5) - min(d)), 0) <= 0.001 AND count(*) >= 2 AS regular
+  FROM d GROUP BY 1, 2, 3),
+i AS (SELECT *, CASE WHEN n < 15 OR NOT pk OR NOT whole THEN 'INPUT_INADMISSIBLE' ELSE 'ELIGIBLE' END AS status,
+    CASE WHEN sk AND pk AND ek THEN 'all_markers_retained' ELSE concat_ws('|', CASE WHEN NOT sk THEN 'start_marker_removed' END, CASE WHEN NOT pk THEN 'peak_marker_removed' END, CASE WHEN NOT ek THEN 'end_marker_removed' END) END AS markers FROM st),
+dec AS (SELECT event_id, flux, mask, seed, round((max(y) - avg(y)) / 18.0, 6) AS d01, round((max(y) - min(y)) / 22.0, 6) AS d21
+  FROM m, range(10) r(seed) WHERE (idx + seed) % 5 <> 0 GROUP BY 1, 2, 3, 4),
+p AS (SELECT a.event_id, a.flux, CAST(count(*) AS BIGINT) AS b, CAST(count(*) FILTER (WHERE (a.d01 > 10 AND a.d21 > 10) <> (b.d01 > 10 AND b.d21 > 10)) AS BIGINT) AS c,
+    CAST(count(*) FILTER (WHERE a.d01 > 10 AND a.d21 > 10) AS BIGINT) AS ls, CAST(count(*) FILTER (WHERE b.d01 > 10 AND b.d21 > 10) AS BIGINT) AS rs,
+    max(abs(b.d01 - a.d01)) AS s01, max(abs(b.d21 - a.d21)) AS s21
+  FROM dec a JOIN dec b ON a.event_id = b.event_id AND a.flux = b.flux AND a.seed = b.seed AND a.mask = 'finite_all' AND b.mask = 'q0_native' GROUP BY 1, 2),
+j AS (SELECT l.event_id, l.flux, l.n AS n_left, coalesce(r.n, 0) AS n_right, l.n = coalesce(r.n, 0) AS same_input,
+    CASE WHEN r.n IS NULL THEN 'no_samples' WHEN r.regular THEN 'regular' ELSE 'diagnostic_irregular_sampling' END AS sampling, coalesce(r.markers, 'no_samples') AS markers,
+    CASE WHEN l.status <> 'ELIGIBLE' AND coalesce(r.status, '') <> 'ELIGIBLE' THEN 'BOTH_INADMISSIBLE' WHEN l.status <> 'ELIGIBLE' THEN 'REFERENCE_INADMISSIBLE'
+      WHEN coalesce(r.status, '') <> 'ELIGIBLE' THEN 'VARIANT_INADMISSIBLE' ELSE 'BOTH_ELIGIBLE' END AS comparability
+  FROM i l LEFT JOIN i r ON r.event_id = l.event_id AND r.flux = l.flux AND r.mask = 'q0_native' WHERE l.mask = 'finite_all')"""
+
+
+@query("masked_unmasked_disagreement", "D31 F6 B28", f"""
+WITH {MASKED_SQL}
+SELECT j.*, CASE WHEN comparability = 'BOTH_ELIGIBLE' THEN coalesce(b, 0) ELSE 0 END AS compared, CASE WHEN comparability = 'BOTH_ELIGIBLE' THEN coalesce(c, 0) ELSE 0 END AS changed,
+  CASE WHEN comparability <> 'BOTH_ELIGIBLE' THEN coalesce(b, 0) ELSE 0 END AS diagnostic_compared, CASE WHEN comparability <> 'BOTH_ELIGIBLE' THEN coalesce(c, 0) ELSE 0 END AS diagnostic_changed,
+  coalesce(ls, 0) AS left_selected, coalesce(rs, 0) AS right_selected, round(s01, 6) AS largest_shift_01, round(s21, 6) AS largest_shift_21,
+  comparability = 'BOTH_ELIGIBLE' AND sampling = 'regular' AND markers = 'all_markers_retained' AS in_global
+FROM j LEFT JOIN p USING (event_id, flux)""")
+def _(t):
+    from evenkeel.operators import series as R
+    from evenkeel.operators.contrasts import mask_comparison
+
+    rows = I.series(t)
+    spots = R.bind_samples(I.peaks(rows), rows, 0)
+    flux = F.explode(F.array(F.struct(F.lit("primary").alias("flux"), F.col("y").alias("v")), F.struct(F.lit("alternate").alias("flux"), F.col("y2").alias("v"))))
+    spots = spots.withColumn("_f", flux).select("event_id", "_f.flux", "idx", "t", F.col("_f.v").alias("y"), "quality", "series_rows", "start_idx", "peak_idx", "end_idx")
+    by = ["event_id", "flux"]
+    masks = {"finite_all": F.lit(True), "q0_native": F.col("quality") == 0}
+    carried = materialize(R.carry_masks(spots.where(is_finite(F.col("t")) & is_finite(F.col("y"))), masks))
+    whole = (F.col("start_idx") >= 0) & (F.col("end_idx") < F.col("series_rows"))
+    markers = {m: F.col(f"{m}_idx") for m in ("start", "peak", "end")}
+    inputs = R.masked_inputs(carried, by, markers, whole, group_rows=26)
+    # a decision for each seed: four fifths of the samples, another fifth left out by each
+    seeded = carried.withColumn("seed", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SEEDS - 1).cast("bigint")))).where((F.col("idx") + F.col("seed")) % 5 != 0)
+    dec = seeded.groupBy(*by, "mask", "seed").agg(F.round((F.max("y") - F.avg("y")) / 18.0, 6).alias("d01"), F.round((F.max("y") - F.min("y")) / 22.0, 6).alias("d21"))
+    dec = dec.withColumn("selected", L.selected(F.col("d01"), F.col("d21")))
+    return rounded(mask_comparison(inputs, dec, by, "seed", "finite_all", "q0_native"), "largest_shift_01", "largest_shift_21")
+
+
 @query("model_diagnostics", "D11", f"""
 WITH {I.FITS_SQL}, placed AS (SELECT *, CASE WHEN series_id % 2 = 0 THEN 'PUBLISHED' ELSE 'CONTROL' END AS role,
-  CASE WHEN seed % 2 = 0 THEN 'P00' ELSE 'P01' END AS profile, 15 * (1 + series_id % 4) AS n FROM fits)
-SELECT model, seed, role, profile, n,
+  CASE WHEN seed % 2 = 0 THEN 'P00' ELSE 'P01' END AS profile, 15 * (1 + series_id % 4) AS n, 'W' || lpad((series_id % 13)::VARCHAR, 2, '0') AS window_id FROM fits)
+SELECT model, seed, role, profile, n, window_id,
   concat_ws('|', CASE WHEN grouping(model) = 0 THEN 'model' END, CASE WHEN grouping(seed) = 0 THEN 'seed' END,
-    CASE WHEN grouping(role) = 0 THEN 'role' END, CASE WHEN grouping(profile) = 0 THEN 'profile' END, CASE WHEN grouping(n) = 0 THEN 'n' END) AS scope,
+    CASE WHEN grouping(role) = 0 THEN 'role' END, CASE WHEN grouping(profile) = 0 THEN 'profile' END, CASE WHEN grouping(n) = 0 THEN 'n' END, CASE WHEN grouping(window_id) = 0 THEN 'window_id' END) AS scope,
   CAST(count(*) AS BIGINT) AS calls, CAST(count(*) FILTER (WHERE status = 'OK') AS BIGINT) AS ok_calls,
   CAST(count(*) FILTER (WHERE warnings > 0) AS BIGINT) AS warning_calls, CAST(sum(warnings) AS BIGINT) AS warning_total,
   CAST(count(*) FILTER (WHERE bound_hits > 0) AS BIGINT) AS bound_calls, CAST(round(sum(runtime) * 100) AS BIGINT) AS runtime_cents,
   round(count(*) FILTER (WHERE warnings > 0) / count(*)::DOUBLE, 6) AS warning_rate,
   round(count(*) FILTER (WHERE bound_hits > 0) / count(*)::DOUBLE, 6) AS bound_hit_rate
-FROM placed GROUP BY GROUPING SETS ((), (model), (model, seed), (model, profile, role), (model, n))""")
+FROM placed GROUP BY GROUPING SETS ((), (model), (model, seed), (model, profile, role), (model, n), (model, window_id))""")
 def _(t):
     placed = I.fits(t).withColumns({
         "role": F.when(F.col("series_id") % 2 == 0, "PUBLISHED").otherwise("CONTROL"),
-        "profile": F.when(F.col("seed") % 2 == 0, "P00").otherwise("P01"), "n": 15 * (1 + F.col("series_id") % 4)})
-    out = S.model_diagnostics(placed, [[], ["model"], ["model", "seed"], ["model", "profile", "role"], ["model", "n"]],
-                              ["model", "seed", "role", "profile", "n"])
+        "profile": F.when(F.col("seed") % 2 == 0, "P00").otherwise("P01"), "n": 15 * (1 + F.col("series_id") % 4),
+        "window_id": F.concat(F.lit("W"), F.lpad((F.col("series_id") % 13).cast("string"), 2, "0"))})
+    out = S.model_diagnostics(placed, [[], ["model"], ["model", "seed"], ["model", "profile", "role"], ["model", "n"], ["model", "window_id"]],
+                              ["model", "seed", "role", "profile", "n", "window_id"])
     cents = F.round(F.col("runtime_total") * 100).cast("bigint").alias("runtime_cents")
     return rounded(out, "warning_rate", "bound_hit_rate").select("*", cents).drop("runtime_total")
 

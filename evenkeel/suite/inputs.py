@@ -31,6 +31,7 @@ def fits(t: Tables) -> DataFrame:
         F.count_if(F.col("l_tax") == 0).alias("warnings"),
         F.round(F.sum("l_extendedprice"), 2).alias("runtime"),
         F.when(F.max("l_suppkey") % 50 == 7, "ERROR").otherwise("OK").alias("status"),
+        F.array(F.max("l_discount") * 100.0 / 8.0, F.max("l_tax"), F.count_if(F.col("l_tax") == 0).cast("double")).alias("parameters"),
     )
 
 
@@ -41,7 +42,8 @@ FITS_SQL = """fits AS (
          CAST(count(*) FILTER (WHERE l_discount = 0.1) AS BIGINT) AS bound_hits,
          CAST(count(*) FILTER (WHERE l_tax = 0) AS BIGINT) AS warnings,
          round(sum(l_extendedprice), 2) AS runtime,
-         CASE WHEN max(l_suppkey) % 50 = 7 THEN 'ERROR' ELSE 'OK' END AS status
+         CASE WHEN max(l_suppkey) % 50 = 7 THEN 'ERROR' ELSE 'OK' END AS status,
+         [max(l_discount) * 100.0::DOUBLE / 8, max(l_tax), count(*) FILTER (WHERE l_tax = 0)] AS parameters
   FROM lineitem GROUP BY 1, 2, 3)"""
 
 TRIOS_SQL = FITS_SQL + """, trios AS (
