@@ -122,12 +122,20 @@ def processing_contrast(rows: DataFrame, contrasts: Sequence[tuple[str, str]]) -
     return _compare(l.join(r, keys), keys)
 
 
+def _step_counts() -> list[Column]:
+    return [F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("comparability") == "BOTH_ELIGIBLE").alias("comparable"),
+            *[F.count_if(F.col("step") == s).alias(f"n_{s[0]}{s[2]}") for s in ("0>0", "0>1", "1>0", "1>1")]]
+
+
 def contrast_totals(contrasts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Comparable pairs and the four step counts per group."""
-    return contrasts.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("pairs"),
-        F.count_if(F.col("comparability") == "BOTH_ELIGIBLE").alias("comparable"),
-        *[F.count_if(F.col("step") == s).alias(f"n_{s[0]}{s[2]}") for s in ("0>0", "0>1", "1>0", "1>1")])
+    return contrasts.groupBy(*by).agg(*_step_counts())
+
+
+def contrast_scopes(contrasts: DataFrame, sets: Sequence[Sequence[str]], columns: Sequence[str]) -> DataFrame:
+    """The totals of several groupings over ``columns`` in one pass; ``scope`` names the columns of each."""
+    scope = F.concat_ws("|", *[F.when(F.grouping(c) == 0, F.lit(c)) for c in columns])
+    return contrasts.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns]).agg(scope.alias("scope"), *_step_counts())
 
 
 def pair_comparison(rows: DataFrame, pair: str = "pair_id", role: str = "role",

@@ -81,14 +81,14 @@ def peaks(rows: DataFrame) -> DataFrame:
                      (F.col("peak_idx") - 10).alias("start_idx"), "peak_idx", (F.col("peak_idx") + 15).alias("end_idx"))
 
 
-SERIES_SQL = """series AS (
+SERIES_SQL = """series AS MATERIALIZED (
   SELECT user_id AS series_id, CAST(row_number() OVER w - 1 AS BIGINT) AS idx,
          (row_number() OVER w - 1) * 20.0::DOUBLE AS t, value AS y,
          value + coalesce(CAST(json_extract_string(props, '$.k') AS DOUBLE), 0) AS y2,
          CAST(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS BIGINT) AS quality,
          epoch_us(ts) AS us
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-ev AS (
+ev AS MATERIALIZED (
   SELECT series_id AS event_id, series_id, CAST(n AS BIGINT) AS series_rows, peak - 10 AS start_idx,
          peak AS peak_idx, peak + 15 AS end_idx
   FROM (SELECT series_id, count(*) AS n, first(idx ORDER BY y DESC, idx) AS peak FROM series GROUP BY 1))"""
@@ -99,26 +99,27 @@ _P = ", ".join(f"('{p}', '{f}', '{q}', '{d}')" for p, f, q, d in PROFILES)
 CELLS_SQL = f"""cells AS (
   SELECT * FROM (VALUES {_W}) w(window_id, ds, de), (VALUES {_P}) p(profile_id, flux, policy, detrending))"""
 
+# Profiles that see the same samples share one input, and every step is written out, so that no join order can multiply rows.
 VARIANTS_SQL = SERIES_SQL + ", " + CELLS_SQL + """, planned AS MATERIALIZED (
   SELECT ev.*, cells.*, start_idx + ds AS lo, end_idx + de AS hi FROM ev, cells),
 smp AS MATERIALIZED (
   SELECT p.*, s.idx, s.t, CASE WHEN flux = 'alternate' THEN s.y2 ELSE s.y END AS y,
          (policy <> 'q0_native' OR s.quality = 0) AS kept
-  FROM planned p JOIN series s ON s.series_id = p.series_id AND s.idx BETWEEN lo AND hi
-  WHERE lo >= 0 AND hi < series_rows),
-steps AS (
+  FROM (SELECT DISTINCT event_id, series_id, peak_idx, window_id, flux, policy, lo, hi FROM planned WHERE lo >= 0 AND hi < series_rows) p
+  JOIN series s ON s.series_id = p.series_id AND s.idx BETWEEN lo AND hi),
+steps AS MATERIALIZED (
   SELECT *, t - lag(t) OVER w AS d, idx - lag(idx) OVER w AS di FROM smp WHERE kept
-  WINDOW w AS (PARTITION BY event_id, window_id, profile_id ORDER BY idx)),
-stats AS (
-  SELECT event_id, window_id, profile_id, count(*) AS n, bool_or(idx = peak_idx) AS peak_retained,
+  WINDOW w AS (PARTITION BY event_id, window_id, flux, policy ORDER BY idx)),
+stats AS MATERIALIZED (
+  SELECT event_id, window_id, flux, policy, count(*) AS n, bool_or(idx = peak_idx) AS peak_retained,
          coalesce(bool_and(di = 1), true) AS consecutive, quantile_cont(d, 0.5) AS median_step,
          greatest(max(d) - quantile_cont(d, 0.5), quantile_cont(d, 0.5) - min(d)) AS max_dev,
          quantile_cont(y, 0.5) AS median_y, avg(y) AS mean_y, max(y) AS max_y
-  FROM steps GROUP BY 1, 2, 3),
-counts AS (
-  SELECT event_id, window_id, profile_id, count(*) AS raw_n,
+  FROM steps GROUP BY 1, 2, 3, 4),
+counts AS MATERIALIZED (
+  SELECT event_id, window_id, flux, policy, count(*) AS raw_n,
          count(*) FILTER (WHERE kept) AS retained_n, count(*) FILTER (WHERE NOT kept) AS removed_quality
-  FROM smp GROUP BY 1, 2, 3),
+  FROM smp GROUP BY 1, 2, 3, 4),
 variants AS (
   SELECT p.event_id, p.window_id, p.profile_id, p.detrending, p.lo, p.hi,
          c.raw_n, c.retained_n, c.removed_quality, s.n, s.median_step, s.max_dev, s.median_y, s.mean_y, s.max_y,
@@ -128,8 +129,8 @@ variants AS (
               WHEN coalesce(n, 0) < 15 THEN 'TOO_FEW_CADENCES'
               WHEN NOT consecutive OR max_dev > 0.001 THEN 'IRREGULAR_SAMPLING' END AS reason,
          p.window_id = 'W00' AND p.profile_id = 'P00' AS is_baseline
-  FROM planned p LEFT JOIN counts c USING (event_id, window_id, profile_id)
-                 LEFT JOIN stats s USING (event_id, window_id, profile_id))"""
+  FROM planned p LEFT JOIN counts c USING (event_id, window_id, flux, policy)
+                 LEFT JOIN stats s USING (event_id, window_id, flux, policy))"""
 
 
 def variants(t: Tables) -> DataFrame:

@@ -183,6 +183,42 @@ def _(t):
     return C.contrast_totals(C.window_contrast(rows).drop("role").join(role, "event_id"), ["role", "profile_id"])
 
 
+def scope_sql(columns, sets):
+    """Step totals over GROUPING SETS of ``c``, with the name of each scope."""
+    names = ", ".join(f"CASE WHEN grouping({c}) = 0 THEN '{c}' END" for c in columns)
+    return f"""SELECT {", ".join(columns)}, concat_ws('|', {names}) AS scope, CAST(count(*) AS BIGINT) AS pairs,
+  CAST(count(*) FILTER (WHERE comparability = 'BOTH_ELIGIBLE') AS BIGINT) AS comparable,
+  {", ".join(f"CAST(count(*) FILTER (WHERE step = '{a}>{b}') AS BIGINT) AS n_{a}{b}" for a in (0, 1) for b in (0, 1))}
+FROM c GROUP BY GROUPING SETS ({", ".join(f"({', '.join(s)})" for s in sets)})"""
+
+
+ROLE_COLUMNS = ("role", "profile_id", "window_id")
+ROLE_SETS = (("role", "profile_id", "window_id"), ("role", "profile_id"), ("role", "window_id"), ("role",))
+
+
+@query("role_window_contrast_totals", "D26", f"""
+WITH {I.OUTCOMES_SQL}, c AS (SELECT r.role, r.profile_id, r.window_id, {COMPARE_SQL}
+FROM outcomes l JOIN outcomes r ON l.event_id = r.event_id AND l.profile_id = r.profile_id AND l.window_id = 'W00' AND r.window_id <> 'W00')
+{scope_sql(ROLE_COLUMNS, ROLE_SETS)}""")
+def _(t):
+    rows = materialize(I.outcome_rows(t))
+    return C.contrast_scopes(C.window_contrast(rows).join(rows.select("event_id", "role").distinct(), "event_id"), ROLE_SETS, ROLE_COLUMNS)
+
+
+CONTRAST_COLUMNS = ("contrast", "role", "window_id")
+CONTRAST_SETS = (("contrast", "role", "window_id"), ("contrast", "role"), ("contrast",))
+
+
+@query("processing_contrast_totals", "D26 C15", f"""
+WITH {I.OUTCOMES_SQL}, c AS (SELECT r.role, r.window_id, k.a || '>' || k.b AS contrast, {COMPARE_SQL}
+FROM (VALUES {", ".join(str(p) for p in PROFILE_PAIRS)}) k(a, b) JOIN outcomes l ON l.profile_id = k.a
+JOIN outcomes r ON r.profile_id = k.b AND l.event_id = r.event_id AND l.window_id = r.window_id)
+{scope_sql(CONTRAST_COLUMNS, CONTRAST_SETS)}""")
+def _(t):
+    rows = materialize(I.outcome_rows(t))
+    return C.contrast_scopes(C.processing_contrast(rows, PROFILE_PAIRS).join(rows.select("event_id", "role").distinct(), "event_id"), CONTRAST_SETS, CONTRAST_COLUMNS)
+
+
 @query("pair_comparison", "C16", f"""
 WITH {I.OUTCOMES_SQL}
 SELECT l.pair_id, CAST(count(*) AS BIGINT) AS variants,
