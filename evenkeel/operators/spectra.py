@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from evenkeel.functions.numeric import bound_hits, hash_uniform, is_finite, period_from_log_frequency
 from evenkeel.operators.ordered import fits_one_task, neighbours
 from evenkeel.operators.summaries import attach
-from evenkeel.session import spread
+from evenkeel.operators.transform import dft
+from evenkeel.session import materialize, spread
 
 # Signal generator constants.
 PERIOD_MIN, PERIOD_MAX, MIN_CYCLES = 40.0, 300.0, 3.0
@@ -79,26 +80,19 @@ def power_spectrum(series: DataFrame, by: Sequence[str], hann: bool = True, nyqu
     """Squared transform modulus at the positive frequencies: ``(by, k, freq, power)``.
 
     ``series`` carries ``pos`` = 0 .. n-1. Values are centred and scaled by the mean, and tapered
-    with ``hann``. Each sample is expanded over the frequency bins and summed map-side per
-    (series, bin), so samples of one long series never have to meet in one task.
+    with ``hann``. Series that are too long for one piece are transformed over many tasks.
     """
     s = series.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.avg("y").alias("_m"),
                                 F.min("t").alias("_t0"), F.max("t").alias("_t1"))
-    s = s.where("_n > 1").withColumn("_dt", (F.col("_t1") - F.col("_t0")) / (F.col("_n") - 1))
-    rows = spread(attach(series, s, by, "inner"), *by, "pos")
+    s = materialize(s.where("_n > 1").withColumn("_span", (F.col("_t1") - F.col("_t0")) / (F.col("_n") - 1) * F.col("_n")))
+    longest = s.agg(F.max("_n")).first()[0] or 0
     n, pos = F.col("_n"), F.col("pos")
     taper = 0.5 - 0.5 * F.cos(F.lit(2.0 * math.pi) * pos / (n - 1)) if hann else F.lit(1.0)
-    z = (F.col("y") - F.col("_m")) / F.col("_m") * taper
     last = F.floor(n / 2) if nyquist else F.floor((n - 1) / 2)
-    k = F.explode(F.when(last >= 1, F.sequence(F.lit(1).cast("bigint"), last.cast("bigint"))))
-    wide = rows.select(*by, z.alias("_z"), pos.alias("_j"), n.alias("_n"), "_dt", k.alias("k"))
-    # The angle is reduced with integers first; long series would lose digits otherwise.
-    angle = F.lit(2.0 * math.pi) * F.pmod(F.col("k") * F.col("_j"), F.col("_n")) / F.col("_n")
-    g = wide.groupBy(*by, "k").agg(
-        F.sum(F.col("_z") * F.cos(angle)).alias("_c"), F.sum(F.col("_z") * F.sin(angle)).alias("_s"),
-        F.any_value(F.col("_n") * F.col("_dt")).alias("_span"))
-    return g.select(*by, "k", (F.col("k") / F.col("_span")).alias("freq"),
-                    (F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")).alias("power"))
+    rows = attach(series, s, by, "inner").withColumns({"_z": (F.col("y") - F.col("_m")) / F.col("_m") * taper, "_last": last})
+    # the span rides along as a key, so that no join is needed for it afterwards
+    out = dft(rows, [*by, "_span"], "_z", "pos", "_n", "_last", longest).where("k > 0")
+    return out.select(*by, "k", (F.col("k") / F.col("_span")).alias("freq"), (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"))
 
 
 def periodogram(series: DataFrame, by: Sequence[str]) -> DataFrame:
