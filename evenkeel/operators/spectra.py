@@ -6,14 +6,15 @@ import itertools
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evenkeel.functions.labels import warning_types
 from evenkeel.functions.numeric import bound_hits, hash_uniform, is_finite, period_from_log_frequency
-from evenkeel.operators.ordered import fits_one_task, neighbours
+from evenkeel.operators.ordered import neighbours
 from evenkeel.operators.summaries import attach
 from evenkeel.operators.transform import dft
-from evenkeel.session import materialize, spread
+from evenkeel.session import discard, materialize, spread
 
 # Signal generator constants.
 PERIOD_MIN, PERIOD_MAX, MIN_CYCLES = 40.0, 300.0, 3.0
@@ -168,52 +169,109 @@ def model_power() -> Column:
             .otherwise(base + F.when(F.col("m") == 1, bump).otherwise(F.lit(0.0))))
 
 
-def _score(spots: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Log-likelihood of every parameter row and the best one per (series, model).
+THETA = tuple(f"a{i}" for i in range(WIDTH))
 
-    Rows are summed under the short key (series, theta id); parameters ride along as plain numbers,
-    which keeps the sum in a hash aggregation.
-    """
-    theta = [f"a{i}" for i in range(WIDTH)]
+#: Bins of one block of a long series; blocks of which the first pass reads one in so many; digits within which likelihoods are equal.
+BLOCK, FIRST, DIGITS = 4_096, 8, 6
+
+
+def _terms(spots: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``bins``, ``ok`` (usable terms) and ``x`` (their sum) per parameter row ``(keys, tid)``; parameters ride along as plain numbers."""
     # log() is NULL for a value that is not positive, and an infinite or undefined value shows in the sum.
-    term = spots.withColumn("_s", model_power()).select(
-        *by, "tid", "m", *theta, (F.log("_s") + F.col("power") / F.col("_s")).alias("_x"))
-    g = term.groupBy(*by, "tid").agg(
-        F.count(F.lit(1)).alias("bins"), F.count("_x").alias("_ok"), (-F.sum("_x")).alias("lnl"),
-        *[F.max(c).alias(c) for c in ("m", *theta)])
-    g = g.where((F.col("_ok") == F.col("bins")) & is_finite(F.col("lnl")))
-    order = F.struct(F.col("lnl").alias("l"), *[(-F.col(c)).alias(c) for c in theta])
-    return g.groupBy(*by, "m").agg(F.max_by(F.struct("bins", "lnl", *theta), order).alias("_b")).select(*by, "m", "_b.*")
+    term = spots.withColumn("_s", model_power()).select(*keys, "tid", "m", *THETA, (F.log("_s") + F.col("power") / F.col("_s")).alias("_x"))
+    return term.groupBy(*keys, "tid").agg(F.count(F.lit(1)).alias("bins"), F.count("_x").alias("ok"), F.sum("_x").alias("x"), *[F.max(c).alias(c) for c in ("m", *THETA)])
+
+
+def _best(sums: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The best parameter row per series and model, and how many different ones share its likelihood (``ties``).
+
+    Likelihoods are equal within ``DIGITS`` decimals; of equal rows the one of the smallest parameters is taken.
+    """
+    g = sums.where((F.col("ok") == F.col("bins")) & is_finite(F.col("x"))).select(*by, "m", "bins", *THETA, (-F.col("x")).alias("lnl"))
+    theta = F.struct(*THETA)
+    level = g.groupBy(*by, "m", F.round("lnl", DIGITS).alias("_l")).agg(
+        F.min_by(F.struct("bins", "lnl", *THETA), theta).alias("_b"), F.size(F.collect_set(theta)).alias("ties"))
+    return level.groupBy(*by, "m").agg(F.max_by(F.struct("_b", "ties"), "_l").alias("_t")).select(*by, "m", "_t._b.*", "_t.ties")
+
+
+def _sums(rows: DataFrame, points: DataFrame, by: Sequence[str], long: bool) -> DataFrame:
+    """Sums over all bins for the parameter rows that can still be best; ``points(by, tid, m, a0..a5)``.
+
+    Short series meet their points in the task that holds their bins. A long series lies in blocks, dealt to many tasks, with
+    its points copied to each. The first pass reads one block in ``FIRST`` for every point. A term ``ln s + p / s`` is
+    at least ``1 + ln p``, so what the first pass has of a point plus that bound over the other blocks is a lower bound of its
+    sum. The point that leads after the first pass is summed in full, and only points whose bound does not exceed
+    that sum are read on; all that tie with the best are among them.
+    """
+    keys = list(by)
+    if not long:
+        return _terms(rows.join(points, keys), keys)
+    spread_out = lambda df: df.join(sizes, keys).withColumn("blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).drop("blocks")
+    sizes = rows.select(*keys, "blocks").distinct()
+    at = [*keys, "blk"]
+    opening = F.col("blk") % FIRST == 0
+    add = lambda df: df.groupBy(*keys, "tid").agg(F.sum("bins").alias("bins"), F.sum("ok").alias("ok"), F.sum("x").alias("x"), *[F.max(c).alias(c) for c in ("m", *THETA)])
+    read = lambda some, pts: add(_terms(some.join(spread_out(pts), at), at))
+    none = F.lit(0).cast("bigint")
+    unread = points.select(*keys, "tid", "m", *THETA, none.alias("bins"), none.alias("ok"), F.lit(0.0).alias("x"))  # a short series may have no opening block
+    begun = materialize(add(_terms(rows.where(opening).join(spread_out(points), at), at).select(*keys, "tid", "m", *THETA, "bins", "ok", "x").unionByName(unread)))
+    rest = rows.where(~opening)
+    usable = begun.where((F.col("ok") == F.col("bins")) & is_finite(F.col("x")))
+    point = ["tid", "m", *THETA]
+    lead = usable.groupBy(*keys, "m").agg(F.min_by(F.struct("tid", *THETA), F.struct("x", "tid")).alias("_p"), F.min("x").alias("_x0")).select(*keys, "m", "_p.*", "_x0")
+    led = read(rest, lead.drop("_x0")).select(*keys, "m", F.col("x").alias("_x1"), (F.col("ok") == F.col("bins")).alias("_whole"))
+    floor = rest.groupBy(*keys).agg(F.sum(F.when(F.col("power") > 0, 1.0 + F.log("power")).otherwise(F.lit(float("-inf")))).alias("_floor"))
+    goal = (lead.select(*keys, "m", "_x0").join(led, [*keys, "m"], "left").join(floor, keys, "left")
+            .select(*keys, "m", F.when(F.col("_whole") & is_finite(F.col("_x1")), F.col("_x0") + F.col("_x1")).otherwise(F.when(F.col("_floor").isNull(), F.col("_x0"))
+                                                                                                                    .otherwise(F.lit(float("inf")))).alias("_goal"),
+                    F.coalesce("_floor", F.lit(0.0)).alias("_floor")))
+    slack = 10.0 ** -DIGITS + 1e-9 * F.abs(F.col("_goal"))
+    alive = materialize(usable.join(goal, [*keys, "m"]).where(F.col("x") + F.col("_floor") <= F.col("_goal") + slack).select(*keys, *point, "bins", "ok", "x"))
+    done = materialize(add(read(rest, alive.select(*keys, *point)).unionByName(alive)))
+    discard(begun, alive)
+    return done
 
 
 def fit_grid(spectra: DataFrame, by: Sequence[str], points: Mapping[str, Sequence[int]], refine: int = 1,
-             group_rows: int | None = None) -> DataFrame:
-    """Best grid parameters, log-likelihood and BIC per series and model.
+             group_rows: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Best grid parameters, log-likelihood and BIC per series and model, with what was odd about the fit.
+
+    The grid is a constant of the plan and does not grow with the data. Series of at most a block of bins are
+    placed by series once, and the expansion, the sums and the choice of the best row all stay inside that placement; if any is longer, all lie
+    in blocks (see :func:`_sums`). Each refinement crosses a series' best row with a fixed local grid of half the last spacing, clipped to the bounds.
 
-    The grid is a constant of the plan, sent along with it; it does not grow with the data. When
-    the bins of a series fit one task, spectra are placed by series once, and the expansion, the
-    sums and the choice of the best row all stay inside that placement. Each refinement crosses a
-    series' best row with a fixed local grid of half the last spacing, clipped to the bounds.
+    ``ties`` counts the parameter rows of the last grid that reach the best likelihood; ``non_positive`` and ``overflow``
+    count points of the first grid whose model value is not positive, or not finite, at an end of the frequency range.
     """
     spark = spectra.sparkSession
-    bounded = fits_one_task(spectra, by, group_rows)
-    if bounded:
-        rows = spread(spectra, *by).withColumn("fmin", F.min("freq").over(Window.partitionBy(*by)))
+    keys = list(by)
+    told = spectra.where(is_finite(F.col("power"))).select(*by, "freq", "power")
+    size = materialize(told.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("freq").alias("fmin"), F.max("freq").alias("fmax"))
+                       .withColumn("blocks", F.ceil(F.col("_n") / block).cast("bigint")))
+    long = (size.agg(F.max("_n")).first()[0] or 0) > (block if group_rows is None else group_rows)
+    rows = attach(told, size.select(*by, "fmin", "blocks"), by, "inner")
+    if long:
+        rows = materialize(rows.withColumn("blk", F.pmod(F.xxhash64("freq"), F.col("blocks"))))
     else:
-        rows = attach(spectra, spectra.groupBy(*by).agg(F.min("freq").alias("fmin")), by)
-    rows = rows.where(is_finite(F.col("power"))).select(*by, "freq", "power", "fmin")
+        rows = spread(rows, *by)
     models = F.explode(F.array(*[F.lit(MODELS.index(m)) for m in points])).alias("m")
     theta = spark.createDataFrame(grid_rows(points), GRID_SCHEMA)
-    best = _score(rows.select("*", models).join(F.broadcast(theta), "m"), by)
+    if long:
+        sums = _sums(rows, size.select(*by, models).join(F.broadcast(theta), "m"), by, True)
+    else:
+        sums = _terms(rows.select("*", models).join(F.broadcast(theta), "m"), by)
+    best = _best(sums, by)
+    ends = size.select(*by, "fmin", F.explode(F.array("fmin", "fmax")).alias("freq"), models).join(F.broadcast(theta), "m").withColumn("_s", model_power())
+    odd = ends.groupBy(*by, "m").agg(F.count_if(~(F.col("_s") > 0)).alias("non_positive"), F.count_if(~is_finite(F.col("_s"))).alias("overflow"))
     for step in range(refine):
         local = spark.createDataFrame(_offsets(points, 2.0 ** -(step + 1)), GRID_SCHEMA)
         local = local.select("tid", "m", *[F.col(f"a{i}").alias(f"_o{i}") for i in range(WIDTH)])
         near = spread(best, *by).join(F.broadcast(local), "m").select(*by, "tid", "m", *[_clip(i).alias(f"a{i}") for i in range(WIDTH)])
-        best = _score(rows.join(near, list(by)), by)
+        best = _best(_sums(rows, near, by, long), by)
     names = F.element_at(F.array(*[F.lit(n) for n in MODELS]), F.col("m") + 1)
     weight = F.element_at(F.array(*[F.lit(float(PENALTY[n])) for n in MODELS]), F.col("m") + 1)
-    out = best.withColumns({"model": names, "bic": -2.0 * F.col("lnl") + weight * F.log("bins")})
-    return out.select(*by, "model", "bins", "lnl", "bic", *[f"a{i}" for i in range(WIDTH)])
+    out = attach(best, odd, [*keys, "m"]).withColumns({"model": names, "bic": -2.0 * F.col("lnl") + weight * F.log("bins")})
+    return out.select(*by, "model", "bins", "lnl", "bic", *THETA, "ties", "non_positive", "overflow")
 
 
 def _offsets(points: Mapping[str, Sequence[int]], scale: float) -> list[tuple]:
@@ -237,18 +295,28 @@ def _clip(i: int) -> Column:
     return out
 
 
+def fit_warnings() -> Column:
+    """Warnings of a fit as an array of (category, message)."""
+    told = lambda when, category, message: F.when(when, F.struct(F.lit(category).alias("category"), message.alias("message")))
+    count = lambda c, text: F.concat(F.col(c).cast("string"), F.lit(text))
+    return F.array_compact(F.array(
+        told(F.col("non_positive") > 0, "NonPositiveModel", count("non_positive", " model values at the ends of the range")),
+        told(F.col("overflow") > 0, "Overflow", count("overflow", " model values at the ends of the range")),
+        told(F.col("ties") > 1, "TieOfBestPoints", count("ties", " parameter rows"))))
+
+
 def fit_status(fits: DataFrame) -> DataFrame:
-    """Status, parameters on their bounds, and the period of the bump model's centre."""
+    """Status, parameters on their bounds, warnings, and the period of the bump model's centre."""
     hits = F.array().cast("array<struct<parameter_index:int,side:string,value:double,bound:double>>")
     for model, bounds in BOUNDS.items():
         found = bound_hits([F.col(f"a{i}") for i in range(len(bounds))], bounds)
         hits = F.when(F.col("model") == model, found).otherwise(hits)
     return fits.withColumns({
         "status": F.when(is_finite(F.col("bic")), "OK").otherwise("ERROR"),
-        "bound_hits": hits, "at_bound": F.size(hits) > 0,
+        "bound_hits": hits, "at_bound": F.size(hits) > 0, **warning_types(fit_warnings()),
         "period": F.when(F.col("model") == "M1", period_from_log_frequency(F.col("a4")))})
 
 
 def score_table(fits: DataFrame, by: Sequence[str]) -> DataFrame:
     """Fits as the (key, model, score) rows that trio assembly takes."""
-    return fits.select(*by, "model", F.col("bic").alias("score"), "at_bound", "period")
+    return fits.select(*by, "model", F.col("bic").alias("score"), "at_bound", "warning_count", "status", "period")

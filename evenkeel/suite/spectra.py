@@ -103,16 +103,68 @@ def refined(t):
     return S.fit_status(S.fit_grid(sp, ["series_id"], POINTS, refine=1))
 
 
-@query("refined_fits", "F12 F13 B13 B15", None)
+def _clipped(i: int) -> str:
+    """The moved parameter within the bounds of its model."""
+    out = "0.0"
+    for model, bounds in S.BOUNDS.items():
+        if i < len(bounds):
+            lo, hi = bounds[i]
+            x = f"(b.a{i} + o.a{i})"
+            x = x if lo is None else f"greatest({x}, {lo!r})"
+            x = x if hi is None else f"least({x}, {hi!r})"
+            out = f"CASE WHEN o.model = '{model}' THEN {x} ELSE {out} END"
+    return f"{out} AS a{i}"
+
+
+def _steps(model: str) -> str:
+    """Offsets of the local grid: half a spacing down, none, up, in every parameter."""
+    widths = [(ax[-1] - ax[0]) / max(len(ax) - 1, 1) * 0.5 for ax in S.axes(model, POINTS[model])]
+    cols = [f"(SELECT unnest([{-w!r}, 0.0, {w!r}]::DOUBLE[]) AS a{i}) x{i}" for i, w in enumerate(widths)]
+    pad = ", ".join(f"0.0::DOUBLE AS a{i}" for i in range(len(widths), S.WIDTH))
+    return f"SELECT '{model}' AS model, {', '.join(f'a{i}' for i in range(len(widths)))}{', ' + pad if pad else ''} FROM {', '.join(cols)}"
+
+
+MODEL_SQL = f"""CASE model WHEN 'M2' THEN CASE WHEN freq < a2 THEN exp(a0) * pow(freq, -a1) ELSE exp(a0) * pow(a2, -a1 + a3) * pow(freq, -a3) END + exp(a4)
+  ELSE exp(a0) * pow(freq / fmin, -a1) + exp(a2) + CASE model WHEN 'M1' THEN exp(a3) / sqrt({2.0 * math.pi!r} * a5 * a5) * exp(-0.5 * pow((ln(freq) - a4) / a5, 2)) ELSE 0 END END"""
+
+PICK = "row_number() OVER (PARTITION BY series_id, model ORDER BY round(lnl, 6) DESC, a0, a1, a2, a3, a4, a5) = 1"
+
+HIT_SQL = "(" + " + ".join(f"CASE WHEN model = '{m}' AND abs(a{i} - ({edge!r})) <= 1e-7 THEN 1 ELSE 0 END"
+                           for m, bounds in S.BOUNDS.items() for i, pair in enumerate(bounds) for edge in pair if edge is not None) + ")"
+
+REFINED_SQL = GRID_SQL + f""", b AS MATERIALIZED (SELECT * FROM ll QUALIFY {PICK}),
+o AS MATERIALIZED ({" UNION ALL ".join(_steps(m) for m in POINTS)}),
+near AS MATERIALIZED (SELECT DISTINCT b.series_id, o.model, {", ".join(_clipped(i) for i in range(S.WIDTH))} FROM b JOIN o USING (model)),
+l2 AS MATERIALIZED (SELECT series_id, model, a0, a1, a2, a3, a4, a5, count(*) AS bins, -sum(ln(s)) - sum(power / s) AS lnl FROM (
+  SELECT near.*, power, {MODEL_SQL} AS s FROM near JOIN c USING (series_id)) GROUP BY ALL),
+ends AS (SELECT series_id, model, count(*) FILTER (WHERE NOT s > 0) AS non_positive, count(*) FILTER (WHERE NOT isfinite(s)) AS overflow FROM (
+  SELECT series_id, model, {MODEL_SQL} AS s FROM (SELECT series_id, min(freq) AS fmin, unnest([min(freq), max(freq)]) AS freq FROM c GROUP BY 1), grid) GROUP BY 1, 2),
+t AS (SELECT series_id, model, count(*) AS ties FROM (SELECT *, max(round(lnl, 6)) OVER (PARTITION BY series_id, model) AS top FROM l2) WHERE round(lnl, 6) = top GROUP BY 1, 2),
+fits AS MATERIALIZED (SELECT *, -2 * lnl + CASE model WHEN 'M0' THEN 2 WHEN 'M1' THEN 5 ELSE 4 END * ln(bins) AS bic, {HIT_SQL} AS hits,
+    (non_positive > 0)::INT + (overflow > 0)::INT + (ties > 1)::INT AS warning_count,
+    list_filter([CASE WHEN non_positive > 0 THEN 'NonPositiveModel: ' || non_positive || ' model values at the ends of the range' END,
+      CASE WHEN overflow > 0 THEN 'Overflow: ' || overflow || ' model values at the ends of the range' END, CASE WHEN ties > 1 THEN 'TieOfBestPoints: ' || ties || ' parameter rows' END], lambda x: x IS NOT NULL) AS texts
+  FROM (SELECT * FROM l2 QUALIFY {PICK}) JOIN ends USING (series_id, model) JOIN t USING (series_id, model))"""
+
+
+@query("refined_fits", "F12 F13 B13 B14 B15", f"""
+WITH {REFINED_SQL}
+SELECT series_id, model, 'OK' AS status, round(lnl, 4) AS lnl, round(bic, 4) AS bic, hits > 0 AS at_bound, hits AS n_hits, CASE WHEN model = 'M1' THEN round(1 / exp(a4), 4) END AS period,
+  ties, warning_count, '[' || array_to_string(list_transform(texts, lambda x: '"' || x || '"'), ',') || ']' AS warning_types FROM fits""")
 def _(t):
-    return rounded(refined(t).select("series_id", "model", "status", "lnl", "bic", "at_bound", F.size("bound_hits").alias("n_hits"), "period"),
-                   "lnl", "bic", "period", digits=4)
+    return rounded(refined(t).select("series_id", "model", "status", "lnl", "bic", "at_bound", F.size("bound_hits").alias("n_hits"), "period", "ties", "warning_count",
+                                     "warning_types"), "lnl", "bic", "period", digits=4)
 
 
-@query("spectral_decisions", "D1 F12", None)
+@query("spectral_decisions", "D1 F12 F13", f"""
+WITH {REFINED_SQL}, w AS (SELECT series_id, max(bic) FILTER (WHERE model = 'M0') AS b0, max(bic) FILTER (WHERE model = 'M1') AS b1, max(bic) FILTER (WHERE model = 'M2') AS b2,
+  CAST(sum(warning_count) AS BIGINT) AS warnings FROM fits GROUP BY 1)
+SELECT series_id, round(b0 - b1, 4) AS d01, round(b2 - b1, 4) AS d21, b0 - b1 > 10 AND b2 - b1 > 10 AS selected, 'VALID' AS decision_status, warnings FROM w""")
 def _(t):
-    out = D.assemble_trios(S.score_table(refined(t), ["series_id"]), ["series_id"], mode="skip", carry=["period"])
-    return out.select("series_id", F.round("d01", 4).alias("d01"), F.round("d21", 4).alias("d21"), "selected", "decision_status")
+    rows = S.score_table(refined(t), ["series_id"])
+    out = D.assemble_trios(rows, ["series_id"], mode="skip", ok=F.col("status") == "OK", carry=["warning_count"])
+    warnings = sum((F.col(f"warning_count_m{i}") for i in range(3)), F.lit(0)).cast("bigint")
+    return out.select("series_id", F.round("d01", 4).alias("d01"), F.round("d21", 4).alias("d21"), "selected", "decision_status", warnings.alias("warnings"))
 
 
 @query("ensemble_slope", "D22", f"""
