@@ -153,11 +153,5 @@ def hash_uniform(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(float(2**52))
 
 
-def hash_index(n: Column, *parts: Column) -> Column:
-    """Deterministic index in [0, n) from the first 52 bits of a SHA-256."""
-    digest = F.sha2(F.concat_ws("|", *parts), 256)
-    return F.pmod(F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint"), n.cast("bigint"))
-
-
 def all_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from evenkeel.functions import labels as L
-from evenkeel.functions.numeric import hash_index, is_finite, period_errors, safe_ratio, wilson
-from evenkeel.operators.joins import maybe_broadcast
-from evenkeel.operators.ordered import grouped, number_rows, quantiles
-from evenkeel.operators.summaries import attach
+from evenkeel.functions.numeric import hash_uniform, is_finite, period_errors, safe_ratio, wilson
+from evenkeel.operators.ordered import grouped, quantiles
 from evenkeel.session import spread
 
 # Period bins, the label of an empty stratum, and the promotion criteria.
@@ -150,32 +151,75 @@ def pair_members(df: DataFrame, unit: str, role: str, positive: str, null: str,
 COUNTS = ("TP", "FN", "TN", "FP")
 
 
-def paired_bootstrap(df: DataFrame, unit: str, strata: Sequence[str], reps: int, seed: str,
-                     base: Column, candidate: Column) -> DataFrame:
+CLASSES = tuple(f"{t}{b}{c}" for t in "01" for b in "01" for c in "01")
+
+
+def binomial_quantile(u: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Least ``k`` whose cumulative binomial probability reaches ``u``.
+
+    Probabilities are taken relative to their sum from ten deviations below the mean to ten above (beyond which less than
+    1e-16 lies), each from the one before it, so that no rounding of a first term shifts the far tail.
+    """
+    n, mean = n.astype(float), n * p
+    reach = 10.0 * np.sqrt(mean * (1.0 - p)) + 10.0
+    low, high = np.maximum(0.0, np.floor(mean - reach)), np.minimum(n, np.ceil(mean + reach))
+    inner = (p > 0) & (p < 1) & (n > 0)
+    odds = np.where(inner, p, 0.5) / (1.0 - np.where(inner, p, 0.5))
+
+    def walk(stop_at: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        k, mass, total = low.copy(), np.ones(len(n)), np.ones(len(n))
+        while True:
+            going = inner & (k < high)
+            if stop_at is not None:
+                going &= total < stop_at
+            if not going.any():
+                return k, total
+            mass = np.where(going, mass * ((n - k) / (k + 1.0) * odds), mass)
+            k = np.where(going, k + 1.0, k)
+            total = np.where(going, total + mass, total)
+
+    k, _ = walk(u * walk(None)[1])
+    return np.where(inner, k, mean).astype(np.int64)
+
+
+def _draw_classes(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """How often each class is drawn: a multinomial draw as binomials, each of what the classes before it have left."""
+    n = len(CLASSES)
+    schema = StructType([rows.schema[k] for k in keys] + [StructField(f"d{c}", LongType()) for c in CLASSES])
+    from pyspark.sql.pandas.types import to_arrow_schema
+    wanted = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.asarray([batch.column(f"c{c}").to_numpy() for c in CLASSES])
+            left, rest, drawn = counts.sum(axis=0), counts.sum(axis=0), []
+            for i in range(n - 1):
+                share = np.where(rest > 0, counts[i] / np.maximum(rest, 1), 0.0)
+                drawn.append(binomial_quantile(batch.column(f"u{i}").to_numpy(), left, share))
+                left, rest = left - drawn[-1], rest - counts[i]
+            drawn.append(left)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *[pa.array(d) for d in drawn]], schema=wanted)
+
+    return rows.mapInArrow(run, schema)
+
+
+def paired_bootstrap(df: DataFrame, strata: Sequence[str], reps: int, seed: str, base: Column, candidate: Column) -> DataFrame:
     """Stratified paired bootstrap of two rules on the same units.
 
-    Units are numbered within their stratum by (outcome class, unit), so that the class of a drawn
-    index follows from the class boundaries of its stratum: a draw needs no join to the units. Each
-    numbered unit is one draw slot per replicate; slots are only multiplied inside tasks and summed
-    map-side, and what is shuffled is one row of counters per replicate and task.
+    Drawing the units of a stratum with replacement draws their outcome classes (truth, base, candidate) from its eight class
+    counts, so a replicate of a stratum is one multinomial draw: seven binomials, inverted from uniform numbers that are hashes
+    of seed, replicate, stratum and class. The units are counted once; nothing else grows with them.
     """
-    classes = [f"{t}{b}{c}" for t in "01" for b in "01" for c in "01"]
     flag = lambda x: F.when(F.coalesce(x, F.lit(False)), "1").otherwise("0")
-    u = df.select(*strata, unit, F.concat(flag(F.col("truth")), flag(base), flag(candidate)).alias("_class"))
-    u = number_rows(u, strata, [F.col("_class"), F.col(unit)], "_slot")
-    edges = u.groupBy(*strata).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col("_class") <= c).alias(f"_e{c}") for c in classes])
-    slots = attach(u.select(*strata, "_slot"), maybe_broadcast(edges, edges.count()), strata)
-    draws = spread(slots, *strata, "_slot").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    kind = F.concat(flag(F.col("truth")), flag(base), flag(candidate))
+    counts = df.groupBy(*strata).agg(*[F.count_if(kind == c).alias(f"c{c}") for c in CLASSES])
+    rows = counts.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     text = [F.col(c).cast("string") for c in strata]
-    at = hash_index(F.col("_n"), F.lit(seed), F.col("rep").cast("string"), *text, (F.col("_slot") - 1).cast("string"))
-    drawn = draws.withColumn("_i", at)
-    label = F.lit(classes[-1])
-    for c in reversed(classes[:-1]):
-        label = F.when(F.col("_i") < F.col(f"_e{c}"), c).otherwise(label)
-    d = drawn.select("rep", label.alias("_d"))
-    got = d.groupBy("rep").agg(*[
-        F.count_if(F.col("_d").isin(*[k for k in classes if _cell(k, rule) == cell])).alias(f"{name}_{cell}")
+    draw = lambda i: hash_uniform(F.lit(seed), F.col("rep").cast("string"), *text, F.lit(CLASSES[i]))
+    rows = spread(rows, *strata, "rep").withColumns({f"u{i}": draw(i) for i in range(len(CLASSES) - 1)})
+    drawn = _draw_classes(rows, ["rep"])
+    got = drawn.groupBy("rep").agg(*[
+        F.sum(sum((F.col(f"d{k}") for k in CLASSES if _cell(k, rule) == cell), F.lit(0))).alias(f"{name}_{cell}")
         for name, rule in (("base", 1), ("candidate", 2)) for cell in COUNTS])
     sens = lambda n: safe_ratio(F.col(f"{n}_TP"), F.col(f"{n}_TP") + F.col(f"{n}_FN"))
     spec = lambda n: safe_ratio(F.col(f"{n}_TN"), F.col(f"{n}_TN") + F.col(f"{n}_FP"))

@@ -178,13 +178,29 @@ def _rules(t):
 
 REPS = 10_000
 _CELLS = {"TP": "11", "FN": "10", "FP": "01", "TN": "00"}
-BOOT_SQL = I.EVALUATION_SQL + f""", u AS (
-  SELECT lang, unit, truth::INT || '' || (selected::INT) || (d01 > 4 AND d21 > 2)::INT AS cls FROM evaluation WHERE eligible),
-n AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY cls, unit) - 1 AS slot, count(*) OVER (PARTITION BY lang) AS n FROM u),
-d AS (SELECT rep, b.cls FROM (SELECT r AS rep, lang, ('0x' || substr(sha256('boot|' || r || '|' || lang || '|' || slot), 1, 13))::BIGINT % n AS i
-        FROM n, range({REPS}) x(r)) a JOIN n b ON a.lang = b.lang AND a.i = b.slot),
-boot AS (SELECT CAST(rep AS INT) AS rep, {", ".join(f"CAST(count(*) FILTER (WHERE cls[1] || cls[{k}] = '{v}') AS BIGINT) AS {n}_{c}" for n, k in (("base", 2), ("candidate", 3)) for c, v in _CELLS.items())}
-  FROM d GROUP BY 1),
+def _draws_sql() -> str:
+    """Seven binomial draws, each inverted by summing its probabilities, of what the classes before it have left."""
+    out = [f"""r0 AS MATERIALIZED (SELECT rep, lang, n AS lft, n AS rest, {", ".join(f"c{c}" for c in E.CLASSES)} FROM k, range({REPS}) x(rep))"""]
+    for i, c in enumerate(E.CLASSES[:-1]):
+        done = "".join(f", d{x}" for x in E.CLASSES[:i])
+        out.append(f"""q{i} AS MATERIALIZED (SELECT *, greatest(0.0, floor(mean - reach)) AS low, least(lft, ceil(mean + reach)) AS high, p > 0 AND p < 1 AND lft > 0 AS inside FROM (
+  SELECT *, lft * p AS mean, 10 * sqrt(lft * p * (1 - p)) + 10 AS reach FROM (SELECT *, CASE WHEN rest > 0 THEN c{c} / rest::DOUBLE ELSE 0.0 END AS p,
+    ('0x' || substr(sha256('boot|' || rep || '|' || lang || '|{c}'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM r{i}))),
+s{i} AS (SELECT rep, lang, low + count(*) FILTER (WHERE total < u) AS d FROM (SELECT rep, lang, low, u, high, j, sum(mass) OVER (PARTITION BY rep, lang ORDER BY j) / sum(mass) OVER (PARTITION BY rep, lang) AS total FROM (
+  SELECT rep, lang, low, u, high, j, exp(lgamma(lft + 1) - lgamma(j + 1) - lgamma(lft - j + 1) + j * ln(p) + (lft - j) * ln(1 - p)) AS mass
+  FROM (SELECT *, unnest(generate_series(low::BIGINT, high::BIGINT)) AS j FROM q{i} WHERE inside))) WHERE j < high GROUP BY rep, lang, low),
+r{i + 1} AS MATERIALIZED (SELECT rep, lang, lft - d AS lft, rest - c{c} AS rest, {", ".join(f"c{x}" for x in E.CLASSES)}{done}, d AS d{c} FROM (
+  SELECT q{i}.*, CASE WHEN inside THEN coalesce(s{i}.d, low) ELSE mean END::BIGINT AS d FROM q{i} LEFT JOIN s{i} USING (rep, lang)))""")
+    return ",\n".join(out)
+
+
+BOOT_SQL = I.EVALUATION_SQL + f""", cls AS (
+  SELECT lang, truth::INT || '' || (selected::INT) || (d01 > 4 AND d21 > 2)::INT AS cls FROM evaluation WHERE eligible),
+k AS MATERIALIZED (SELECT lang, count(*) AS n, {", ".join(f"count(*) FILTER (WHERE cls = '{c}') AS c{c}" for c in E.CLASSES)} FROM cls GROUP BY 1),
+{_draws_sql()},
+drawn AS (SELECT *, lft AS d{E.CLASSES[-1]} FROM r{len(E.CLASSES) - 1}),
+boot AS (SELECT CAST(rep AS INT) AS rep, {", ".join(f"CAST(sum({' + '.join('d' + x for x in E.CLASSES if x[0] + x[k] == v)}) AS BIGINT) AS {n}_{c}" for n, k in (("base", 1), ("candidate", 2)) for c, v in _CELLS.items())}
+  FROM drawn GROUP BY 1),
 diff AS (SELECT *, candidate_TP / (candidate_TP + candidate_FN)::DOUBLE - base_TP / (base_TP + base_FN)::DOUBLE AS ds,
    candidate_TN / (candidate_TN + candidate_FP)::DOUBLE - base_TN / (base_TN + base_FP)::DOUBLE AS dp FROM boot)"""
 
@@ -197,7 +213,7 @@ def _(t):
 
 
 def boot(t):
-    return E.paired_bootstrap(_rules(t), "unit", ["lang"], REPS, "boot", F.col("selected"), F.col("candidate"))
+    return E.paired_bootstrap(_rules(t), ["lang"], REPS, "boot", F.col("selected"), F.col("candidate"))
 
 
 @query("bootstrap_intervals", "D21", f"""

@@ -1,6 +1,7 @@
 """Custom algorithms against brute force on small random inputs."""
 
 import itertools
+import math
 import random
 from difflib import SequenceMatcher
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.operators import joins as J
 from evenkeel.operators.components import components
-from evenkeel.operators.evaluation import paired_bootstrap, promotion_gate
+from evenkeel.operators.evaluation import binomial_quantile, paired_bootstrap, promotion_gate
 from evenkeel.operators.fuzzy import _common, fuzzy_candidates
 from evenkeel.operators.matching import LEVELS, match_without_replacement
 from evenkeel.operators.series import MIN_SAMPLES, detrend
@@ -33,15 +34,37 @@ def best_threshold(rows):
     return best[1]
 
 
-@pytest.mark.parametrize("seed,n,m,grid", [(1, 12, 3, 2), (2, 40, 60, 4), (3, 40, 6, 8)])
-def test_threshold_search(spark, seed, n, m, grid):
+@pytest.mark.parametrize("seed,n,m", [(1, 12, 3), (2, 40, 60), (3, 40, 6), (4, 2, 1)])
+def test_threshold_search(spark, seed, n, m):
     rnd = random.Random(seed)
     rows = [(rnd.randint(-m, m) / 2.0 + 8, rnd.randint(-m, m) / 2.0, rnd.random() < 0.5) for _ in range(n)]
     rows[0], rows[1] = (*rows[0][:2], True), (*rows[1][:2], False)
-    got = threshold_search(spark.createDataFrame(rows, "d01 double, d21 double, truth boolean"), grid=grid).first()
+    got = threshold_search(spark.createDataFrame(rows, "d01 double, d21 double, truth boolean")).first()
     assert (got.t01, got.t21, got.TP, got.FP) == best_threshold(rows)
 
 
+def test_threshold_search_of_random_labels(spark):
+    """Thousands of values an axis and nothing to find: the best value equals that of a sweep over all states."""
+    rnd = np.random.default_rng(9)
+    n = 4_000
+    a, b, truth = rnd.permutation(n) / 7.0, rnd.permutation(n) / 9.0, rnd.random(n) < 0.4
+    pos, neg = int(truth.sum()), int((~truth).sum())
+    passing, best = np.zeros(n + 1, np.int64), 0
+    at = np.argsort(np.argsort(b))
+    for i in np.argsort(-a):  # one more point passes the first threshold; states of the second below its rank gain it
+        passing[:at[i] + 1] += neg if truth[i] else -pos
+        best = max(best, int(passing.max()))
+    rows = [(float(x), float(y), bool(z)) for x, y, z in zip(a, b, truth)]
+    got = threshold_search(spark.createDataFrame(rows, "d01 double, d21 double, truth boolean")).first()
+    assert got.TP * neg - got.FP * pos == best
+    assert got.TP == (truth & (a > got.t01) & (b > got.t21)).sum() and got.FP == (~truth & (a > got.t01) & (b > got.t21)).sum()
+
+
+def test_threshold_search_needs_both_classes(spark):
+    with pytest.raises(ValueError, match="both classes"):
+        threshold_search(spark.createDataFrame([(1.0, 2.0, True)], "d01 double, d21 double, truth boolean"))
+
+
 def test_threshold_axis(spark):
     df = spark.createDataFrame([(1.0,), (3.0,), (3.0,), (float("inf"),), (float("nan"),)], "x double")
     assert sorted(r[0] for r in threshold_axis(df, "x").collect()) == [1.0, 2.0, 3.0, 10.0]
@@ -161,13 +184,43 @@ def test_detrend_of_a_line_is_one(spark):
 
 
 def test_bootstrap_keeps_stratum_sizes(spark):
-    rows = [(i, "s" if i < 20 else "z", i % 2 == 0, i % 3 == 0, i % 5 == 0) for i in range(27)]
-    df = spark.createDataFrame(rows, "unit int, g string, truth boolean, a boolean, b boolean")
-    got = paired_bootstrap(df, "unit", ["g"], 7, "x", F.col("a"), F.col("b")).collect()
+    rows = [("s" if i < 20 else "z", i % 2 == 0, i % 3 == 0, i % 5 == 0) for i in range(27)] + [(None, True, None, True)]
+    df = spark.createDataFrame(rows, "g string, truth boolean, a boolean, b boolean")
+    got = paired_bootstrap(df, ["g"], 7, "x", F.col("a"), F.col("b")).collect()
     assert len(got) == 7
     for r in got:
-        assert r.base_TP + r.base_FN + r.base_TN + r.base_FP == 27
+        assert r.base_TP + r.base_FN + r.base_TN + r.base_FP == 28
         assert r.base_TP + r.base_FN == r.candidate_TP + r.candidate_FN
+    assert paired_bootstrap(df.limit(0), ["g"], 7, "x", F.col("a"), F.col("b")).count() == 0
+
+
+def test_bootstrap_has_the_distribution_of_direct_draws(spark):
+    """Mean, deviation and correlation of the counts against drawing units one by one."""
+    rnd = np.random.default_rng(5)
+    rows = [(str(g), bool(t), bool(a), bool(b)) for g, n in (("x", 60), ("y", 7)) for t, a, b in rnd.random((n, 3)) < [0.3, 0.5, 0.8]]
+    df = spark.createDataFrame(rows, "g string, truth boolean, a boolean, b boolean")
+    cells = ["base_TP", "base_FP", "base_TN", "candidate_TP", "candidate_FN"]
+    got = np.asarray([[r[c] for c in cells] for r in paired_bootstrap(df, ["g"], 6_000, "s", F.col("a"), F.col("b")).collect()], float)
+    want = []
+    for _ in range(6_000):
+        drawn = [own[i] for g in "xy" for own in [[r for r in rows if r[0] == g]] for i in rnd.integers(0, len(own), len(own))]
+        want.append([sum(t and a for _, t, a, b in drawn), sum(not t and a for _, t, a, b in drawn), sum(not t and not a for _, t, a, b in drawn),
+                     sum(t and b for _, t, a, b in drawn), sum(t and not b for _, t, a, b in drawn)])
+    want = np.asarray(want, float)
+    assert np.abs(got.mean(axis=0) - want.mean(axis=0)).max() < 0.25
+    assert np.abs(got.std(axis=0) - want.std(axis=0)).max() < 0.15
+    assert np.abs(np.corrcoef(got.T) - np.corrcoef(want.T)).max() < 0.06
+
+
+def test_binomial_quantile():
+    for n, p in ((1, 0.5), (9, 0.03), (40, 0.7), (5_000, 0.4), (0, 0.3), (6, 0.0), (6, 1.0)):
+        mass = [math.comb(n, k) * p**k * (1 - p) ** (n - k) if n < 1_000 else math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p))
+                for k in range(n + 1)]
+        total = np.cumsum(mass) / np.sum(mass)
+        u = np.asarray([0.0, 1e-9, 0.013, 0.5, 0.77, 0.9999, 1 - 1e-12])
+        want = [min(int((total < x).sum()), n) for x in u]
+        got = binomial_quantile(u, np.full(len(u), n), np.full(len(u), p))
+        assert list(got[1:]) == want[1:] and (p in (0.0, 1.0) or n == 5_000 or got[0] == want[0])
 
 
 @pytest.mark.parametrize("gain,ba,sens,spec,want", [
