@@ -57,16 +57,43 @@ def _interval_join(events: DataFrame, intervals: DataFrame, t: str, inside: Colu
     return points.join(wide, (points["_lv"] == wide["_lv"]) & (points["_b"] == wide["_b"]) & inside, "left").drop("_b", "_lv")
 
 
+#: Most boundaries that are searched as a constant of the plan.
+SMALL_SIDE = 4_096
+
+
+def _last_at_or_before(sorted_values: Sequence[float], t: Column) -> Column:
+    """How many of the ascending ``sorted_values`` are at most ``t``: a bisection in a column expression, with no join."""
+    values = F.lit([float(v) for v in sorted_values])
+    steps = F.lit([1 << k for k in range(len(sorted_values).bit_length() - 1, -1, -1)])
+    here = lambda n, step: F.coalesce(F.get(values, n + step - 1) <= t, F.lit(False))
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(here(n, step), n + step).otherwise(n))
+
+
 def partition_join(events: DataFrame, boundaries: DataFrame, t: str, bound: str, part: str,
-                   group_rows: int | None = None) -> DataFrame:
+                   group_rows: int | None = None, small: int = SMALL_SIDE) -> DataFrame:
     """Latest boundary at or before ``t`` whose successor lies after ``t``, with the margin to the nearer edge.
 
-    ``part`` and ``margin`` stay NULL before the first and from the last boundary on, and where ``t`` is not finite.
-    Boundaries and events are merged into one time order, in which each event takes the last boundary seen.
+    ``part`` and ``margin`` stay NULL before the first and from the last boundary on, and where ``t`` is not finite. Of boundaries
+    at the same place the one of the largest ``part`` counts. Up to ``small`` boundaries are a constant of the plan, searched where
+    the events lie. More are merged with the events into one time order, in which each event takes the last boundary seen.
     """
-    steps = neighbours(boundaries.select(F.col(bound).alias("_lo"), F.col(part)), [], [F.col("_lo")],
-                       next={"_hi": F.col("_lo")}).where("_hi is not null")
-    marks = steps.select(F.col("_lo").cast("double").alias("_t"), F.lit(0).alias("_kind"), F.struct("_lo", "_hi", part).alias("_s"))
+    heads = boundaries.where(F.col(bound).isNotNull()).groupBy(F.col(bound).cast("double").alias("_lo")).agg(F.max(part).alias(part))
+    few = heads.limit(small + 1).collect()
+    if len(few) <= small:
+        few = sorted(few, key=lambda r: r["_lo"])
+        kind = boundaries.schema[part].dataType
+        if len(few) < 2:
+            return events.select(*events.columns, F.lit(None).cast(kind).alias(part), F.lit(None).cast("double").alias("margin"))
+        at = F.col(t).cast("double")
+        lows = F.lit([r["_lo"] for r in few])
+        found = events.withColumn("_i", F.when(at.isNotNull() & ~F.isnan(at), _last_at_or_before([r["_lo"] for r in few], at)))
+        inside = F.col("_i").between(1, len(few) - 1)
+        names = F.array(*[F.lit(r[part]).cast(kind) for r in few])
+        out = found.withColumns({"_p": F.when(inside, F.get(names, F.col("_i") - 1)),
+                                 "_d": F.when(inside, F.least(at - F.get(lows, F.col("_i") - 1), F.get(lows, F.col("_i")) - at))})
+        return out.select(*events.columns, F.col("_p").alias(part), F.col("_d").alias("margin"))
+    steps = neighbours(heads, [], [F.col("_lo")], next={"_hi": F.col("_lo")}).where("_hi is not null")
+    marks = steps.select(F.col("_lo").alias("_t"), F.lit(0).alias("_kind"), F.struct("_lo", "_hi", part).alias("_s"))
     rows = events.select(F.col(t).cast("double").alias("_t"), F.lit(1).alias("_kind"), F.struct(*events.columns).alias("_m"))
     seen = carry(marks.unionByName(rows, allowMissingColumns=True), [], [F.col("_t"), F.col("_kind"), F.to_json("_m")],
                  back={"_l": F.col("_s")}, group_rows=group_rows).where("_kind = 1")

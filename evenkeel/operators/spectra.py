@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from evenkeel.functions.labels import warning_types
 from evenkeel.functions.numeric import bound_hits, hash_uniform, is_finite, period_from_log_frequency
 from evenkeel.operators.ordered import neighbours
+from evenkeel.operators.quality import violations
 from evenkeel.operators.summaries import attach
 from evenkeel.operators.transform import dft
 from evenkeel.session import discard, materialize, spread
@@ -117,6 +118,22 @@ def bin_counts(spectrum: DataFrame, by: Sequence[str], top: float = CUTOFF_HZ) -
         F.min(F.when(left, F.col("freq"))).alias("lowest"), F.max(F.when(left, F.col("freq"))).alias("highest"))
 
 
+def equal_pieces(series: DataFrame, by: Sequence[str], length: int) -> tuple[DataFrame, DataFrame]:
+    """Realisations of equal length, and violations for series that are too short for one.
+
+    Pieces follow each other from the first sample on; if a rest is left, one more piece holds the last ``length`` samples, so that every
+    sample is read. Adds ``piece`` and ``pos``; ``idx`` is 0 .. n-1. A sample is in two pieces at most.
+    """
+    n = materialize(series.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")))
+    short = violations(n.where(F.col("_n") < length), "series_shorter_than_piece", by, F.col("_n"))
+    whole, at = F.expr(f"_n div {length}"), F.col("idx")
+    place = lambda piece, pos: F.struct(piece.cast("bigint").alias("piece"), pos.cast("bigint").alias("pos"))
+    own = F.when(F.expr(f"idx div {length}") < whole, place(F.expr(f"idx div {length}"), at % length))
+    last = F.when((F.col("_n") % length > 0) & (at >= F.col("_n") - length), place(whole, at - (F.col("_n") - length)))
+    rows = attach(series, n.where(F.col("_n") >= length), by, "inner").withColumn("_p", F.explode(F.array_compact(F.array(own, last))))
+    return rows.select(*series.columns, "_p.*"), short
+
+
 def ensemble_slope(spectra: DataFrame, by: Sequence[str], level: str, tolerance: float = 0.35) -> DataFrame:
     """Log-log slope of the mean power over realisations, against the expected ``-level``.
 

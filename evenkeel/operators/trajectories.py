@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions import labels as L
 from evenkeel.operators.ordered import neighbours
+from evenkeel.operators.quality import domain
 
 
 def trajectory(rows: DataFrame, by: Sequence[str], lengths: Sequence[int], n: str = "n_samples") -> DataFrame:
@@ -29,7 +30,7 @@ def trajectory(rows: DataFrame, by: Sequence[str], lengths: Sequence[int], n: st
     last_off = F.array_max(F.transform(F.filter(s, lambda x: ~x["selected"]), lambda x: x["n"]))
     stable = F.filter(chosen, lambda x: last_off.isNull() | (x["n"] > last_off))
     text = lambda f: F.array_join(F.transform(s, f), "")
-    listed = lambda c: F.array_join(F.transform(s, lambda x: F.round(x[c], 6).cast("string")), ",")
+    listed = lambda c: F.array_join(F.transform(s, lambda x: F.coalesce(F.format_string("%.6f", x[c]), F.lit("null"))), ",")
     return g.select(
         *by,
         F.array_join(F.transform(s, lambda x: x["n"].cast("string")), "|").alias("n_sequence"),
@@ -45,6 +46,11 @@ def trajectory(rows: DataFrame, by: Sequence[str], lengths: Sequence[int], n: st
     )
 
 
+def undeclared_lengths(rows: DataFrame, lengths: Sequence[int], n: str = "n_samples") -> DataFrame:
+    """One violation for each length that is in the rows but not in the design, with its row count: no row vanishes in silence."""
+    return domain(rows, n, lengths, "undeclared_length")
+
+
 def steps(rows: DataFrame, by: Sequence[str], lengths: Sequence[int], n: str = "n_samples",
           threshold: float = 10.0) -> DataFrame:
     """Changes and crossings between consecutive lengths of each group.

@@ -346,10 +346,20 @@ SELECT parent_id, block_id, string_agg(n_samples::VARCHAR, '|' ORDER BY n_sample
   CAST(count(*) FILTER (WHERE selected) AS BIGINT) AS selected_lengths,
   CAST(count(*) FILTER (WHERE NOT prev AND selected) AS BIGINT) AS ups, CAST(count(*) FILTER (WHERE prev AND NOT selected) AS BIGINT) AS downs,
   min(n_samples) FILTER (WHERE selected) AS first_selected_n, min(n_samples) FILTER (WHERE stays) AS stable_from_n,
+  '[' || string_agg(printf('%.6f', d01), ',' ORDER BY n_samples) || ']' AS d01_sequence,
+  '[' || string_agg(printf('%.6f', joint_margin), ',' ORDER BY n_samples) || ']' AS joint_margin_sequence,
   string_agg(limiting_model, '|' ORDER BY n_samples) AS limiting_sequence
 FROM s GROUP BY 1, 2""")
 def _(t):
-    return T.trajectory(_traj(t), ["parent_id", "block_id"], WEEKS).drop("d01_sequence", "joint_margin_sequence")
+    return T.trajectory(_traj(t), ["parent_id", "block_id"], WEEKS)
+
+
+# The first two weeks are the whole design here, so that later ones must come out as violations.
+@query("undeclared_lengths", "E1 K4", f"""
+WITH {TRAJ_SQL}
+SELECT 'undeclared_length' AS rule, n_samples::VARCHAR AS key, count(*)::VARCHAR AS detail FROM traj WHERE n_samples NOT IN (1, 2) GROUP BY n_samples""")
+def _(t):
+    return T.undeclared_lengths(_traj(t), WEEKS[:2])
 
 
 @query("sequence_frequencies", "D24", f"""

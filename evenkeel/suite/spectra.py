@@ -167,10 +167,15 @@ def _(t):
     return out.select("series_id", F.round("d01", 4).alias("d01"), F.round("d21", 4).alias("d21"), "selected", "decision_status", warnings.alias("warnings"))
 
 
+PIECES_SQL = I.SERIES_SQL + """, sized AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM series),
+st AS (SELECT series_id, y, idx // 30 AS seg, idx % 30 AS pos FROM sized WHERE idx // 30 < n // 30
+  UNION ALL SELECT series_id, y, n // 30, idx - (n - 30) FROM sized WHERE n >= 30 AND n % 30 > 0 AND idx >= n - 30)"""
+
+
 @query("ensemble_slope", "D22", f"""
-WITH {I.SERIES_SQL}, st AS (SELECT *, idx // 30 AS seg FROM series QUALIFY count(*) OVER (PARTITION BY series_id, idx // 30) = 30),
+WITH {PIECES_SQL},
 m AS (SELECT series_id, seg, avg(y) AS m FROM st GROUP BY 1, 2),
-pw AS (SELECT series_id, seg, k, k / 600.0::DOUBLE AS freq, power(sum((y - m) / m * cos({2.0 * math.pi!r} * ((k * idx) % 30) / 30)), 2) + power(sum((y - m) / m * sin({2.0 * math.pi!r} * ((k * idx) % 30) / 30)), 2) AS p
+pw AS (SELECT series_id, seg, k, k / 600.0::DOUBLE AS freq, power(sum((y - m) / m * cos({2.0 * math.pi!r} * ((k * pos) % 30) / 30)), 2) + power(sum((y - m) / m * sin({2.0 * math.pi!r} * ((k * pos) % 30) / 30)), 2) AS p
   FROM st JOIN m USING (series_id, seg), range(1, 16) r(k) GROUP BY 1, 2, 3),
 e AS (SELECT series_id % 2 AS grp, (series_id % 3)::DOUBLE AS level, freq, avg(p) AS p FROM pw GROUP BY 1, 2, 3),
 s AS (SELECT grp, level, CAST(count(*) AS BIGINT) AS bins, regr_slope(ln(p), ln(freq)) AS slope FROM e GROUP BY 1, 2),
@@ -178,9 +183,14 @@ o AS (SELECT grp, coalesce(bool_and(b > slope) FILTER (WHERE b IS NOT NULL), tru
 SELECT s.grp, level, bins, round(slope, 6) AS slope, round(abs(slope + level), 6) AS error, ordered, abs(slope + level) <= 0.35 AS within_tolerance
 FROM s JOIN o USING (grp)""")
 def _(t):
-    # realisations of equal length: every whole stretch of SEGMENT samples
-    rows = I.series(t).withColumns({"seg": F.floor(F.col("idx") / SEGMENT), "pos": F.col("idx") % SEGMENT})
-    full = rows.where(F.col("pos") == SEGMENT - 1).select("series_id", "seg")
-    sp = S.power_spectrum(rows.join(full, ["series_id", "seg"], "left_semi"), ["series_id", "seg"], hann=False, nyquist=True)
+    pieces, _ = S.equal_pieces(I.series(t), ["series_id"], SEGMENT)
+    sp = S.power_spectrum(pieces, ["series_id", "piece"], hann=False, nyquist=True)
     sp = sp.withColumns({"grp": F.col("series_id") % 2, "level": (F.col("series_id") % 3).cast("double"), "freq": F.round("freq", 12)})
     return rounded(S.ensemble_slope(sp, ["grp"], "level"), "slope", "error")
+
+
+@query("short_realisations", "D22 E3", f"""
+WITH {I.SERIES_SQL}
+SELECT 'series_shorter_than_piece' AS rule, series_id::VARCHAR AS key, count(*)::VARCHAR AS detail FROM series GROUP BY series_id HAVING count(*) < 70""")
+def _(t):
+    return S.equal_pieces(I.series(t), ["series_id"], 70)[1]

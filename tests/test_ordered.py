@@ -96,15 +96,31 @@ def test_containment_with_one_very_long_interval(spark):
     assert {r.e: (r.matches, r.name) for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("limit", ["3", "1000000"])
-def test_partition_join_on_both_paths(spark, limit):
+@pytest.mark.parametrize("limit, small", [("3", 0), ("1000000", 0), ("1000000", 4_096)])
+def test_partition_join_on_all_paths(spark, limit, small):
     from evenkeel.operators import joins as J
     bounds = [(0.0, "a"), (10.0, "b"), (10.5, "c"), (1e7, "d")]
     times = [(i, t) for i, t in enumerate([-1.0, 0.0, 9.9, 10.0, 10.4, 11.0, 9e6, 1e7, 2e7, float("nan"), None])]
     spark.conf.set("evenkeel.group.rows", limit)
     try:
         got = {r.e: r.part for r in J.partition_join(spark.createDataFrame(times, "e int, t double"),
-                                                     spark.createDataFrame(bounds, "lo double, part string"), "t", "lo", "part").collect()}
+                                                     spark.createDataFrame(bounds, "lo double, part string"), "t", "lo", "part", small=small).collect()}
     finally:
         spark.conf.unset("evenkeel.group.rows")
     assert got == dict(enumerate([None, "a", "a", "b", "b", "c", "c", None, None, None, None]))
+
+
+def test_partition_join_by_bisection(spark):
+    """Every place around every boundary, repeated boundaries, one or no boundary; the events are not shuffled."""
+    from evenkeel.operators import joins as J
+    lows = [float(x * x) for x in range(50)]
+    bounds = spark.createDataFrame([(x, i) for i, x in enumerate(lows)] + [(4.0, 99)], "lo double, part int")
+    events = spark.createDataFrame([(x + d,) for x in lows for d in (-0.5, 0.0, 0.25)], "t double")
+    out = J.partition_join(events, bounds, "t", "lo", "part")
+    for r in out.collect():
+        at = max((i for i, x in enumerate(lows) if x <= r.t), default=-1)
+        want = None if at in (-1, 49) else (99 if lows[at] == 4.0 else at)
+        assert r.part == want and (want is None or r.margin == min(r.t - lows[at], lows[at + 1] - r.t))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    for n in (0, 1):
+        assert {(r.part, r.margin) for r in J.partition_join(events, bounds.limit(n), "t", "lo", "part").collect()} == {(None, None)}
