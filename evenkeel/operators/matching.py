@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.operators.ordered import number_rows, running_sum
 from evenkeel.plans.expansion import surrogate_ids
-from evenkeel.session import materialize
+from evenkeel.session import discard, materialize
 
 LEVELS = (("SAME_TIC_SAME_SECTOR", ("tic", "sector")), ("SAME_TIC_ANY_SECTOR", ("tic",)),
           ("SAME_SECTOR", ("sector",)), ("GLOBAL_ALLOWED_SECTOR_POOL", ()))
@@ -37,20 +37,22 @@ def _groups(levels: Sequence[tuple[str, Sequence[str]]]) -> Column:
 
 def _places(refs: DataFrame, pool: DataFrame, levels) -> tuple[DataFrame, DataFrame]:
     """Candidate positions per (level, group), and where each reference stands in them."""
-    g = pool.select("cand", "value", "second", F.explode(_groups(levels)).alias("_g")).select("cand", "value", "second", "_g.*")
+    g = pool.select("cand", "value", "second", "tie", F.explode(_groups(levels)).alias("_g")).select("cand", "value", "second", "tie", "_g.*")
     g = number_rows(g, ["lv", "grp"], [F.col("value"), F.col("cand")], "up")
-    g = materialize(number_rows(g, ["lv", "grp"], [F.col("value").desc(), F.col("cand")], "down"))
+    g = ranked = materialize(number_rows(g, ["lv", "grp"], [F.col("value").desc(), F.col("cand")], "down"))
     sides = F.explode(F.array(F.struct(F.lit("R").alias("side"), F.col("up").alias("pos")),
                               F.struct(F.lit("L").alias("side"), F.col("down").alias("pos"))))
-    table = materialize(g.select("lv", "grp", "cand", "value", "second", sides.alias("_s")).select(
-        "lv", "grp", "_s.*", "cand", F.col("value").alias("cvalue"), F.col("second").alias("csecond")))
+    table = materialize(g.select("lv", "grp", "cand", "value", "second", "tie", sides.alias("_s")).select(
+        "lv", "grp", "_s.*", "cand", F.col("value").alias("cvalue"), F.col("second").alias("csecond"), "tie"))
     r = refs.select("ref", "value", F.explode(_groups(levels)).alias("_g")).select("ref", "value", "_g.*")
     both = r.select("lv", "grp", "value", F.lit(0).alias("n"), "ref").unionByName(
         g.select("lv", "grp", "value", F.lit(1).alias("n"), F.col("cand").alias("ref")))
     below = running_sum(both, ["lv", "grp"], [F.col("value"), F.col("n"), F.col("ref")], {"below": F.col("n")}).where("n = 0")
     size = g.groupBy("lv", "grp").agg(F.count(F.lit(1)).alias("size"))
     spots = below.join(size, ["lv", "grp"]).select("ref", "lv", "grp", "below", "size")
-    return table, materialize(spots)
+    spots = materialize(spots)
+    discard(ranked)
+    return table, spots
 
 
 def _seek(active: DataFrame, spots: DataFrame, table: DataFrame, held: DataFrame, exact_ties: bool) -> DataFrame:
@@ -71,7 +73,7 @@ def _seek(active: DataFrame, spots: DataFrame, table: DataFrame, held: DataFrame
     on = lambda s: F.col("side") == s
     aggs = []
     for s in ("R", "L"):
-        aggs += [F.min(F.when(on(s) & F.col("ok"), F.struct("d", "d2", "cand", "cvalue"))).alias(f"best_{s}"),
+        aggs += [F.min(F.when(on(s) & F.col("ok"), F.struct("d", "d2", "tie", "cand", "cvalue"))).alias(f"best_{s}"),
                  F.min(F.when(on(s) & F.col("ok"), F.col("o"))).alias(f"first_{s}"),
                  F.max(F.when(on(s), F.col("d"))).alias(f"edge_{s}"), F.max(F.when(on(s), F.col("o"))).alias(f"last_{s}")]
     found = seen.groupBy("ref").agg(*aggs)
@@ -118,48 +120,63 @@ def _head_start(refs: DataFrame, pool: DataFrame, levels, second: bool) -> DataF
         "_skip", F.least(F.col("_nth") - 1, F.coalesce("_same", F.lit(0).cast("bigint"))))
 
 
+STATE = ("ref", "value", "second", "lv", "k", "off_R", "off_L")
+SEEK, PAIR, LOST = "SEEK", "PAIR", "LOST"
+
+
 def match_without_replacement(refs: DataFrame, pool: DataFrame, levels=LEVELS, audit: bool = True,
-                              second: bool = False) -> DataFrame:
+                              second: bool = False, tie: Sequence[str] = ()) -> DataFrame:
     """Pairs ``(ref, cand, level, difference, ...)``, one row per reference, unmatched ones included.
 
     ``refs(ref, value, level columns)``, ``pool(cand, value, level columns)``; ``ref`` and ``cand``
     are keys in choosing order. With ``second`` both carry a second value whose distance breaks ties
-    of the first. ``audit`` adds how many candidates and ties were open at the reference's turn.
+    of the first; ``tie`` names columns of the pool whose order breaks ties of both, before the key. ``audit`` adds how many
+    candidates and ties were open at the reference's turn.
+
+    A round writes only references that still seek or whose pair may still be broken. A pair whose reference comes before
+    all that still seek is settled: it stays where it was written last and is only read from then on. All copies are deleted at the end.
     """
     if not second:
         refs, pool = (x.withColumn("second", F.lit(None).cast("double")) for x in (refs, pool))
+    pool = pool.withColumn("tie", F.struct(*tie) if tie else F.struct(F.lit(0).alias("none")))
     refs, pool = materialize(refs), materialize(pool)
     table, spots = _places(refs, pool, levels)
     zero = F.lit(0).cast("bigint")
-    none = lambda t: F.lit(None).cast(t)
-    state = materialize(_head_start(refs, pool, levels, second).select(
-        "ref", "value", "second", F.lit(0).alias("lv"), F.lit(FIRST_WINDOW).alias("k"), F.col("_skip").alias("off_R"), zero.alias("off_L"),
-        none(dict(pool.dtypes)["cand"]).alias("cand"), none("double").alias("d"), none("double").alias("cvalue"),
-        none("double").alias("mirror")))
-    while True:
-        active = state.where((F.col("cand").isNull()) & (F.col("lv") < len(levels)))
-        if not active.limit(1).count():
-            break
-        held = state.where("cand is not null").select("cand", F.col("ref").alias("holder"))
-        sought = materialize(_seek(active.drop("cand", "d", "cvalue", "mirror"), spots, table, held, second))
+    kinds = {"cand": dict(pool.dtypes)["cand"], "d": "double", "cvalue": "double", "mirror": "double"}
+    unpaired = lambda df, what: df.select(*STATE, *[F.lit(None).cast(k).alias(c) for c, k in kinds.items()], F.lit(what).alias("what"))
+    step = materialize(unpaired(_head_start(refs, pool, levels, second or bool(tie)).select(
+        "ref", "value", "second", F.lit(0).alias("lv"), F.lit(FIRST_WINDOW).alias("k"), F.col("_skip").alias("off_R"), zero.alias("off_L")), SEEK))
+    steps, settled = [step], []
+    while (first := step.where(F.col("what") == SEEK).agg(F.min("ref")).first()[0]) is not None:
+        final = F.col("ref") < F.lit(first)
+        settled.append(step.where((F.col("what") == LOST) | ((F.col("what") == PAIR) & final)))
+        active, held = step.where(F.col("what") == SEEK).select(*STATE), step.where((F.col("what") == PAIR) & ~final).drop("what")
+        taken = held.select("cand", "ref")
+        for part in settled:
+            taken = taken.unionByName(part.where("cand is not null").select("cand", "ref"))
+        sought = materialize(_seek(active, spots, table, taken.withColumnRenamed("ref", "holder"), second or bool(tie)))
         winners = sought.where("wish is not null").groupBy(F.col("wish").alias("cand")).agg(F.min("ref").alias("ref"))
-        won = winners.withColumn("_won", F.lit(True))
-        gained = sought.join(won.select("ref", "_won"), "ref", "left")
-        keep = lambda c: F.when(F.col("_won"), F.col(c))
-        gained = gained.select("ref", "value", "second", "lv", "k", "off_R", "off_L", keep("wish").alias("cand"), keep("d").alias("d"),
-                               keep("cvalue").alias("cvalue"), keep("mirror").alias("mirror"))
-        rest = state.join(sought.select("ref"), "ref", "left_anti").select(state.columns)
-        lost = winners.select("cand", F.lit(True).alias("_lost"))
-        rest = rest.join(lost, "cand", "left")
-        drop = lambda c: F.when(F.col("_lost"), None).otherwise(F.col(c)).alias(c)
-        rest = rest.select("ref", "value", "second", "lv", "k", "off_R", "off_L", drop("cand"), drop("d"), drop("cvalue"), drop("mirror"))
-        state = materialize(gained.unionByName(rest))
+        after = sought.join(winners.select("ref", F.lit(True).alias("_won")), "ref", "left")
+        won = after.where("_won").select(*STATE, F.col("wish").alias("cand"), "d", "cvalue", "mirror", F.lit(PAIR).alias("what"))
+        on = unpaired(after.where("_won is null"), SEEK).withColumn("what", F.when(F.col("lv") < len(levels), SEEK).otherwise(LOST))
+        beaten = held.join(winners.select("cand", F.lit(True).alias("_lost")), "cand", "left")
+        stays = beaten.where("_lost is null").select(*STATE, *kinds, F.lit(PAIR).alias("what"))
+        step = materialize(won.unionByName(on).unionByName(stays).unionByName(unpaired(beaten.where("_lost"), SEEK)))
+        steps.append(step)
+        discard(sought)
+    state = step.drop("what")
+    for part in settled:
+        state = state.unionByName(part.drop("what"))
     name = F.element_at(F.array(*[F.lit(n) for n, _ in levels]), F.col("lv") + 1)
     hit = F.col("cand").isNotNull()
     out = state.select("ref", "cand", F.when(hit, name).otherwise("UNMATCHED").alias("level"), "value", F.col("cvalue").alias("cand_value"),
                        F.col("d").alias("difference"),
                        F.when(hit, "MATCHED_WITHOUT_REPLACEMENT").otherwise("UNMATCHED_REFERENCE").alias("status"))
-    return _audit(out, state, spots, table, levels) if audit else out
+    if audit:
+        out = _audit(out, state, spots, table, levels)
+    done = materialize(out)
+    discard(refs, pool, table, spots, *steps)
+    return done
 
 
 def _earlier(questions: DataFrame, taken: DataFrame, by: Sequence[str], name: str) -> DataFrame:

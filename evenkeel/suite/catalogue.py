@@ -219,27 +219,59 @@ def cohort(t):
     return pick(True, "ref"), pick(False, "cand")
 
 
-# No SQL twin: a sequential choice over the whole table; a brute-force loop checks it in the tests.
-@query("matched_cohort", "C8", None)
+def _choice_sql(rows: str, level: str, order: str) -> str:
+    """References choose one after the other: a recursion that looks up all earlier choices."""
+    return f"""WITH RECURSIVE rows_ AS MATERIALIZED ({rows}),
+refs AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY k) AS i FROM rows_ WHERE chosen),
+pool AS MATERIALIZED (SELECT * FROM rows_ WHERE NOT chosen),
+m(i, cand, lv, d, candidates, ties) USING KEY (i) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, NULL::INTEGER, NULL::DOUBLE, 0::BIGINT, 0::BIGINT
+  UNION
+  SELECT i, arg_min(cand, rank), min(lv), arg_min(d, rank), count(*) FILTER (WHERE lv = least_lv), count(*) FILTER (WHERE lv = least_lv AND d = least_d) FROM (
+    SELECT *, min(lv) OVER (PARTITION BY i) AS least_lv, first(d) OVER (PARTITION BY i ORDER BY lv, d) AS least_d, {order} AS rank FROM (
+      SELECT r.i, p.k AS cand, {level} AS lv, abs(p.value - r.value) AS d, abs(p.second - r.second) AS d2, p.tic, p.sector
+      FROM (SELECT refs.* FROM refs JOIN (SELECT max(i) AS last FROM m) ON refs.i = last + 1) r
+      LEFT JOIN (SELECT * FROM pool WHERE NOT EXISTS (FROM recurring.m u WHERE u.cand = pool.k)) p ON true)) GROUP BY i),
+chosen AS (SELECT 'O' || lpad(r.k::VARCHAR, 10, '0') AS ref, 'O' || lpad(cand::VARCHAR, 10, '0') AS cand, lv, d, candidates, ties, i FROM m JOIN refs r USING (i))"""
+
+
+COHORT_SQL = _choice_sql(
+    "SELECT o_orderkey AS k, ln(o_totalprice) AS value, 0 AS second, o_custkey AS tic, year(o_orderdate) AS sector, o_orderpriority = '1-URGENT' AS chosen FROM orders",
+    "CASE WHEN p.tic = r.tic AND p.sector = r.sector THEN 1 WHEN p.tic = r.tic THEN 2 WHEN p.sector = r.sector THEN 3 WHEN p.k IS NOT NULL THEN 4 END", "(lv, d, cand)")
+LEVEL_SQL = "CASE lv " + " ".join(f"WHEN {i} THEN '{name}'" for i, (name, _) in enumerate(M.LEVELS, 1)) + " ELSE 'UNMATCHED' END"
+
+
+@query("matched_cohort", "C8", f"""{COHORT_SQL}
+SELECT ref, cand, {LEVEL_SQL} AS level, round(d, 9) AS difference, candidates, CASE WHEN cand IS NULL THEN 0 ELSE ties END AS ties,
+  CASE WHEN cand IS NULL THEN 'UNMATCHED_REFERENCE' ELSE 'MATCHED_WITHOUT_REPLACEMENT' END AS status FROM chosen""")
 def _(t):
     refs, pool = cohort(t)
     out = M.match_without_replacement(refs, pool)
     return rounded(out.select("ref", "cand", "level", "difference", "candidates", "ties", "status"), "difference", digits=9)
 
 
-@query("cohort_manifest", "C9", None)
+@query("cohort_manifest", "C9", f"""{COHORT_SQL},
+numbered AS (SELECT *, row_number() OVER (ORDER BY ref) AS n, 'P' || lpad(i::VARCHAR, 4, '0') AS pair_id, {LEVEL_SQL} AS level FROM chosen WHERE cand IS NOT NULL)
+SELECT 'E' || lpad((2 * n - 1)::VARCHAR, 6, '0') AS event_id, pair_id, ref AS event_key, 'REFERENCE' AS role, 'E' || lpad((2 * n)::VARCHAR, 6, '0') AS partner_id, level, 'ALL_REFERENCES' AS reason FROM numbered
+UNION ALL SELECT 'E' || lpad((2 * n)::VARCHAR, 6, '0'), pair_id, cand, 'COMPARISON', 'E' || lpad((2 * n - 1)::VARCHAR, 6, '0'), level, 'ONE_TO_ONE_WITHOUT_REPLACEMENT' FROM numbered""")
 def _(t):
     refs, pool = cohort(t)
     return M.pair_manifest(M.match_without_replacement(refs, pool, audit=False))
 
 
-@query("two_key_matching", "C23", None)
+# Closeness in days, then in price, then the smaller customer and order number: candidates of one customer first.
+@query("two_key_matching", "C23", _choice_sql(
+    "SELECT o_orderkey AS k, epoch_us(o_orderdate) // 86400000000 // 7 AS value, round(o_totalprice / 1e4) AS second, o_custkey AS tic, o_orderkey % 5 AS sector, "
+    "o_orderpriority = '1-URGENT' AS chosen FROM orders", "CASE WHEN p.tic = r.tic THEN 1 WHEN p.k IS NOT NULL THEN 2 END", "(lv, d, d2, tic, sector, cand)") + """
+SELECT ref, cand, CASE lv WHEN 1 THEN 'SAME_TIC' WHEN 2 THEN 'GLOBAL' ELSE 'UNMATCHED' END AS level, d AS difference,
+  CASE WHEN cand IS NULL THEN 'UNMATCHED_REFERENCE' ELSE 'MATCHED_WITHOUT_REPLACEMENT' END AS status FROM chosen""")
 def _(t):
     key = F.format_string("O%010d", "o_orderkey")
-    days = (N.epoch_micros(F.col("o_orderdate")) / F.lit(DAY)).cast("double")
-    rows = t.orders.select(key.alias("k"), days.alias("value"), F.col("o_totalprice").alias("second"), F.col("o_custkey").alias("tic"),
-                           (F.col("o_orderpriority") == "1-URGENT").alias("chosen"))
-    pick = lambda flag, name: rows.where(F.col("chosen") == flag).select(F.col("k").alias(name), "value", "second", "tic")
+    weeks = F.expr(f"d0 div {int(DAY)} div 7")
+    rows = t.orders.withColumn("d0", N.epoch_micros(F.col("o_orderdate"))).select(
+        key.alias("k"), weeks.cast("double").alias("value"), F.round(F.col("o_totalprice") / 1e4).alias("second"), F.col("o_custkey").alias("tic"),
+        (F.col("o_orderkey") % 5).alias("start"), (F.col("o_orderpriority") == "1-URGENT").alias("chosen"))
+    pick = lambda flag, name: rows.where(F.col("chosen") == flag).select(F.col("k").alias(name), "value", "second", "tic", "start")
     levels = (("SAME_TIC", ("tic",)), ("GLOBAL", ()))
-    out = M.match_without_replacement(pick(True, "ref"), pick(False, "cand"), levels, audit=False, second=True)
+    out = M.match_without_replacement(pick(True, "ref").drop("start"), pick(False, "cand"), levels, audit=False, second=True, tie=("tic", "start"))
     return out.select("ref", "cand", "level", "difference", "status")

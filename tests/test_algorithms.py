@@ -116,6 +116,25 @@ def test_matching_with_second_distance(spark):
     assert {r.ref: (r.cand, r.level) for r in out.collect()} == {"A1": ("B2", "SAME"), "A2": ("B1", "SAME"), "A3": ("B3", "ANY")}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_matching_with_second_distance_and_start(spark, seed):
+    """Ties of both distances go to the candidate of the smaller target and start, against sequential choice."""
+    rnd = random.Random(seed)
+    make = lambda p, n: [(f"{p}{i:03d}", float(rnd.randint(0, 3)), float(rnd.randint(0, 2)), rnd.randint(0, 3), rnd.randint(0, 9)) for i in range(n)]
+    refs, pool, want, used = make("A", 14), make("B", 20), {}, set()
+    for r in sorted(refs):
+        free = [c for c in pool if c[0] not in used]
+        own = [c for c in free if c[3] == r[3]] or free
+        best = min(own, key=lambda c: (abs(c[1] - r[1]), abs(c[2] - r[2]), c[3], c[4], c[0]), default=None)
+        want[r[0]] = best and best[0]
+        used.add(best and best[0])
+    out = match_without_replacement(
+        spark.createDataFrame(refs, "ref string, value double, second double, tic int, start int").drop("start"),
+        spark.createDataFrame(pool, "cand string, value double, second double, tic int, start int"),
+        (("SAME", ("tic",)), ("ANY", ())), audit=False, second=True, tie=("tic", "start"))
+    assert {r.ref: r.cand for r in out.collect()} == want
+
+
 def test_components_of_a_chain_and_random_edges(spark):
     rnd = random.Random(4)
     nodes = [f"n{i:03d}" for i in range(60)]
