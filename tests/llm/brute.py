@@ -78,26 +78,15 @@ def contamination(text: str | None, items: list[tuple[int, str | None]], size: i
     return len(doc), sorted(hit), sorted(names)
 
 
-def units(text: str, chars: int = 768) -> list[str]:
-    out = []
-    for i, line in enumerate(text.split("\n")):
-        whole = "\n" + line if i else line
-        out += [whole] if len(line) < chars else [whole[k:k + chars] for k in range(0, len(whole), chars)]
-    return out
+def units(text: str) -> list[str]:
+    """Lines; each but the first brings its line feed."""
+    return [("\n" if i else "") + line for i, line in enumerate(text.split("\n"))]
 
 
 def line_words(unit: str) -> list[str]:
     return [w for w in re.split(r"[\s!-/:-@\[-`{-~]+", unit.lower(), flags=re.ASCII) if w]
 
 
-def line_print(words: list[str]) -> int:
-    words = list(dict.fromkeys(w for w in words if len(w) >= 5)) or words
-    h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
-    least = min(h, key=lambda x: x - (1 << 64) if x >> 63 else x)
-    ones = [sum(x >> b & 1 for x in h) for b in range(60)]
-    return sum(1 << b for b in range(60) if 2 * ones[b] > len(h) or 2 * ones[b] == len(h) and least >> b & 1)
-
-
 def edit_distance(a, b) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -108,22 +97,36 @@ def edit_distance(a, b) -> int:
     return row[-1]
 
 
+def edits(a: str, b: str) -> int:
+    """The same distance for long texts: one column of the table in the bits of two whole numbers."""
+    if not a:
+        return len(b)
+    where, full, top = defaultdict(int), (1 << len(a)) - 1, 1 << (len(a) - 1)
+    for i, c in enumerate(a):
+        where[c] |= 1 << i
+    up, down, score = full, 0, len(a)
+    for c in b:
+        hit = where.get(c, 0) | down
+        diagonal = ((((hit & up) + up) ^ up) | hit) & full
+        right_up, right_down = (down | ~(diagonal | up)) & full, up & diagonal
+        score += bool(right_up & top) - bool(right_down & top)
+        right_up, right_down = ((right_up << 1) | 1) & full, (right_down << 1) & full
+        up, down = (right_down | ~(diagonal | right_up)) & full, right_up & diagonal
+    return score
+
+
 def line_dedup(docs: list[tuple[int, str | None]], similarity: float = 0.8) -> dict[int, tuple[str | None, int, int]]:
+    """Every pair of whole normalised lines is compared in characters, without any condition on keys."""
     at = [(i, pos, " ".join(w)) for i, t in docs if t is not None for pos, u in enumerate(units(t)) if (w := line_words(u))]
-    prints = {line: line_print(line.split(" ")) for line in {x for _, _, x in at}}
     g = Groups()
-    for a, b in combinations(sorted(prints), 2):
-        v, w = a.split(" "), b.split(" ")
-        longer = max(len(v), len(w))
-        if (prints[a] ^ prints[b]).bit_count() <= 3 and min(len(v), len(w)) >= similarity * longer:
-            if edit_distance(v, w) <= int((1 - similarity) * longer + 1e-9):
-                g.join(a, b)
-    first: dict[str, tuple] = {}
-    for i, pos, line in sorted(at):
-        first.setdefault(g.find(line), (i, pos))
-    gone = defaultdict(set)
-    for i, pos, line in at:
-        if first[g.find(line)] != (i, pos):
+    for a, b in combinations(sorted({x for _, _, x in at}), 2):
+        allowed = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+        # letters that only one line has cost an edit at least
+        if abs(len(a) - len(b)) <= allowed and sum(max(0, a.count(c) - b.count(c)) for c in set(a)) <= allowed and edits(a, b) <= allowed:
+            g.join(a, b)
+    first, gone = {}, defaultdict(set)
+    for i, pos, x in sorted(at):
+        if first.setdefault(g.find(x), (i, pos)) != (i, pos):
             gone[i].add(pos)
     out = {}
     for i, t in docs:
