@@ -152,10 +152,10 @@ WITH {PLAN_SQL} SELECT CAST(count(*) FILTER (WHERE decision % 4 = 0) AS BIGINT)
 def _(t):
     p = plan(t)
     path = f"{shared_dir(t.spark)}/results-{uuid.uuid4().hex}"
-    done(p).write.parquet(path)
+    append_results(p, done(p), path)
     fresh = p.where(F.col("decision") % 2 == 0).select("job_id", F.lit(1.0).alias("score"))
     fresh = fresh.unionByName(fresh).unionByName(t.spark.createDataFrame([("unplanned", 2.0)], "job_id string, score double"))
-    counts = append_results(p, t.spark.read.parquet(path), fresh, path)
+    counts = append_results(p, fresh, path)
     return t.spark.createDataFrame([tuple(counts.values())], ", ".join(f"{k} bigint" for k in counts))
 
 
