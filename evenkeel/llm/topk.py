@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 from evenkeel.session import materialize
 
 MARGIN = 1e-9
+#: How often the pivots of a page are moved to the middle of their part.
+ROUNDS = 2
 
 
 @dataclass(frozen=True)
 class Settings:
     k: int = 5
-    page: int = 1_024
-    fan_out: int = 16
+    page: int = 64
+    fan_out: int = 32
     tree_rows: int = 16_384
     query_rows: int = 2_048
 
@@ -62,13 +64,17 @@ def exact_products(rows: np.ndarray, query: np.ndarray, exact: bool) -> np.ndarr
 
 @dataclass
 class Page:
-    """``far``: distance of each entry to the page's pivot. Inner pages have pivots, radii and pages below; leaves have rows."""
+    """``far``: distance of each entry to the page's pivot. Inner pages have pivots, radii and pages below; leaves have rows.
+
+    An inner page above leaves has ``flat``: all their rows, the rows' distances, and the leaf of each.
+    """
 
     far: np.ndarray
     rows: np.ndarray | None = None
     pivots: np.ndarray | None = None
     radii: np.ndarray | None = None
     below: list[Page] | None = None
+    flat: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
 
 class MTree:
@@ -79,6 +85,7 @@ class MTree:
         self.high = float(np.abs(rows).max(initial=0.0))
         self.points = np.column_stack([rows, np.sqrt(np.maximum(0.0, self.top - norms))])
         self.pivot = self.points[0]
+        self.computed = 0  # distances and products of all searches
         self.root = self._page(np.arange(len(ids)), self.pivot)
 
     def _far(self, at: np.ndarray, pivot: np.ndarray) -> np.ndarray:
@@ -89,8 +96,13 @@ class MTree:
         if len(at) <= self.s.page:
             return Page(self._far(at, pivot), rows=at)
         n = min(self.s.fan_out, -(-len(at) // self.s.page))
-        pivots = self.points[at[np.linspace(0, len(at) - 1, n).astype(int)]]
-        nearest = np.argmax(self.points[at] @ pivots.T, axis=1)  # equally long, so the highest product is the nearest
+        own = self.points[at]
+        pivots = own[np.linspace(0, len(at) - 1, n).astype(int)]
+        for _ in range(ROUNDS):  # from the middle of each part, so that covering radii get small
+            nearest = np.argmax(own @ pivots.T, axis=1)  # equally long, so the highest product is the nearest
+            sums = np.stack([own[nearest == i].sum(axis=0) if (nearest == i).any() else pivots[i] for i in range(n)])
+            pivots = own[np.argmax(own @ sums.T, axis=0)]
+        nearest = np.argmax(own @ pivots.T, axis=1)
         if np.bincount(nearest, minlength=n).max() > 0.9 * len(at):  # equal or nearly equal vectors: any even parts will do
             nearest = np.arange(len(at)) * n // len(at)
         parts = [at[nearest == i] for i in range(n)]
@@ -98,7 +110,11 @@ class MTree:
         below = [self._page(parts[i], pivots[i]) for i in kept]
         radii = np.asarray([self._far(parts[i], pivots[i]).max() for i in kept])
         d = pivots[kept] - pivot
-        return Page(np.sqrt((d * d).sum(axis=1)), pivots=pivots[kept], radii=radii, below=below)
+        page = Page(np.sqrt((d * d).sum(axis=1)), pivots=pivots[kept], radii=radii, below=below)
+        leaves = [(i, p) for i, p in enumerate(below) if p.rows is not None]
+        if len(leaves) > 1:
+            page.flat = (np.concatenate([p.rows for _, p in leaves]), np.concatenate([p.far for _, p in leaves]), np.repeat([i for i, _ in leaves], [len(p.rows) for _, p in leaves]))
+        return page
 
     def search(self, own: int, query: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the best ``k`` rows of another id that score at least ``least``; ties to smaller ids."""
@@ -114,6 +130,19 @@ class MTree:
             return (total - gap * gap) / 2 + MARGIN * (1.0 + total)
 
         ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def take(near):
+            nonlocal ids, scores, least
+            near = near[self.ids[near] != own]
+            got = exact_products(self.rows[near], query, exact)
+            self.computed += len(near)
+            good = got >= least
+            ids, scores = np.append(ids, self.ids[near[good]]), np.append(scores, got[good])
+            order = np.lexsort((ids, -scores))[:k]
+            ids, scores = ids[order], scores[order]
+            if len(scores) == k:
+                least = max(least, float(scores[-1]))
+
         first = self.pivot - wide
         heap, tie = [(-np.inf, 0, float(np.sqrt(first @ first)), self.root)], 0
         while heap:
@@ -121,21 +150,21 @@ class MTree:
             if -best < least:
                 break
             if page.rows is not None:
-                near = page.rows[bound(np.abs(gap - page.far)) >= least]
-                near = near[self.ids[near] != own]
-                got = exact_products(self.rows[near], query, exact)
-                good = got >= least
-                ids, scores = np.append(ids, self.ids[near[good]]), np.append(scores, got[good])
-                order = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[order], scores[order]
-                if len(scores) == k:
-                    least = max(least, float(scores[-1]))
+                take(page.rows[bound(np.abs(gap - page.far)) >= least])
                 continue
             at = np.flatnonzero(bound(np.abs(gap - page.far) - page.radii) >= least)
             d = page.pivots[at] - wide
             far = np.sqrt((d * d).sum(axis=1))
-            for i, f, b in zip(at, far, bound(far - page.radii[at]), strict=True):
-                if b >= least:
+            self.computed += len(at)
+            tops = bound(far - page.radii[at])
+            together = page.flat is not None and 2 * (tops >= least).sum() >= len(page.below)
+            if together:  # most pages are open: all rows of the leaves in one product, each by its own stored distance
+                rows, stored, leaf = page.flat
+                gaps = np.full(len(page.below), np.inf)
+                gaps[at[tops >= least]] = far[tops >= least]
+                take(rows[bound(np.abs(gaps[leaf] - stored)) >= least])
+            for i, f, b in zip(at, far, tops, strict=True):
+                if b >= least and not (together and page.below[i].rows is not None):
                     tie += 1
                     heapq.heappush(heap, (-float(b), tie, float(f), page.below[i]))
         return ids, scores

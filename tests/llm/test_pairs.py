@@ -189,3 +189,18 @@ def test_url_classifier_on_new_hosts(spark):
     df = spark.createDataFrame([(u,) for u in bad + good], "url string")
     got = {r.url: r.verdict for r in urls.judge(df, model, ()).collect()}
     assert {got[u] for u in bad} == {"block"} and {got[u] for u in good} == {"allow"}
+
+
+def test_bounds_of_the_tree_save_distances():
+    """On clustered vectors a search computes a small share of all distances, and finds what a scan finds."""
+    rnd = np.random.default_rng(2)
+    centres = rnd.normal(size=(30, 16))
+    rows = np.floor(256 * (centres[rnd.integers(0, 30, 6_000)] + 0.1 * rnd.normal(size=(6_000, 16))))
+    tree, searches = topk.MTree(np.arange(6_000), rows, topk.Settings()), range(0, 6_000, 200)
+    for i in searches:
+        ids, scores = tree.search(i, rows[i], -np.inf)
+        products = (rows @ rows[i]).astype(int)
+        products[i] = -(1 << 60)
+        want = np.lexsort((np.arange(6_000), -products))[:5]
+        assert ids.tolist() == want.tolist() and scores.tolist() == products[want].tolist()
+    assert tree.computed < 0.15 * len(searches) * 6_000
