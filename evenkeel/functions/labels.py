@@ -17,6 +17,7 @@ CONCORDANT = "REFERENCE_CONCORDANT"
 MISMATCH = "REFERENCE_BASELINE_MISMATCH"
 TRANSITIONS = ("SELECTED_RETAINED", "SELECTION_LOST", "NOT_SELECTED_RETAINED", "SELECTION_GAINED")
 GATES = (CONCORDANT, MISMATCH, INADMISSIBLE, INCOMPLETE)
+FAILURE_CLASSES = ("BOTH_THRESHOLDS_PASSED", "M0_COMPARISON_ONLY_PASSED", "M2_COMPARISON_ONLY_PASSED", "BOTH_COMPARISONS_FAILED")
 
 
 def selected(d01: Column, d21: Column, t01: float | Column = THRESHOLD, t21: float | Column = THRESHOLD,
@@ -49,10 +50,8 @@ def likelihood_gain(l1: Column, l_other: Column, delta: Column) -> dict[str, Col
 def failure_class(d01: Column, d21: Column, threshold: float = THRESHOLD) -> Column:
     a, b = d01 > threshold, d21 > threshold
     return (F.when(~(is_finite(d01) & is_finite(d21)), F.lit(None).cast("string"))
-            .when(a & b, "BOTH_THRESHOLDS_PASSED")
-            .when(a, "M0_COMPARISON_ONLY_PASSED")
-            .when(b, "M2_COMPARISON_ONLY_PASSED")
-            .otherwise("BOTH_COMPARISONS_FAILED"))
+            .when(a & b, FAILURE_CLASSES[0]).when(a, FAILURE_CLASSES[1]).when(b, FAILURE_CLASSES[2])
+            .otherwise(FAILURE_CLASSES[3]))
 
 
 def winner(scores: Mapping[str, Column], tol: float = TOLERANCE, tie: str = "TIE") -> Column:

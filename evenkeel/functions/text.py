@@ -14,6 +14,15 @@ ARXIV_DOI = "10.48550/arxiv."
 DOI_PREFIX = r"^\s*(https?://(dx\.)?doi\.org/|doi:\s*)"
 ARXIV_PREFIX = r"(?i)^(https?://arxiv\.org/(abs|pdf)/|arxiv:\s*)"
 
+# Names of version types, and the words and document types that tell them.
+JOURNAL, PREPRINT, CONFERENCE, OTHER = "JOURNAL_ARTICLE", "ARXIV_PREPRINT", "CONFERENCE_ABSTRACT", "OTHER"
+CONFERENCE_WORDS = ("meeting abstracts", "general assembly", "bulletin of the american astronomical society",
+                    "conference", "symposium", "annual meeting")
+CONFERENCE_TYPES = ("inproceedings", "abstract")
+OTHER_TYPES, OTHER_WORD = ("proposal", "software"), "nsf award"
+DATA_WORD, DATA_CODE, DATA_TYPE = "vizier", "ycat", "dataset"
+JOURNAL_FLAGS = ("REFEREED", "ARTICLE")
+
 
 @F.pandas_udf(T.StringType())
 def strip_accents(s: pd.Series) -> pd.Series:
@@ -73,7 +82,9 @@ def arxiv_month(x: Column) -> Column:
 
 def title(x: Column) -> Column:
     """Accent-free, lower case, runs of anything but letters and digits become one space."""
-    s = F.lower(strip_accents(F.coalesce(x, F.lit(""))))
+    x = F.coalesce(x, F.lit(""))
+    plain = F.octet_length(x) == F.length(x)  # ASCII only: nothing to strip, and nothing for the Python worker to do
+    s = F.lower(F.coalesce(F.when(plain, x), strip_accents(F.when(~plain, x))))
     return F.trim(F.regexp_replace(s, r"[^a-z0-9]+", " "))
 
 
@@ -113,17 +124,13 @@ def version_type(source: Column, pub: Column, doctype: Column, props: Column, bi
     has = lambda c, *words: F.coalesce(
         F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(c, w)), F.lit(False))
     flags = F.transform(F.coalesce(props, F.array().cast("array<string>")), F.upper)
-    return (F.when(source == "ARXIV", "ARXIV_PREPRINT")
-            .when(has(p, "arxiv") | has(b, "arxiv"), "ARXIV_PREPRINT")
-            .when(has(p, "vizier") | has(b, "ycat") | (d == "dataset"), "OTHER")
-            .when(d.isin("inproceedings", "abstract")
-                  | has(p, "meeting abstracts", "general assembly",
-                        "bulletin of the american astronomical society",
-                        "conference", "symposium", "annual meeting"), "CONFERENCE_ABSTRACT")
-            .when(d.isin("proposal", "software") | has(p, "nsf award"), "OTHER")
-            .when(F.arrays_overlap(flags, F.array(F.lit("REFEREED"), F.lit("ARTICLE")))
-                  | (F.size(journal_dois) > 0), "JOURNAL_ARTICLE")
-            .otherwise("OTHER"))
+    return (F.when(source == "ARXIV", PREPRINT)
+            .when(has(p, "arxiv") | has(b, "arxiv"), PREPRINT)
+            .when(has(p, DATA_WORD) | has(b, DATA_CODE) | (d == DATA_TYPE), OTHER)
+            .when(d.isin(*CONFERENCE_TYPES) | has(p, *CONFERENCE_WORDS), CONFERENCE)
+            .when(d.isin(*OTHER_TYPES) | has(p, OTHER_WORD), OTHER)
+            .when(F.arrays_overlap(flags, F.array(*[F.lit(f) for f in JOURNAL_FLAGS])) | (F.size(journal_dois) > 0), JOURNAL)
+            .otherwise(OTHER))
 
 
 def peer_status(vtype: Column, refereed: Column) -> Column:

@@ -47,7 +47,9 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return _LOCAL_DIR.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="evenkeel-"))
+    if sc.applicationId not in _LOCAL_DIR:
+        _LOCAL_DIR[sc.applicationId] = tempfile.mkdtemp(prefix="evenkeel-")
+    return _LOCAL_DIR[sc.applicationId]
 
 
 def materialize(df: DataFrame) -> DataFrame:
