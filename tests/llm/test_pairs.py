@@ -182,7 +182,7 @@ def test_url_rules(spark):
     assert urls.judge(df.limit(0), model, queries.URL_RULES).count() == 0
 
 
-def test_url_classifier_on_new_hosts(spark):
+def test_url_classifier_on_new_urls_of_known_names(spark):
     model = urls.fit(urls.default_labels(spark))
     bad = [f"https://{h}.example.org/en/{n}" for n in (3, 5_000) for h in ("casino-win", "free-bets", "cheap-pills", "adult-x", "spam-farm", "ads-track")]
     good = [f"http://{h}.example.org/de/{n}.html" for n in (8, 7_001) for h in ("therst", "www.ththon", "blog.library", "m.garden")]
@@ -204,3 +204,18 @@ def test_bounds_of_the_tree_save_distances():
         want = np.lexsort((np.arange(6_000), -products))[:5]
         assert ids.tolist() == want.tolist() and scores.tolist() == products[want].tolist()
     assert tree.computed < 0.15 * len(searches) * 6_000
+
+
+def test_url_classifier_on_held_out_host_names(spark):
+    """Whole host names are held out in turn; what is learned from the others still tells most of them (68 %; 55 % by the larger class)."""
+    name = lambda u: u.split("//")[1].split("/")[0].removeprefix("www.").removeprefix("m.").removeprefix("blog.").split(".")[0]
+    names = sorted({name(u) for u, _ in urls.LABELLED})
+    right = total = 0
+    for fold in range(4):
+        out = {n for k, n in enumerate(names) if k % 4 == fold}
+        model = urls.fit(spark.createDataFrame([r for r in urls.LABELLED if name(r[0]) not in out], "url string, label int"))
+        test = [r for r in urls.LABELLED if name(r[0]) in out]
+        got = {r.url: r.verdict for r in urls.judge(spark.createDataFrame([(u,) for u, _ in test], "url string"), model, ()).collect()}
+        right += sum((got[u] == "block") == bool(y) for u, y in test)
+        total += len(test)
+    assert total == len(urls.LABELLED) and right / total >= 0.65

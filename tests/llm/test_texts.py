@@ -182,3 +182,50 @@ def test_near_dedup_recall_of_planted_copies():
             found.append((simhash.fingerprint(" ".join(w)) ^ simhash.fingerprint(" ".join(v))).bit_count() <= simhash.MAX_BITS)
     assert sum(near[1]) >= 0.6 * 60
     assert sum(near[6]) < sum(near[1])
+
+
+def test_learner_equals_a_plain_loop(spark):
+    """Follow-the-regularised-leader, row by row in hash order, with plain numbers and dictionaries."""
+    import math
+    from collections import Counter
+    docs = [(i, t) for i, t in pairs() if t is not None][:30]
+    docs += docs[:2]  # repeated rows are learned from once more
+    labels = [(i, i % 2) for i, _ in docs[:30]] + [(4, 1), (None, 1), (900, 1), (3, None)]
+    s = quality.Settings(bits=10, l1=0.02)
+    model = quality.fit(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int"), s)
+    order = [r.id for r in spark.createDataFrame([(i,) for i, _ in docs[:30]], "id bigint").orderBy(F.xxhash64("id"), "id").collect()]
+    features, z, n = quality.Features(s.bits), Counter(), Counter()
+
+    def weight(j):
+        free = max(0.0, abs(z[j]) - s.l1)
+        return -math.copysign(free, z[j]) / ((s.beta + math.sqrt(n[j])) / s.alpha + s.l2)
+
+    for i in order:
+        for text in (t for k, t in sorted(docs) if k == i):
+            idx = features(text).tolist()
+            x = {j: c * s.scale / max(1, len(idx)) for j, c in Counter(idx).items()} | {"bias": 1.0}
+            w = {j: weight(j) for j in x}
+            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w[j] * v for j, v in x.items())))))
+            for j, v in x.items():
+                g = (p - (0.0 if i == 4 else float(i % 2))) * v
+                z[j] += g - (math.sqrt(n[j] + g * g) - math.sqrt(n[j])) / s.alpha * w[j]
+                n[j] += g * g
+    want = np.asarray([weight(j) for j in range(1 << s.bits)])
+    assert np.allclose(model.array(), want, atol=1e-5) and abs(model.bias - weight("bias")) < 1e-9 and np.abs(want).max() > 0.01
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    """Each of the rows that repeat an id and text has the same result, and columns named like outputs are replaced."""
+    df = documents(spark).where("doc_id < 8")
+    twice = df.unionByName(df).withColumns({"n_tokens": F.lit("clash"), "score": F.lit("clash"), "n_words": F.lit(-1)})
+    counts = tokencount.token_counts(twice, tokencount.sentencepiece_pieces(queries.token_file("piece_bpe_32k.model"))).collect()
+    model = quality.Model(np.linspace(-1, 1, 1 << 10, dtype=np.float32).tobytes(), 0.1, quality.Settings(bits=10))
+    scored = quality.score(twice, model).collect()
+    for rows, column in ((counts, "n_tokens"), (scored, "score")):
+        own = {}
+        for r in rows:
+            own.setdefault(r.doc_id, []).append(r[column])
+        assert len(rows) == 16 and all(len(v) == 2 and v[0] == v[1] and v[0] != "clash" for v in own.values())
+    tokens = lambda docs: {r.doc_id: r.n for r in packing.unpack(packing.packed_matrix(docs, queries.packing_settings())).groupBy("doc_id").agg(
+        F.sum(F.size("ids")).alias("n")).collect()}
+    assert tokens(twice) == {i: 2 * n for i, n in tokens(df).items()}
