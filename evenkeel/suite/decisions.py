@@ -151,8 +151,10 @@ def _(t):
 
 
 def trio_fits(t):
-    """The fits of complete trios, one row per model."""
-    return I.fits(t).join(trios(t).select("series_id", "seed"), ["series_id", "seed"], "left_semi")
+    """Complete trios, and their fits with one row per model; the fits are written once because both read them."""
+    fits = materialize(I.fits(t))
+    whole = D.assemble_trios(fits, ["series_id", "seed"], mode="skip")
+    return whole, fits.join(whole.select("series_id", "seed"), ["series_id", "seed"], "left_semi")
 
 
 PAYLOADS_SQL = ", tf AS MATERIALIZED (SELECT f.* FROM fits f JOIN trios USING (series_id, seed)), payloads AS (SELECT series_id, " + ", ".join(
@@ -178,7 +180,8 @@ FROM (SELECT series_id, CAST(count(*) AS BIGINT) AS n_seeds, CAST(count(*) FILTE
   string_agg(DISTINCT CASE WHEN selected THEN 'SELECTED' ELSE 'NOT_SELECTED' END, '|' ORDER BY CASE WHEN selected THEN 'SELECTED' ELSE 'NOT_SELECTED' END) AS state_set
   FROM trios GROUP BY 1) JOIN payloads USING (series_id)""")
 def _(t):
-    out = S.seed_stability(trios(t), ["series_id"]).join(S.seed_payloads(trio_fits(t), ["series_id"]), "series_id")
+    whole, rows = trio_fits(t)
+    out = S.seed_stability(whole, ["series_id"]).join(S.seed_payloads(rows, ["series_id"]), "series_id")
     return rounded(out, "pair_discordance", "discordant_fraction")
 
 
@@ -193,7 +196,7 @@ SELECT model, CAST(count(*) AS BIGINT) AS calls, CAST(count(*) FILTER (WHERE war
   any_value(s.n) AS n, any_value(min) AS min, any_value(q1) AS q1, any_value(median) AS median, any_value(q3) AS q3, any_value(max) AS max
 FROM tf JOIN s USING (model) GROUP BY model""")
 def _(t):
-    rows = trio_fits(t)
+    _, rows = trio_fits(t)
     return S.seed_diagnostics(S.seed_payloads(rows, ["series_id"]), rows)
 
 

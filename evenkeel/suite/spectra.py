@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.operators import decisions as D
 from evenkeel.operators import spectra as S
+from evenkeel.session import materialize
 from evenkeel.suite import inputs as I
 from evenkeel.suite.decisions import rounded
 from evenkeel.suite.registry import query
@@ -16,8 +17,8 @@ SEGMENT = 30
 
 
 def stretch(t):
-    """Every sample of every series, with its position."""
-    return I.series(t).select("series_id", "idx", F.col("idx").alias("pos"), "t", "y")
+    """Every sample of every series, with its position; written once, because lengths and samples are read apart."""
+    return materialize(I.series(t).select("series_id", "idx", F.col("idx").alias("pos"), "t", "y"))
 
 
 STRETCH_SQL = I.SERIES_SQL + ", st AS (SELECT series_id, idx, t, y FROM series)"
