@@ -215,8 +215,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class: that of the smallest id. Rows without id are not judged and stay; repeated ids leave one row."""
+    """One row of each class: that of the smallest id. Rows without id are not judged and stay.
+
+    Of rows that repeat an id the one of the smallest text stays, then of the smallest row as JSON, whatever the partitions are.
+    """
     named = docs.where(F.col(id_col).isNotNull())
     kept = classes(named, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    one = named.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    whole = F.struct(*docs.columns)
+    first = F.min_by(whole, F.struct(F.col(text_col), F.to_json(whole)))
+    one = named.join(kept, id_col, "left_semi").groupBy(id_col).agg(first.alias("_first")).select("_first.*")
     return one.unionByName(docs.where(F.col(id_col).isNull()))

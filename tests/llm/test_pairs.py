@@ -71,6 +71,15 @@ def test_null_ids_have_no_say_in_classes(spark):
     assert simhash.keep_one(df).count() == 3
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_repeated_ids_leave_a_fixed_row(spark, parts):
+    """Rows of one id with different texts: the smallest text stays, then the smallest row; a null text is the smallest."""
+    rows = [(5, "m n o p q", "x"), (5, "b c d e f", "z"), (5, "b c d e f", "y"), (6, "b c d e f", "w"), (7, None, "v"), (7, "t u v w x", "u")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(parts)
+    got = sorted((r.doc_id, r.text or "", r.lang) for r in simhash.keep_one(df).collect())
+    assert got == [(5, "b c d e f", "y"), (7, "", "v")]
+
+
 def test_line_dedup(spark):
     docs = [*pairs(), (900, "Page one of nine is here today now and there it ends so\nPage two of nine is here today now and there it ends so"),
             (901, "a\n\na\n  \nA!"), (902, " ".join(f"word{k}" for k in range(1_300))), (903, " ".join(f"word{k}" for k in range(1_299)) + " zz"), (906, "a.b" * 3_000 + " c d"),
