@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from evenkeel.functions import labels as L
-from evenkeel.functions.numeric import hash_uniform, is_finite, period_errors, safe_ratio, wilson
+from evenkeel.functions.numeric import hash_index, hash_uniform, is_finite, period_errors, safe_ratio, wilson
 from evenkeel.operators.ordered import grouped, quantiles
 from evenkeel.session import spread
 
@@ -152,6 +152,7 @@ COUNTS = ("TP", "FN", "TN", "FP")
 
 
 CLASSES = tuple(f"{t}{b}{c}" for t in "01" for b in "01" for c in "01")
+DRAW_BLOCK = 256
 
 
 def binomial_quantile(u: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -210,8 +211,7 @@ def paired_bootstrap(df: DataFrame, strata: Sequence[str], reps: int, seed: str,
     counts, so a replicate of a stratum is one multinomial draw: seven binomials, inverted from uniform numbers that are hashes
     of seed, replicate, stratum and class. The units are counted once; nothing else grows with them.
     """
-    flag = lambda x: F.when(F.coalesce(x, F.lit(False)), "1").otherwise("0")
-    kind = F.concat(flag(F.col("truth")), flag(base), flag(candidate))
+    kind = _outcome_class(base, candidate)
     counts = df.groupBy(*strata).agg(*[F.count_if(kind == c).alias(f"c{c}") for c in CLASSES])
     rows = counts.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     text = [F.col(c).cast("string") for c in strata]
@@ -221,6 +221,41 @@ def paired_bootstrap(df: DataFrame, strata: Sequence[str], reps: int, seed: str,
     got = drawn.groupBy("rep").agg(*[
         F.sum(sum((F.col(f"d{k}") for k in CLASSES if _cell(k, rule) == cell), F.lit(0))).alias(f"{name}_{cell}")
         for name, rule in (("base", 1), ("candidate", 2)) for cell in COUNTS])
+    return _differences(got)
+
+
+def paired_unit_bootstrap(df: DataFrame, strata: Sequence[str], reps: int, seed: str, base: Column, candidate: Column) -> DataFrame:
+    """Stratified paired bootstrap of two rules that draws every unit of every replicate by itself.
+
+    A stratum of n units has n draws a replicate, each an index below n hashed from seed, replicate, stratum and draw. Units stand in
+    order of their outcome class, so the class of an index follows from the class counts and a draw needs no join to the units.
+    Draws are multiplied inside tasks and counted map-side; what is shuffled is one row of counters per replicate and task.
+    """
+    kind = _outcome_class(base, candidate)
+    counts = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(kind <= c).alias(f"_e{c}") for c in CLASSES])
+    # A block of draws is a row of its own, so that one large stratum is drawn by many tasks.
+    blocks = counts.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(DRAW_BLOCK).cast("bigint"))))
+    slots = spread(blocks, *strata, "_from").withColumn(
+        "_slot", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (DRAW_BLOCK - 1), F.col("_n") - 1))))
+    draws = slots.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    text = [F.col(c).cast("string") for c in strata]
+    at = hash_index(F.col("_n"), F.lit(seed), F.col("rep").cast("string"), *text, F.col("_slot").cast("string"))
+    label = F.lit(CLASSES[-1])
+    for c in reversed(CLASSES[:-1]):
+        label = F.when(F.col("_i") < F.col(f"_e{c}"), c).otherwise(label)
+    drawn = draws.withColumn("_i", at).select("rep", label.alias("_d"))
+    got = drawn.groupBy("rep").agg(*[F.count_if(F.col("_d") == c).alias(f"d{c}") for c in CLASSES])
+    return _differences(got.select("rep", *[
+        sum((F.col(f"d{k}") for k in CLASSES if _cell(k, rule) == cell), F.lit(0)).cast("bigint").alias(f"{name}_{cell}")
+        for name, rule in (("base", 1), ("candidate", 2)) for cell in COUNTS]))
+
+
+def _outcome_class(base: Column, candidate: Column) -> Column:
+    flag = lambda x: F.when(F.coalesce(x, F.lit(False)), "1").otherwise("0")
+    return F.concat(flag(F.col("truth")), flag(base), flag(candidate))
+
+
+def _differences(got: DataFrame) -> DataFrame:
     sens = lambda n: safe_ratio(F.col(f"{n}_TP"), F.col(f"{n}_TP") + F.col(f"{n}_FN"))
     spec = lambda n: safe_ratio(F.col(f"{n}_TN"), F.col(f"{n}_TN") + F.col(f"{n}_FP"))
     ds, dp = sens("candidate") - sens("base"), spec("candidate") - spec("base")

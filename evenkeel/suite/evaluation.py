@@ -205,11 +205,24 @@ diff AS (SELECT *, candidate_TP / (candidate_TP + candidate_FN)::DOUBLE - base_T
    candidate_TN / (candidate_TN + candidate_FP)::DOUBLE - base_TN / (base_TN + base_FP)::DOUBLE AS dp FROM boot)"""
 
 
+# Every unit of every replicate is drawn by itself.
+UNIT_BOOT_SQL = I.EVALUATION_SQL + f""", u AS (
+  SELECT lang, unit, truth::INT || '' || (selected::INT) || (d01 > 4 AND d21 > 2)::INT AS cls FROM evaluation WHERE eligible),
+n AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY cls, unit) - 1 AS slot, count(*) OVER (PARTITION BY lang) AS n FROM u),
+d AS (SELECT rep, b.cls FROM (SELECT r AS rep, lang, ('0x' || substr(sha256('boot|' || r || '|' || lang || '|' || slot), 1, 13))::BIGINT % n AS i
+        FROM n, range({REPS}) x(r)) a JOIN n b ON a.lang = b.lang AND a.i = b.slot),
+boot AS (SELECT CAST(rep AS INT) AS rep, {", ".join(f"CAST(count(*) FILTER (WHERE cls[1] || cls[{k}] = '{v}') AS BIGINT) AS {n}_{c}" for n, k in (("base", 2), ("candidate", 3)) for c, v in _CELLS.items())}
+  FROM d GROUP BY 1),
+diff AS (SELECT *, candidate_TP / (candidate_TP + candidate_FN)::DOUBLE - base_TP / (base_TP + base_FN)::DOUBLE AS ds,
+   candidate_TN / (candidate_TN + candidate_FP)::DOUBLE - base_TN / (base_TN + base_FP)::DOUBLE AS dp FROM boot)"""
+
+
 @query("paired_bootstrap", "D20", f"""
-WITH {BOOT_SQL} SELECT rep, {", ".join(f"{n}_{c}" for n in ("base", "candidate") for c in _CELLS)},
+WITH {UNIT_BOOT_SQL} SELECT rep, {", ".join(f"{n}_{c}" for n in ("base", "candidate") for c in _CELLS)},
   round(ds, 6) AS d_sensitivity, round(dp, 6) AS d_specificity, round(-dp, 6) AS d_false_positive_rate, round((ds + dp) / 2, 6) AS d_balanced_accuracy FROM diff""")
 def _(t):
-    return rounded(boot(t), *E.DIFFERENCES)
+    drawn = E.paired_unit_bootstrap(_rules(t), ["lang"], REPS, "boot", F.col("selected"), F.col("candidate"))
+    return rounded(drawn, *E.DIFFERENCES)
 
 
 def boot(t):

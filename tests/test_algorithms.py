@@ -1,5 +1,6 @@
 """Custom algorithms against brute force on small random inputs."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.operators import joins as J
 from evenkeel.operators.components import components
-from evenkeel.operators.evaluation import binomial_quantile, paired_bootstrap, promotion_gate
+from evenkeel.operators.evaluation import binomial_quantile, paired_bootstrap, paired_unit_bootstrap, promotion_gate
 from evenkeel.operators.fuzzy import _common, fuzzy_candidates
 from evenkeel.operators.matching import LEVELS, match_without_replacement
 from evenkeel.operators.series import MIN_SAMPLES, detrend
@@ -231,6 +232,24 @@ def test_bootstrap_has_the_distribution_of_direct_draws(spark):
     assert np.abs(np.corrcoef(got.T) - np.corrcoef(want.T)).max() < 0.06
 
 
+def test_unit_bootstrap_draws_every_unit_of_every_replicate(spark):
+    """Counts equal those of drawing the units one by one with the same hashes; strata go beyond one block of draws."""
+    rnd = random.Random(3)
+    rows = [(g, *(rnd.random() < 0.5 for _ in "tab")) for g, n in (("x", 300), ("y", 5)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "g string, truth boolean, a boolean, b boolean")
+    want = []
+    for rep in range(4):
+        drawn = []
+        for g in "xy":
+            own = sorted(r[1:] for r in rows if r[0] == g)
+            drawn += [own[int(hashlib.sha256(f"s|{rep}|{g}|{k}".encode()).hexdigest()[:13], 16) % len(own)] for k in range(len(own))]
+        want.append((rep, *(sum(t == x and d[i] == y for d in drawn for t in d[:1]) for i in (1, 2)
+                            for x, y in ((True, True), (True, False), (False, False), (False, True)))))
+    got = paired_unit_bootstrap(df, ["g"], 4, "s", F.col("a"), F.col("b"))
+    assert sorted(tuple(r)[:9] for r in got.collect()) == want
+    assert paired_unit_bootstrap(df.limit(0), ["g"], 4, "s", F.col("a"), F.col("b")).count() == 0
+
+
 def test_binomial_quantile():
     for n, p in ((1, 0.5), (9, 0.03), (40, 0.7), (5_000, 0.4), (0, 0.3), (6, 0.0), (6, 1.0)):
         mass = [math.comb(n, k) * p**k * (1 - p) ** (n - k) if n < 1_000 else math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p))
