@@ -7,13 +7,14 @@ import random
 from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from evenkeel.operators import joins as J
 from evenkeel.operators.components import components
 from evenkeel.operators.evaluation import binomial_quantile, paired_bootstrap, paired_unit_bootstrap, promotion_gate
-from evenkeel.operators.fuzzy import _common, fuzzy_candidates
+from evenkeel.operators.fuzzy import _common, _common_with, _letter_bits, fuzzy_candidates
 from evenkeel.operators.matching import LEVELS, match_without_replacement
 from evenkeel.operators.series import MIN_SAMPLES, detrend
 from evenkeel.operators.spectra import power_spectrum
@@ -174,6 +175,28 @@ def test_common_subsequence_bound():
     assert _common("abcde", "xaxcxe") == 3 and _common("", "abc") == 0 and _common("aaaa", "aa") == 2
 
 
+def test_common_with_many_equals_one_by_one():
+    """Lengths around whole bytes: no carry may reach the next title."""
+    rnd = random.Random(12)
+    text = lambda n: "".join(rnd.choice("ab c9") for _ in range(n))
+    for _ in range(60):
+        others = ["", "a" * 8, *[text(rnd.choice([0, 1, 7, 8, 9, 15, 16, 17, 60, 200])) for _ in range(rnd.randint(0, 12))], "b" * 16]
+        b = rnd.choice(["", "a" * 20, "z", text(rnd.randint(1, 80))])
+        assert _common_with(b, others, [_letter_bits(x) for x in others]).tolist() == [_common(x, b) for x in others]
+
+
+def test_fuzzy_packs_of_many_passes(spark, monkeypatch):
+    """Titles of one block that need several passes, with an empty one and one that is longer than a pass."""
+    from evenkeel.operators import fuzzy
+    monkeypatch.setattr(fuzzy, "PACK", 40)
+    titles = ["", "flare", "flares", "solar flare", "solar flares", "quasi periodic solar flares of the sun", "quasi periodic solar flare of the sun", "x9"]
+    prof = pd.DataFrame([(t, "x", "2020", f"H{i}", 1) for i, t in enumerate(titles)], columns=["title_norm", "author", "year", "min_node", "nodes"])
+    both = pd.concat([prof.assign(side=k, block=0) for k in (0, 1)])
+    got = {(r.left, r.right) for r in fuzzy._compare(0.8, 0.6)(both).itertuples()}
+    want = {(f"H{i}", f"H{j}") for i, j in itertools.combinations(range(len(titles)), 2) if SequenceMatcher(None, titles[i], titles[j]).ratio() >= 0.6}
+    assert got == want and len(want) >= 4
+
+
 def test_nearest_tie_takes_lowest_index(spark):
     m = spark.createDataFrame([("s", 5.0, 1), ("s", 100.0, 2), ("s", -3.0, 3)], "k string, t double, m int")
     s = spark.createDataFrame([("s", 6.0, 0), ("s", 4.0, 1), ("s", 4.0, 7), ("s", float("nan"), 9)], "k string, t double, idx int")
