@@ -70,3 +70,20 @@ def test_warnings(spark):
     far = spark.createDataFrame([(1, 1e-300, 1.0), (1, 1.0, 1.0)], "s int, freq double, power double")
     got = {r.model: r for r in S.fit_status(S.fit_grid(far, ["s"], POINTS, refine=0)).collect()}
     assert "Overflow" in got["M2"].warning_types and got["M0"].overflow == 0
+
+
+def test_lattice_equals_rows():
+    freq = np.linspace(0.001, 0.02, 9)
+    for m, lattice in S._lattices(POINTS).items():
+        theta = np.array([[*x, *[0.0] * (S.WIDTH - len(x))] for x in itertools.product(*lattice)])
+        got = S.lattice_power(m, lattice, freq, freq[0]).reshape(len(theta), -1)
+        assert np.allclose(got, S.model_power(m, theta, freq, freq[0]), rtol=1e-12)
+        model = S.MODELS[m]
+        assert np.allclose(got, [[value(model, a, f, freq[0]) for f in freq] for a in theta], rtol=1e-9)
+
+
+def test_short_series_are_dealt_once(spark):
+    """Points of the grid and of its refinements stay in the task of their series."""
+    df = spark.createDataFrame(table(), "s int, freq double, power double")
+    plan = S.fit_grid(df, ["s"], POINTS, refine=2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
