@@ -197,6 +197,60 @@ def test_fuzzy_packs_of_many_passes(spark, monkeypatch):
     assert got == want and len(want) >= 4
 
 
+@pytest.mark.parametrize("piece", [1 << 20, 900])
+def test_fuzzy_of_long_titles_reads_few_pairs(monkeypatch, piece):
+    """From 200 characters on the ratio starts only at rare characters: all pairs that it finds, hardly any other one is read in full."""
+    from evenkeel.operators import fuzzy
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice(["the", "on", "er", "re", "ti", "an", "ha", "es", "st", "ou", "nd", "ing"]) for _ in range(rnd.randint(1, 3)))
+    titles = []
+    for _ in range(30):
+        w = [word() for _ in range(rnd.randint(28, 60))]
+        for c in rnd.sample("bcfjkmpqvxz", rnd.randint(0, 6)):
+            w.insert(rnd.randrange(len(w)), c + word())
+        near = list(w)
+        for k in rnd.sample(range(len(w)), rnd.randint(1, len(w) // 3)):
+            near[k] = word()
+        titles += [" ".join(w), " ".join(near)]
+    rnd.shuffle(titles)
+    prof = pd.DataFrame([(t, rnd.choice("xy"), "2020", f"H{i:03d}", 1) for i, t in enumerate(titles)], columns=["title_norm", "author", "year", "min_node", "nodes"])
+    both = pd.concat([prof.assign(side=k, block=0) for k in (0, 1)])
+    read, common = [], fuzzy._common_with
+    monkeypatch.setattr(fuzzy, "PIECE", piece, raising=False)
+    monkeypatch.setattr(fuzzy, "_common_with", lambda b, others, bits: (read.extend(others), common(b, others, bits))[1])
+    got = {(r.left, r.right, r.similarity, r.basis) for r in fuzzy._compare(0.8, 0.6)(both).itertuples()}
+    want = set()
+    for a, b in itertools.combinations(prof.itertuples(), 2):
+        ratio = SequenceMatcher(None, a.title_norm, b.title_norm).ratio()
+        if ratio >= 0.8 or (ratio >= 0.6 and a.author == b.author):
+            want.add((a.min_node, b.min_node, ratio, "HIGH_SIMILARITY" if ratio >= 0.8 else "SAME_AUTHOR_AND_YEAR"))
+    assert got == want and len(want) >= 8 and len([t for t in titles if len(t) >= 200]) > 20 > len([t for t in titles if len(t) < 200]) > 2
+    assert len(read) < 300  # of 1,770 pairs
+
+
+def test_fuzzy_groups_of_letters(monkeypatch):
+    """Short titles of few letters, so that groups of letters split and letters repeat more often than a number has bits."""
+    from evenkeel.operators import fuzzy
+    monkeypatch.setattr(fuzzy, "BATCH", 7, raising=False)
+    monkeypatch.setattr(fuzzy, "PAIRS", 50, raising=False)
+    rnd = random.Random(22)
+    text = lambda n: "".join(rnd.choice("aaab c") for _ in range(n)).strip()
+    titles = [text(rnd.choice([0, 1, 5, 30, 90, 120, 150])) for _ in range(40)] + ["a" * 90, "a" * 70 + "b" * 20]
+    titles = sorted({*titles, *("".join(c for c in t if rnd.random() > 0.1) for t in titles)})
+    prof = pd.DataFrame([(t, rnd.choice(["x", ""]), "2020", f"H{rnd.randrange(10**6):06d}", 1) for t in titles], columns=["title_norm", "author", "year", "min_node", "nodes"])
+    half = len(prof) // 2
+    got = set()
+    for x, y in ((0, 0), (0, 1), (1, 1)):
+        side = [prof[:half].assign(block=0), prof[half:].assign(block=1)]
+        got |= {(r.left, r.right, r.similarity) for r in fuzzy._compare(0.8, 0.6)(pd.concat([side[x].assign(side=0), side[y].assign(side=1)])).itertuples()}
+    want = set()
+    for a, b in itertools.combinations(prof.sort_values("min_node").itertuples(), 2):
+        ratio = SequenceMatcher(None, a.title_norm, b.title_norm).ratio()
+        if ratio >= 0.8 or (ratio >= 0.6 and a.author == b.author != ""):
+            want.add((a.min_node, b.min_node, ratio))
+    assert got == want and len(want) >= 15
+
+
 def test_nearest_tie_takes_lowest_index(spark):
     m = spark.createDataFrame([("s", 5.0, 1), ("s", 100.0, 2), ("s", -3.0, 3)], "k string, t double, m int")
     s = spark.createDataFrame([("s", 6.0, 0), ("s", 4.0, 1), ("s", 4.0, 7), ("s", float("nan"), 9)], "k string, t double, idx int")
